@@ -1,0 +1,16 @@
+"""Broadcast only what a parameter bounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a table of at most ``rows`` narrow rows for a broadcast join.
+
+    ``rows`` must follow from parameters (label sets, sample sizes), not from data.
+    Above the limit the table is left alone and the join shuffles.
+    """
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
