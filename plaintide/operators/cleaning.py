@@ -62,9 +62,9 @@ def long_enough(df: DataFrame, column: str = "review_text", minimum: int = MIN_L
     return df.filter(F.length(column) > minimum)
 
 
-def cleaned(df: DataFrame, order: str = "ordinal") -> DataFrame:
+def cleaned(df: DataFrame, order: str = "ordinal", extra: Sequence[str] = ()) -> DataFrame:
     """Stateless part: known columns, clean text, short rows dropped."""
-    columns = [order, *[c for c in KEPT if c in df.columns]]
+    columns = [order, *[c for c in KEPT if c in df.columns], *extra]
     return long_enough(once(df.select(*columns), {"review_text": text.clean_text(F.col("review_text"))}))
 
 

@@ -13,6 +13,7 @@ from plaintide import rules
 from plaintide.functions import text, vectors
 from plaintide.operators.ids import LOW_BITS
 from plaintide.operators.joins import bounded
+from plaintide.operators.once import once
 from plaintide.schema import REVIEW_CLUSTER_COLUMNS, require_columns, select_existing
 from plaintide.session import written
 
@@ -98,12 +99,14 @@ def _seams(words: DataFrame, cluster: str, order: str) -> DataFrame:
     Neighbours are found inside buckets of 2**17 consecutive ids and then between
     the ends of the buckets, so that no cluster is handled as one group.
     """
-    ends = words.filter(F.size("_words") > 0).select(
-        cluster,
-        order,
-        F.shiftright(F.col(order).cast("bigint"), LOW_BITS).alias("_bucket"),
-        F.get("_words", F.lit(0)).alias("_first"),
-        F.element_at("_words", -1).alias("_last"),
+    ends = written(
+        words.filter(F.size("_words") > 0).select(
+            cluster,
+            order,
+            F.shiftright(F.col(order).cast("bigint"), LOW_BITS).alias("_bucket"),
+            F.get("_words", F.lit(0)).alias("_first"),
+            F.element_at("_words", -1).alias("_last"),
+        )
     )
     inside = Window.partitionBy(cluster, "_bucket").orderBy(order)
     between = Window.partitionBy(cluster).orderBy("_bucket")
@@ -132,8 +135,9 @@ def cluster_term_counts(
     are read and the counts are merged.  ``across_reviews`` adds the pair made of the
     last word of a review and the first word of the next one in the cluster.
     """
-    words = df.select(
-        cluster, order, text.without_stop_words(text.tokens(F.col(text_col)), stop_words).alias("_words")
+    words = once(
+        df.select(cluster, order, text_col),
+        {"_words": text.without_stop_words(text.tokens(F.col(text_col)), stop_words)},
     )
     both = words.select(cluster, F.explode(F.concat("_words", text.bigrams(F.col("_words")))).alias("term"))
     if across_reviews:

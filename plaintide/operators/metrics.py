@@ -83,6 +83,7 @@ def _class_scores(df: DataFrame, labels: Sequence[str], true: str, pred: str) ->
         f1.alias("f1_score"),
         F.col("_true").alias("support"),
         "_hit",
+        "_pred",
     )
 
 
@@ -96,7 +97,7 @@ def classification_report(
     df: DataFrame, labels: Sequence[str], true: str = "true_label", pred: str = "pred_label"
 ) -> DataFrame:
     """Scores per class, then their plain and their support-weighted mean."""
-    scores = _class_scores(df, labels, true, pred).drop("_hit")
+    scores = _class_scores(df, labels, true, pred).drop("_hit", "_pred")
     names = ["precision", "recall", "f1_score"]
     rows = [
         scores.agg(
@@ -118,17 +119,12 @@ def classifier_metrics(
     The macro mean is over the labels that occur as true or predicted label.
     """
     scores = _class_scores(df, labels, true, pred)
-    occurring = (F.col("support") > 0) | (F.col("precision") > 0) | F.col("_predicted")
-    predicted = df.select(F.col(pred).alias("label")).distinct().withColumn("_predicted", F.lit(True))
-    return (
-        scores.join(predicted, "label", "left")
-        .na.fill(False, ["_predicted"])
-        .agg(
-            F.try_divide(F.sum("_hit"), F.sum("support")).alias("accuracy"),
-            F.avg(F.when(occurring, F.col("f1_score"))).alias("macro_f1"),
-            _mean("f1_score", "support").alias("weighted_f1"),
-            F.sum("support").alias("rows"),
-        )
+    occurring = (F.col("support") > 0) | (F.col("_pred") > 0)
+    return scores.agg(
+        F.try_divide(F.sum("_hit"), F.sum("support")).alias("accuracy"),
+        F.avg(F.when(occurring, F.col("f1_score"))).alias("macro_f1"),
+        _mean("f1_score", "support").alias("weighted_f1"),
+        F.sum("support").alias("rows"),
     )
 
 

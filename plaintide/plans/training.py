@@ -21,7 +21,7 @@ from plaintide.operators import metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
 from plaintide.schema import label_id
-from plaintide.session import written
+from plaintide.session import spread, written
 
 
 @dataclass
@@ -77,7 +77,7 @@ def fit_text_classifier(
     counter = CountVectorizer(
         inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=max_df
     ).fit(prepared)
-    counted = written(counter.transform(prepared).select("_counts", "_label", "_weight"))
+    counted = spread(written(counter.transform(prepared).select("_counts", "_label", "_weight")))
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
     smooth = ElementwiseProduct(
         scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_counts", outputCol="_tfidf"

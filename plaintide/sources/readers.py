@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from plaintide import rules
 from plaintide.functions.text import parse_double
 from plaintide.operators.cleaning import normalize_na
+from plaintide.session import spread
 
 BOM = "﻿"
 
@@ -82,9 +83,10 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table another job wrote."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A table another job wrote; with a ``key``, small ones are spread over the cores."""
+    df = spark.read.parquet(path)
+    return spread(df, key) if key else df
 
 
 def read_label_mapping(spark: SparkSession, folder: str, default: Sequence[str] = tuple(rules.ISSUES)) -> DataFrame:

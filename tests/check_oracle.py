@@ -41,14 +41,23 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+}
+
+
 def compare(df, con, sql: str) -> str:
     """'' when both sides agree, else what differs first."""
     mine = rows_of(df.columns, df.collect())
     result = con.execute(sql)
     names = [d[0] for d in result.description]
+    kinds = {d[0]: str(d[1]) for d in result.description}
     theirs = rows_of(names, result.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    other = [(n, k, kinds[n]) for n, k in df.dtypes if KINDS.get(k) != kinds[n]]
+    if other:
+        return f"types {other}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows != {len(theirs)} rows"
     for a, b in zip(mine, theirs):

@@ -274,7 +274,8 @@ def label_samples(spark, sf):
 
 
 def _rule_labeled(spark, sf) -> DataFrame:
-    return views.annotated(spark, sf).select("review_id", "sentiment_label", "rule_issue_label")
+    """The table of labels an earlier job would have left; sampling reads it three times."""
+    return written(views.annotated(spark, sf).select("review_id", "sentiment_label", "rule_issue_label"))
 
 
 @query
@@ -301,13 +302,13 @@ def stratified_split(spark, sf):
 
 @query
 def sample_n(spark, sf):
-    negative = cleaning.by_sentiment(views.sentences(spark, sf), "negative")
+    negative = written(cleaning.by_sentiment(views.sentences(spark, sf), "negative"))
     return sampling.sample_n(negative, DRAWN).select("review_id", "rating", "review_text")
 
 
 @query
 def class_weights(spark, sf):
-    rows = _rule_labeled(spark, sf)
+    rows = views.annotated(spark, sf)
     return rounded(metrics.class_weights(rows, "rule_issue_label", rules.ISSUES), "class_weight")
 
 
@@ -403,7 +404,7 @@ def classifier_metrics(spark, sf):
 
 @query
 def classification_report_lines(spark, sf):
-    rows = views.predictions(spark, sf)
+    rows = written(views.predictions(spark, sf).select("true_label", "pred_label"))
     accuracy = F.lit(metrics.classifier_metrics(rows, rules.ISSUES).first()["accuracy"])
     return reports.classification_report_text(metrics.classification_report(rows, rules.ISSUES), accuracy)
 
@@ -456,10 +457,7 @@ def silhouette(spark, sf):
 
 @query
 def cluster_keywords(spark, sf):
-    rows = views.sentences(spark, sf).join(
-        views.embeddings(spark, sf).select(F.col("vec_id").alias("review_id"), "cluster_id"), "review_id"
-    )
-    return clusters.cluster_keywords(rows)
+    return clusters.cluster_keywords(views.pointed(spark, sf))
 
 
 @query
@@ -476,11 +474,16 @@ def cluster_profile(spark, sf):
 
 @query
 def representative_reviews(spark, sf):
-    return clusters.representative_reviews(views.clustered(spark, sf))
+    return clusters.representative_reviews(_review_clusters(spark, sf))
+
+
+def _review_clusters(spark, sf) -> DataFrame:
+    """The table the clustering job leaves for the summary."""
+    return written(clusters.review_clusters(views.clustered(spark, sf)))
 
 
 def _summary(spark, sf) -> DataFrame:
-    return clusters.cluster_summary(views.clustered(spark, sf))
+    return clusters.cluster_summary(_review_clusters(spark, sf))
 
 
 @query
@@ -562,7 +565,7 @@ def priority_listing(spark, sf):
 @query
 def clustering_report_lines(spark, sf):
     value = clusters.silhouette(views.embeddings(spark, sf))
-    summary = clusters.cluster_summary(views.clustered(spark, sf), value)
+    summary = clusters.cluster_summary(_review_clusters(spark, sf), value)
     return reports.clustering_report(written(themes.label_themes(summary)), top_n=7)
 
 

@@ -13,7 +13,7 @@ from plaintide.functions import labels, text
 from plaintide.operators import clusters, scoring
 from plaintide.operators.annotate import with_first_match, with_keyword_label
 from plaintide.operators.cleaning import clean_reviews as clean_job, cleaned
-from plaintide.session import written
+from plaintide.sources.readers import read_table
 
 PHRASES = [
     "battery dies, charger dead", "screen cracked, touch display", "slow, laggy, it freezes",
@@ -24,8 +24,11 @@ PHRASES = [
 PARTS = 200
 
 
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", KEYS.get(name))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +95,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster_id")
 
 
+def pointed(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Clean texts of the reviews that have a vector, with its cluster."""
+    vectors = embeddings(spark, sf_dir).select(F.col("vec_id").alias("ordinal"), "cluster_id", *extra)
+    rows = cleaned(reviews(spark, sf_dir).join(vectors, "ordinal"), extra=["cluster_id", *extra])
+    return rows.withColumnRenamed("ordinal", "review_id").withColumn(
+        "sentiment_label", labels.rating_sentiment(F.col("rating"))
+    )
+
+
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews that have a vector, with cluster, predicted issue and distance."""
-    vectors = embeddings(spark, sf_dir).withColumnRenamed("vec_id", "review_id")
-    rows = sentences(spark, sf_dir).join(vectors, "review_id")
+    rows = pointed(spark, sf_dir, "embedding")
     scored = scoring.with_best_label(
         scoring.keyword_issue_probabilities(rows, "_probs"),
         "_probs", rules.ISSUES, "predicted_issue_label", "predicted_issue_confidence",
