@@ -37,7 +37,7 @@ def ranked(probabilities: Column, labels: Sequence[str], k: int) -> Column:
         lambda p, i: F.struct((-p).alias("order"), i.alias("id"), p.alias("confidence")),
     )
     return F.transform(
-        F.slice(F.array_sort(keyed), 1, k),
+        F.slice(F.sort_array(keyed), 1, k),
         lambda x, i: F.struct(
             (i + 1).cast("int").alias("rank"),
             F.get(names, x["id"]).alias("label"),

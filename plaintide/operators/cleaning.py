@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaintide import rules
 from plaintide.functions import labels, text
 from plaintide.operators.ids import dense_id
+from plaintide.operators.joins import hashed
 from plaintide.operators.once import once
 from plaintide.schema import require_columns, select_existing
 
@@ -54,7 +55,7 @@ def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def dedup_first(df: DataFrame, key: str = "review_text", order: str = "ordinal") -> DataFrame:
     """Keep the first row of every set of rows with the same ``key``."""
-    return df.join(first_rows(df, key, order), order, "left_semi")
+    return df.join(hashed(first_rows(df, key, order)), order, "left_semi")
 
 
 def long_enough(df: DataFrame, column: str = "review_text", minimum: int = MIN_LENGTH) -> DataFrame:
@@ -79,7 +80,7 @@ def clean_reviews(raw: DataFrame, order: str = "ordinal") -> DataFrame:
     numeric = dict(named.dtypes)["rating"] != "string"
     ids = dense_id(first_rows(rows, "review_text", order), order, "review_id")
     result = (
-        rows.join(ids, order)
+        rows.join(hashed(ids), order)
         .withColumn("sentiment_label", labels.rating_sentiment(F.col("rating"), numeric))
         .withColumn("date", F.lit(None).cast("date"))
         .withColumn("issue_label", F.lit(None).cast("string"))

@@ -68,7 +68,7 @@ def nearest_center(
     value of k * dimensions numbers, taken from a scalar subquery.
     """
     table = written(centers.select(F.col(cluster).alias("id"), "center"))
-    everything = table.agg(F.array_sort(F.collect_list(F.struct("id", "center"))).alias("c")).scalar()
+    everything = table.agg(F.sort_array(F.collect_list(F.struct("id", "center"))).alias("c")).scalar()
     distances = F.transform(
         F.col("_centers"),
         lambda c: F.struct(vectors.euclidean(F.col(vector), c["center"]).alias("distance"), c["id"].alias("id")),
@@ -155,13 +155,15 @@ def cluster_keyword_scores(
     min_df: int = 2,
     max_features: int = 8000,
     across_reviews: bool = False,
+    order: str = "review_id",
 ) -> DataFrame:
     """The ``n`` best terms per cluster by tf * (ln((1 + clusters) / (1 + df)) + 1).
 
     The vocabulary is the ``max_features`` most frequent terms found in ``min_df``
     clusters.  The term counts are shuffled once and read by both sides of the join.
+    ``df`` should be a table: its clusters are counted in a scan of their own.
     """
-    counts = cluster_term_counts(df, text_col, cluster, stop_words, across_reviews)
+    counts = cluster_term_counts(df, text_col, cluster, stop_words, across_reviews, order)
     vocabulary = (
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
@@ -192,7 +194,7 @@ def cluster_keywords(df: DataFrame, cluster: str = "cluster_id", **options) -> D
     return (
         cluster_keyword_scores(df, cluster=cluster, **options)
         .groupBy(cluster)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_terms"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_terms"))
         .select(cluster, F.array_join(F.col("_terms.term"), ", ").alias("top_keywords"))
     )
 

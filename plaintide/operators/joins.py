@@ -1,4 +1,4 @@
-"""Broadcast only what a parameter bounds."""
+"""Join hints: what may be broadcast, and what should be hashed."""
 
 from __future__ import annotations
 
@@ -14,3 +14,12 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     Above the limit the table is left alone and the join shuffles.
     """
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """Mark a narrow side with unique keys, as long as the data, as the hashed one.
+
+    Each task then holds the keys of one partition in memory and the wide side, which
+    carries the texts, is shuffled but never sorted.
+    """
+    return df.hint("shuffle_hash")

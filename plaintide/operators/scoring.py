@@ -27,7 +27,7 @@ def with_softmax(df: DataFrame, scores: Sequence[Column], name: str) -> DataFram
         df.withColumns({f"_s{i}": s.cast("double") for i, s in enumerate(scores)})
         .withColumn("_max", F.greatest(*[F.col(f"_s{i}") for i in range(n)]))
         .withColumn("_exps", F.array(*[F.exp(F.col(f"_s{i}") - F.col("_max")) for i in range(n)]))
-        .withColumn("_sum", vectors.total(F.array_sort("_exps")))
+        .withColumn("_sum", vectors.total(F.sort_array("_exps")))
     )
     return once(staged, {name: F.array(*probability)}).drop("_max", "_exps", "_sum", *[f"_s{i}" for i in range(n)])
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer,
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +20,7 @@ from plaintide.functions.text import TOKEN
 from plaintide.operators import metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
+from plaintide.operators.once import once
 from plaintide.schema import label_id
 from plaintide.session import spread, written
 
@@ -46,6 +47,35 @@ class Trained:
         return metrics.confusion_matrix(self.predictions, self.labels)
 
 
+def _vocabulary(docs: DataFrame, min_df: float, max_df: float, max_features: int) -> list[tuple[str, float]]:
+    """The most frequent terms with their idf; ``max_features`` bounds what reaches the driver.
+
+    One pass and one shuffle: every occurrence counts for the frequency of a term, the
+    first one in the sorted terms of a row also for the number of rows that have it.
+    """
+    sorted_terms = once(docs.select("_terms"), {"_sorted": F.sort_array("_terms")})
+    occurrences = F.transform(
+        "_sorted",
+        lambda t, i: F.struct(
+            t.alias("term"), F.when(t == F.get("_sorted", i - 1), 0).otherwise(1).alias("first")
+        ),
+    )
+    n = docs.count()
+    best = (
+        sorted_terms.select(F.inline(occurrences))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
+        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        .orderBy(F.desc("tf"), "term")
+        .limit(max_features)
+        .select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+        .collect()
+    )
+    if not best:
+        raise ValueError("no term is frequent enough for the vocabulary")
+    return [(row.term, row.idf) for row in best]
+
+
 def fit_text_classifier(
     train: DataFrame,
     label: str,
@@ -74,22 +104,20 @@ def fit_text_classifier(
     stages = [tokens, words, pairs, terms]
     prepared = PipelineModel(stages).transform(rows).select("_terms", "_label", "_weight")
 
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=max_df
-    ).fit(prepared)
-    counted = spread(written(counter.transform(prepared).select("_counts", "_label", "_weight")))
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counted)
-    smooth = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_counts", outputCol="_tfidf"
+    vocabulary = _vocabulary(prepared, min_df, max_df, max_features)
+    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol="_terms", outputCol="_counts")
+    weigh = ElementwiseProduct(
+        scalingVec=Vectors.dense([idf for _, idf in vocabulary]), inputCol="_counts", outputCol="_tfidf"
     )
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")
-    features = PipelineModel([smooth, unit]).transform(counted)
+    weighted = PipelineModel([counter, weigh, unit]).transform(prepared)
+    features = spread(written(weighted.select("_features", "_label", "_weight")))
     regression = LogisticRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", family="multinomial",
-        maxIter=max_iter, regParam=1.0 / (c * counted.count()), standardization=False, tol=1e-4,
+        maxIter=max_iter, regParam=1.0 / (c * features.count()), standardization=False, tol=1e-4,
         predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="probability",
     ).fit(features)
-    return PipelineModel([*stages, counter, smooth, unit, regression])
+    return PipelineModel([*stages, counter, weigh, unit, regression])
 
 
 def score_classes(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from plaintide import rules
 from plaintide.functions.text import parse_double
 from plaintide.operators.cleaning import normalize_na
-from plaintide.session import spread
+from plaintide.session import spread, written
 
 BOM = "﻿"
 
@@ -66,7 +66,8 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     """Position of every row over all files, in order of file name and offset.
 
     Each task numbers its rows; the first number and the row count of every file
-    block make a small table whose running sum turns them into one sequence.
+    block make a small table whose running sum turns them into one sequence.  It is
+    written first, so that its size decides how it is joined.
     """
     at = df.select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn(
         "_row", F.monotonically_increasing_id()
@@ -78,7 +79,7 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
     )
-    return at.join(starts, block).select(
+    return at.join(written(starts), block).select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row") - F.col("_first")).alias(name)
     )
 

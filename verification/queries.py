@@ -18,7 +18,7 @@ from plaintide.operators import (
 from plaintide.operators.ids import dense_id
 from plaintide.plans import insight, reports, training
 from plaintide.schema import id_label, label_id
-from plaintide.session import written
+from plaintide.session import spread, written
 from verification import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -457,13 +457,13 @@ def silhouette(spark, sf):
 
 @query
 def cluster_keywords(spark, sf):
-    return clusters.cluster_keywords(views.pointed(spark, sf))
+    return clusters.cluster_keywords(written(views.pointed(spark, sf).select("review_id", "review_text", "cluster_id")))
 
 
 @query
 def issue_keywords(spark, sf):
-    rows = views.labeled(spark, sf)
-    scores = clusters.cluster_keyword_scores(rows, cluster="issue_label", n=12, across_reviews=True)
+    rows = written(views.labeled(spark, sf).select("review_id", "review_text", "issue_label"))
+    scores = clusters.cluster_keyword_scores(spread(rows, "review_id"), cluster="issue_label", n=12, across_reviews=True)
     return rounded(scores, "score")
 
 
