@@ -2,7 +2,7 @@
 
 Rows are drawn in the order of ``md5(seed:id)``, so a sample depends only on the
 ids and the seed, not on the partitioning.  The first hex digits of the hash cut a
-stratum into 4096 buckets of nearly equal size.  Counting the buckets (a map-side
+stratum into a million buckets of nearly equal size.  Counting the buckets (a map-side
 aggregate) tells which of them can hold drawn rows; only rows of those are ranked.
 No stratum is ever sorted or moved as a whole, however large it is.
 """
@@ -21,7 +21,7 @@ from plaintide.operators.ids import small_rank
 from plaintide.schema import ANNOTATION_COLUMNS, require_columns
 from plaintide.session import written
 
-BUCKET_DIGITS = 3
+BUCKET_DIGITS = 5
 BUCKETS = 16**BUCKET_DIGITS
 
 
@@ -187,31 +187,41 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` = test / validation / train with exact class quotas.
 
-    Whole hash buckets fall into one part and need no ranking; only the (at most
-    two) buckets per class that hold a border are ranked.
+    A class has two cuts in its hash order.  Rows in buckets before, between and after
+    them need no ranking; only the (at most two) buckets with a cut inside are ranked.
     """
-    hashed = _hashed(df.filter(F.col(label).isin(list(labels))), ident, seed)
-    starts = _bucket_starts(hashed.select(label, "_bucket"), [label])
-    quotas = split_quotas(df.filter(F.col(label).isin(list(labels))), label, test, validation)
+    rows = df.filter(F.col(label).isin(list(labels)))
+    hashed = _hashed(rows, ident, seed)
+    quotas = split_quotas(rows, label, test, validation)
+    starts = _bucket_starts(hashed.select(label, "_bucket"), [label]).join(bounded(quotas, len(labels)), label)
     first, second = F.col("_test"), F.col("_test") + F.col("_validation")
     start, end = F.col("_before"), F.col("_before") + F.col("_n")
-    starts = starts.join(quotas, label).select(
-        label,
-        "_bucket",
-        "_before",
-        "_test",
-        "_validation",
-        F.when(end <= first, "test")
-        .when((start >= first) & (end <= second), "validation")
-        .when(start >= second, "train")
-        .alias("split"),
+
+    def last_before(cut: Column) -> Column:
+        return F.coalesce(F.max(F.when(end <= cut, F.col("_bucket"))), F.lit(""))
+
+    def around(cut: Column) -> Column:
+        return F.max(F.when((start < cut) & (end > cut), F.struct("_bucket", "_before")))
+
+    cuts = starts.groupBy(label, "_test", "_validation").agg(
+        last_before(first).alias("_last_test"),
+        last_before(second).alias("_last_validation"),
+        around(first).alias("_edge_1"),
+        around(second).alias("_edge_2"),
+    )
+    bucket = F.col("_bucket")
+    edge = F.when(bucket == F.col("_edge_1._bucket"), F.col("_edge_1._before")).when(
+        bucket == F.col("_edge_2._bucket"), F.col("_edge_2._before")
     )
-    rows = hashed.join(bounded(starts, len(labels) * BUCKETS), [label, "_bucket"])
-    rank = start + F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", ident))
-    border = rows.filter(F.col("split").isNull()).withColumn("_rank", rank)
-    border = border.withColumn(
-        "split",
-        F.when(F.col("_rank") <= first, "test").when(F.col("_rank") <= second, "validation").otherwise("train"),
+    placed = hashed.join(bounded(cuts, len(labels)), label).withColumn("_start", edge)
+    whole = F.when(bucket <= F.col("_last_test"), "test").when(bucket <= F.col("_last_validation"), "validation")
+    inside = Window.partitionBy(label, "_bucket").orderBy("_hash", ident)
+    ranked = placed.filter(F.col("_start").isNotNull()).withColumn(
+        "_rank", F.col("_start") + F.row_number().over(inside)
+    )
+    by_rank = F.when(F.col("_rank") <= first, "test").when(F.col("_rank") <= second, "validation")
+    return (
+        placed.filter(F.col("_start").isNull())
+        .select(*df.columns, whole.otherwise("train").alias("split"))
+        .unionByName(ranked.select(*df.columns, by_rank.otherwise("train").alias("split")))
     )
-    columns = [*df.columns, "split"]
-    return rows.filter(F.col("split").isNotNull()).select(*columns).unionByName(border.select(*columns))

@@ -245,8 +245,10 @@ def insight_report(df: DataFrame, top_n: int = 10) -> DataFrame:
     return _union(parts)
 
 
-def classification_report_text(report: DataFrame, accuracy: Column, digits: int = 4) -> DataFrame:
-    """Fixed-width lines of a classification report, in the same line format."""
+def classification_report_text(
+    report: DataFrame, accuracy: Column, digits: int = 4, title: str | None = None
+) -> DataFrame:
+    """Fixed-width lines of a classification report, under a title with the accuracy."""
     width = 12
     names = ["precision", "recall", "f1_score"]
     numbers = [F.lpad(fixed(F.col(n), digits), 10, " ") for n in names]
@@ -259,8 +261,13 @@ def classification_report_text(report: DataFrame, accuracy: Column, digits: int
     middle = report.filter(means).agg(
         F.concat(F.lpad(F.lit("accuracy"), width, " "), F.lit(" " * 21), F.lpad(fixed(accuracy, digits), 10, " "), total).alias("_a")
     )
+    heading = []
+    if title:
+        shown = _joined("Accuracy: ", fixed(accuracy, digits))
+        heading = [_lines(middle, 0, F.lit(0), [title, "=" * len(title), "", shown, ""])]
     return _union(
         [
+            *heading,
             _lines(middle, 1, F.lit(0), [head, ""]),
             body,
             _lines(middle, 3, F.lit(0), ["", F.col("_a")]),

@@ -21,8 +21,10 @@ from plaintide.operators import metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
 from plaintide.operators.once import once
+from plaintide.plans.reports import classification_report_text
 from plaintide.schema import label_id
 from plaintide.session import spread, written
+from plaintide.sources.writers import write_label_mapping, write_lines, write_metrics, write_table
 
 
 @dataclass
@@ -145,6 +147,30 @@ def baseline_feedback(df: DataFrame, model: PipelineModel) -> DataFrame:
     return with_first_match(score_sentiment(df, model), "issue_label")
 
 
+def score_feedback(
+    df: DataFrame, sentiment_model: PipelineModel, issue_model: PipelineModel, **triage_options
+) -> DataFrame:
+    """Sentiment and issue triage of every review from two fitted models."""
+    scored = score_classes(scoring.not_blank(df), sentiment_model, "_sentiment")
+    both = score_classes(scored, issue_model, "_issue")
+    return scoring.score_feedback(both, "_sentiment", "_issue", **triage_options).drop("_sentiment", "_issue")
+
+
+def save(trained: Trained, out: str, title: str | None = None) -> None:
+    """Model, label map, metrics, report, confusion matrix and test predictions."""
+    spark = trained.predictions.sparkSession
+    tested = written(trained.predictions)
+    trained.model.write().overwrite().save(f"{out}/model")
+    write_label_mapping(spark, trained.labels, f"{out}/label_mapping")
+    summary = metrics.classifier_metrics(tested, trained.labels)
+    write_metrics(summary, f"{out}/metrics")
+    report = metrics.classification_report(tested, trained.labels)
+    accuracy = F.lit(summary.first()["accuracy"])
+    write_lines(classification_report_text(report, accuracy, title=title), f"{out}/report")
+    write_table(metrics.confusion_matrix(tested, trained.labels), f"{out}/confusion_matrix", "csv")
+    write_table(tested, f"{out}/test_predictions")
+
+
 def _train(rows: DataFrame, label: str, labels: Sequence[str], test: float, validation: float, seed: int, **options) -> Trained:
     parts = written(sampling.stratified_split(rows, label, labels, test, validation, seed=seed))
     model = fit_text_classifier(parts.filter("split = 'train'"), label, labels, **options)

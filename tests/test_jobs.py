@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide import rules, streaming
 from plaintide.operators import scoring
-from plaintide.plans import insight, training
+from plaintide.plans import annotation, insight, training
 from plaintide.schema import RAW_REVIEWS
 from plaintide.sources import readers, writers
 from verification import views
@@ -82,6 +82,19 @@ def test_training_and_saved_model(spark, clean, tmp_path):
     assert all(abs(sum(p.values()) - 1) < 1e-9 for p in a.values())
 
 
+def test_labelling_loop(spark, clean, tmp_path):
+    out = str(tmp_path)
+    labeled = annotation.distribution_job(clean, out)
+    shares = spark.read.option("header", True).csv(f"{out}/issue_distribution")
+    assert shares.agg(F.sum(F.col("count").cast("int"))).first()[0] == labeled.count() == clean.count()
+    flagged = annotation.annotation_job(clean, out, total=50)
+    assert flagged.count() == 50
+    predictions = views.predictions(spark, SF)
+    annotation.error_review_job(predictions, "review_id", out, max_rows=5)
+    queue = readers.read_reviews(spark, f"{out}/error_review_candidates")
+    assert queue.count() == 5 and "review_decision" in queue.columns
+
+
 def test_issue_classifier_learns(spark):
     words = {"battery": "charger empties", "screen": "glass pixels", "network": "signal lost"}
     rows = [(i, f"{words[x]} again item{i % 7}", x) for i, x in enumerate(list(words) * 40)]
@@ -118,3 +131,20 @@ def test_stateless_operators_accept_a_stream(spark, tmp_path):
     batch = streaming.scored_reviews(rows)
     columns = ["ordinal", "issue_label", "sentiment_label", "primary_issue_label", "issue_mode"]
     assert sorted(written.select(*columns).collect()) == sorted(batch.select(*columns).collect())
+
+
+def test_saved_training_and_unified_scoring(spark, clean, tmp_path):
+    sentiment = training.train_baseline_sentiment(clean, max_iter=3)
+    training.save(sentiment, str(tmp_path), title="Baseline Sentiment Classification Report")
+    report = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert report[0] == "Baseline Sentiment Classification Report" and report[1] == "=" * len(report[0])
+    assert report[3].startswith("Accuracy: 0.") and report[5].split() == ["precision", "recall", "f1-score", "support"]
+    assert spark.read.parquet(str(tmp_path / "test_predictions")).count() == spark.read.json(str(tmp_path / "metrics")).first().rows
+    labeled = views.annotated(spark, SF).withColumn("manual_issue_label", F.col("rule_issue_label"))
+    issue = training.train_issue_classifier(labeled, max_iter=3)
+    rows = clean.select("review_id", "review_text")
+    scored = training.score_feedback(rows, sentiment.model, issue.model, top_k=2)
+    assert scored.count() == rows.count()
+    row = scored.first()
+    assert len(row.ranked_issue_predictions) == 2 and row.primary_issue_label in rules.ISSUES
+    assert row.sentiment_label in rules.SENTIMENTS

@@ -94,10 +94,24 @@ def largest_remainder(counts, draws):
     return result
 
 
-@pytest.mark.parametrize("partitions", [1, 13])
-@pytest.mark.parametrize("test, validation", [(0.2, 0.15), (0.2, 0.0), (0.2, 0.1)])
-def test_stratified_split(spark, partitions, test, validation):
+@pytest.fixture(params=[1, 2, sampling.BUCKET_DIGITS])
+def bucket_digits(request, monkeypatch):
+    """Few buckets: cuts fall inside them."""
+    monkeypatch.setattr(sampling, "BUCKET_DIGITS", request.param)
+    monkeypatch.setattr(sampling, "BUCKETS", 16**request.param)
+
+
+def test_draws_inside_large_buckets(spark, bucket_digits):
     rows = make_rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert {r.review_id for r in sampling.stratified_sample(df, 100).collect()} == brute_sample(rows, 100)
+    want = sorted((r[0] for r in rows), key=order)[:333]
+    assert {r.review_id for r in sampling.sample_n(df, 333).collect()} == set(want)
+
+
+@pytest.mark.parametrize("test, validation", [(0.2, 0.15), (0.2, 0.0), (0.2, 0.002)])
+def test_stratified_split(spark, bucket_digits, test, validation):
+    partitions, rows = 7, make_rows()
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
     got = sampling.stratified_split(df, "rule_issue_label", rules.ISSUES, test, validation).collect()
     assert len(got) == len(rows)
