@@ -11,10 +11,6 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-
-
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 

@@ -73,17 +73,20 @@ def clean_reviews(raw: DataFrame, order: str = "ordinal") -> DataFrame:
     """The whole cleaning job on raw columns plus a unique integer ``order``.
 
     Two narrow shuffles (digest -> first row, first row -> id) and one join that
-    brings the ids back to the text; the text itself is moved at most once.
+    brings the ids back to the text; the text itself is moved at most once.  Numbers
+    may come as text: a rating that is none gets no label and, like the others, null.
     """
     named = standardize_columns(raw)
     rows = cleaned(named, order)
-    numeric = dict(named.dtypes)["rating"] != "string"
+    textual = [c for c in ("price", "rating", "review_votes") if dict(named.dtypes).get(c) == "string"]
+    numeric = "rating" not in textual
     ids = dense_id(first_rows(rows, "review_text", order), order, "review_id")
     result = (
         rows.join(hashed(ids), order)
         .withColumn("sentiment_label", labels.rating_sentiment(F.col("rating"), numeric))
         .withColumn("date", F.lit(None).cast("date"))
         .withColumn("issue_label", F.lit(None).cast("string"))
+        .withColumns({c: text.parse_double(F.col(c)) for c in textual})
     )
     return select_existing(
         result, ["review_id", *KEPT, "sentiment_label", "date", "issue_label"]

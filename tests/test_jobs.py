@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide import rules, streaming
 from plaintide.operators import scoring
+from plaintide.operators.cleaning import clean_reviews as clean_job
 from plaintide.plans import annotation, insight, training
 from plaintide.schema import RAW_REVIEWS
 from plaintide.sources import readers, writers
@@ -28,6 +29,14 @@ def test_csv_reader(spark, tmp_path):
     assert rows[2].Price is None and rows[2].Rating is None and rows[2]["Review Votes"] is None
 
 
+def test_cleaning_straight_from_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "P,x,1,abc,some text,0\nQ,x,oops,2,more text,1\nR,x,3,,last text,1\n")
+    raw = readers.read_reviews(spark, str(tmp_path), ordinal="ordinal")
+    rows = clean_job(raw).orderBy("review_id").collect()
+    assert [(r.rating, r.sentiment_label) for r in rows] == [(None, None), (2.0, "negative"), (None, "positive")]
+    assert [r.price for r in rows] == [1.0, None, 3.0]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b"\nc', 2.5)], "id BIGINT, t STRING, x DOUBLE")
     writers.write_table(df, str(tmp_path / "t"), "csv")
