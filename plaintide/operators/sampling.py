@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide import rules
+from plaintide.functions.text import strip
 from plaintide.operators.annotate import fill_issue_label
 from plaintide.operators.cleaning import usable_reviews
 from plaintide.operators.joins import bounded
@@ -139,7 +140,13 @@ def annotation_sample(df: DataFrame, total: int = 2000, seed: int = 42, ident: s
     return (
         df.select(ident, "review_text", "rating", "sentiment_label")
         .join(bounded(numbered, total), ident)
-        .withColumns({"manual_issue_label": F.lit(""), "annotation_note": F.lit("")})
+        .withColumns(
+            {
+                "review_text": strip(F.col("review_text")),
+                "manual_issue_label": F.lit(""),
+                "annotation_note": F.lit(""),
+            }
+        )
         .select(*ANNOTATION_COLUMNS)
     )
 
