@@ -23,9 +23,10 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 NONE = np.int32(2**31 - 1)
+SHARD_CHARS = 6_000_000
 # The white space of the pattern.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
@@ -238,47 +239,60 @@ class Shard:
         return (tokens[gather(starts[k], counts[k])] for k in self.docs)
 
 
-def encode(
-    docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", ids: str = "ids",
-    ranks: str = BYTE_BPE, pattern: str = public_tokenizers.PATTERN, shard_chars: int = 20_000_000,
-) -> DataFrame:
-    """The columns ``keep`` and the tokens of each text, packed as little-endian 32-bit integers.
-
-    A null or empty text has no tokens.  Every row is encoded by itself, so repeated rows
-    and null ids stay as they are; a kept column called ``ids`` is replaced.  An empty table
-    stays empty.  ``shard_chars`` bounds what one replay holds, apart from a single text
-    that is longer.
-    """
-    keep = [c for c in keep if c.lower() != ids.lower()]
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(ids))
-    schema = StructType([*rows.schema.fields[:-1], StructField(ids, BinaryType(), True)])
+def _by_shard(docs: DataFrame, keep: Sequence[str], text: str, out: StructField, value, ranks: str, pattern: str, shard_chars: int) -> DataFrame:
+    """The columns ``keep`` and ``value`` of a shard's tokens, an Arrow array, as the column ``out``."""
+    keep = [c for c in keep if c.lower() != out.name.lower()]
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(out.name))
+    width = range(len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = Shard(ranks, pattern), []
 
         def emit() -> pa.RecordBatch:
-            packed = pa.array((t.tobytes() for t in shard.encoded()), pa.binary())
-            table = pa.Table.from_batches(held).combine_chunks()
-            columns = [table.column(i).combine_chunks() for i in range(len(keep))]
-            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            kept = [pa.concat_arrays([b.column(i) for b in held]) for i in width]
+            batch = pa.RecordBatch.from_arrays([*kept, value(shard.encoded())], names=[*keep, out.name])
             held.clear()
             shard.clear()
-            return pa.RecordBatch.from_arrays([*columns, packed], names=[*keep, ids])
+            return batch
 
         for batch in batches:
-            texts, start = batch.column(len(keep)), 0
-            for i, t in enumerate(texts):
+            start = 0
+            for i, t in enumerate(batch.column(len(keep))):
                 shard.add(t.as_py())
                 if shard.chars >= shard_chars:
-                    held.append(batch.slice(start, i + 1 - start).select(range(len(keep))))
+                    held.append(batch.slice(start, i + 1 - start))
                     start = i + 1
                     yield emit()
             if start < batch.num_rows:
-                held.append(batch.slice(start).select(range(len(keep))))
+                held.append(batch.slice(start))
         if held:
             yield emit()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], out]))
+
+
+def encode(
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", ids: str = "ids",
+    ranks: str = BYTE_BPE, pattern: str = public_tokenizers.PATTERN, shard_chars: int = SHARD_CHARS,
+) -> DataFrame:
+    """The columns ``keep`` and the tokens of each text, packed as little-endian 32-bit integers.
+
+    A null or empty text has no tokens.  Every row is encoded by itself, so repeated rows
+    and null ids stay as they are; a kept column called ``ids`` is replaced.  An empty table
+    stays empty.  ``shard_chars`` bounds what one replay holds, apart from a single text
+    that is longer.
+    """
+    packed = lambda tokens: pa.array((t.tobytes() for t in tokens), pa.binary())
+    return _by_shard(docs, keep, text, StructField(ids, BinaryType()), packed, ranks, pattern, shard_chars)
+
+
+def token_lengths(
+    docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", out: str = "n_tokens",
+    ranks: str = BYTE_BPE, pattern: str = public_tokenizers.PATTERN, shard_chars: int = SHARD_CHARS,
+) -> DataFrame:
+    """As ``encode``, but only the number of tokens of each text."""
+    sizes = lambda tokens: pa.array((len(t) for t in tokens), pa.int64())
+    return _by_shard(docs, keep, text, StructField(out, LongType()), sizes, ranks, pattern, shard_chars)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str = BYTE_BPE) -> DataFrame:

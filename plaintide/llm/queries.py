@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintide.llm import bpe, exact_dedup
+from plaintide.llm import ann, bpe, exact_dedup, jaccard, line_dedup, packing, suffix_dedup, token_counts, toxicity, warc
+from plaintide.llm.common import work_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +29,105 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_exact_dedup": op5_exact_dedup}
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, vec="embedding")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    history = warc.capture_history(table(spark, sf_dir, "pages"), path)
+    return history.select(
+        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"), "key",
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that takes part, with the first equal line as its class."""
+    lines = line_dedup.judged_lines(table(spark, sf_dir, "documents"))
+    return lines.select(
+        F.col("place.id").alias("doc_id"), F.col("place.line_no").alias("line_no"), F.col("first.id").alias("class_doc_id"),
+        F.col("first.line_no").alias("class_line_no"), "copies", "n_links", "kept",
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard": op6_jaccard, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_line_dedup": op10_line_dedup,
+}
 
 ORACLE = {
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+        k AS (SELECT *, regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://|#.*$', '', 'g'), '^[^/?]*@|^www[0-9]*\.', '') AS bare FROM p),
+        r AS (
+          SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+                 CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first_id,
+                 array_to_string(list_reverse(string_split(regexp_extract(bare, '^([^/?:]*)', 1), '.')), ',') || ')'
+                   || CASE WHEN regexp_replace(bare, '^[^/?]*', '') = '' THEN '/' ELSE regexp_replace(bare, '^[^/?]*', '') END AS key
+          FROM k
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to, key
+        FROM r
+    """,
+    "op10_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+                 trim(unnest(string_split(text, chr(10))), chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS line
+          FROM documents
+        ),
+        e AS (SELECT * FROM l WHERE length(line) >= 30),
+        d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first, count(*) AS copies FROM e GROUP BY line),
+        third AS (
+          SELECT line, n, i, substr(line, i * (n // 3) + 1, CASE i WHEN 2 THEN n - 2 * (n // 3) ELSE n // 3 END) AS piece
+          FROM d, range(3) r(i)
+        ),
+        probe AS (
+          SELECT line, n + more AS m, i,
+                 substr(line, i * ((n + more) // 3) + shift + 1, CASE i WHEN 2 THEN n + more - 2 * ((n + more) // 3) ELSE (n + more) // 3 END) AS piece
+          FROM d, range(-2, 3) a(more), range(3) r(i), range(-2, 3) s(shift)
+          WHERE i * ((n + more) // 3) + shift >= 0
+        ),
+        near AS (
+          SELECT DISTINCT t.line AS x, p.line AS y FROM third t JOIN probe p ON t.n = p.m AND t.i = p.i AND t.piece = p.piece
+          WHERE t.line <> p.line AND levenshtein(t.line, p.line) <= 2
+        ),
+        links AS (SELECT x AS line, count(*) AS n_links, min(o.first) AS nearest FROM near JOIN d o ON o.line = y GROUP BY x)
+        SELECT e.doc_id, e.line_no::INT AS line_no, d.first[1] AS class_doc_id, d.first[2]::INT AS class_line_no, d.copies,
+               coalesce(n_links, 0) AS n_links,
+               row(e.doc_id, e.line_no) = d.first AND coalesce(nearest > d.first, true) AS kept
+        FROM e JOIN d USING (line) LEFT JOIN links USING (line)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, coalesce(text, '') AS text,
