@@ -18,13 +18,15 @@ WS = _NARROW + " " + _WIDE
 TAG = r"(?d)<.*?>"
 LINK = rf"http[^{WS}]+|www[^{WS}]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+# The same white-space characters, one by one.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Runs of white space that are not already one blank.
 LOOSE = rf"[{_NARROW}{_WIDE}][{WS}]*| [{WS}]+"
 
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both sides (``F.trim`` knows only blanks)."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def single_spaced(c: Column) -> Column:
@@ -40,7 +42,7 @@ def clean_text(c: Column) -> Column:
 def clip(c: Column, limit: int) -> Column:
     """One line of at most ``limit`` characters, with '...' when it was longer."""
     line = strip(F.translate(F.coalesce(c, F.lit("")), "\n\r", "  "))
-    short = F.regexp_replace(F.substring(line, 1, limit), rf"[{WS}]+$", "")
+    short = F.rtrim(F.substring(line, 1, limit), F.lit(BLANKS))
     return F.when(F.length(line) > limit, F.concat(short, F.lit("..."))).otherwise(line)
 
 

@@ -95,10 +95,17 @@ def flag_for_review(df: DataFrame) -> DataFrame:
 
 
 def apply_corrections(
-    df: DataFrame, corrections: DataFrame, key: str = "review_id", label_col: str = "manual_issue_label"
+    df: DataFrame, corrections: DataFrame, key: str = "review_id", label_col: str = "manual_issue_label",
+    order: str | None = None,
 ) -> DataFrame:
-    """Replace labels by the reviewed ones; ``corrections`` has one row per key."""
-    fixed = corrections.select(key, F.col("corrected_label").alias("_corrected"))
+    """Replace labels by the reviewed ones.
+
+    Of several corrections of a review the last in ``order`` holds, or the greatest
+    label when there is no such column; a correction without a label is none.
+    """
+    known = corrections.filter(F.col("corrected_label").isNotNull())
+    last = F.max_by("corrected_label", F.struct(order, "corrected_label")) if order else F.max("corrected_label")
+    fixed = known.groupBy(key).agg(last.alias("_corrected"))
     return (
         df.join(fixed, key, "left")
         .withColumn(label_col, F.coalesce("_corrected", label_col))

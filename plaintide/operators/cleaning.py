@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plaintide import rules
 from plaintide.functions import labels, text
 from plaintide.operators.ids import dense_id
-from plaintide.operators.joins import hashed
 from plaintide.operators.once import once
 from plaintide.schema import require_columns, select_existing
 
@@ -40,22 +39,19 @@ def _digest(c: Column) -> Column:
 
 
 def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The ``order`` values of the first row per ``key``; ``order`` must be unique.
+    """The first row per ``key`` in the unique ``order``.
 
-    Only a digest and a number are shuffled, never the text, and copies collapse
-    before the shuffle, so a text that fills a third of the table is no hot key.
+    Copies collapse in the tasks that read them and rows meet under a digest, so a text
+    that fills a third of the table is no hot key.  A row travels as one value: whoever
+    reads the result twice, as the id job does, reads one shuffle.
     """
-    return (
-        df.select(_digest(F.col(key)).alias("_digest"), F.col(order).alias(order))
-        .groupBy("_digest")
-        .agg(F.min(order).alias(order))
-        .select(order)
-    )
+    best = F.min_by(F.struct(*df.columns), F.col(order)).alias("_first")
+    return df.groupBy(_digest(F.col(key)).alias("_digest")).agg(best).select("_first.*")
 
 
 def dedup_first(df: DataFrame, key: str = "review_text", order: str = "ordinal") -> DataFrame:
     """Keep the first row of every set of rows with the same ``key``."""
-    return df.join(hashed(first_rows(df, key, order)), order, "left_semi")
+    return first_rows(df, key, order)
 
 
 def long_enough(df: DataFrame, column: str = "review_text", minimum: int = MIN_LENGTH) -> DataFrame:
@@ -72,17 +68,16 @@ def cleaned(df: DataFrame, order: str = "ordinal", extra: Sequence[str] = ()) ->
 def clean_reviews(raw: DataFrame, order: str = "ordinal") -> DataFrame:
     """The whole cleaning job on raw columns plus a unique integer ``order``.
 
-    Two narrow shuffles (digest -> first row, first row -> id) and one join that
-    brings the ids back to the text; the text itself is moved at most once.  Numbers
-    may come as text: a rating that is none gets no label and, like the others, null.
+    Texts are cleaned in one scan; first rows are shuffled once by digest and, with
+    their ids, once by id bucket.  Numbers may come as text: a rating that is none gets
+    no label and, like the others, null.
     """
     named = standardize_columns(raw)
     rows = cleaned(named, order)
     textual = [c for c in ("price", "rating", "review_votes") if dict(named.dtypes).get(c) == "string"]
     numeric = "rating" not in textual
-    ids = dense_id(first_rows(rows, "review_text", order), order, "review_id")
     result = (
-        rows.join(hashed(ids), order)
+        dense_id(first_rows(rows, "review_text", order), order, "review_id")
         .withColumn("sentiment_label", labels.rating_sentiment(F.col("rating"), numeric))
         .withColumn("date", F.lit(None).cast("date"))
         .withColumn("issue_label", F.lit(None).cast("string"))

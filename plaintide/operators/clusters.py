@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide import rules
 from plaintide.functions import text, vectors
-from plaintide.operators.ids import LOW_BITS
-from plaintide.operators.joins import bounded
+from plaintide.operators.ids import LOW_BITS, most_frequent
 from plaintide.operators.once import once
 from plaintide.schema import REVIEW_CLUSTER_COLUMNS, require_columns, select_existing
-from plaintide.session import written
+
+
+#: Numbers in all centres together that may travel as one value (8 bytes each).
+MAX_CENTER_NUMBERS = 1 << 24
 
 
 def l2_normalize(df: DataFrame, vector: str, name: str | None = None) -> DataFrame:
@@ -48,11 +50,11 @@ def with_distance(
 ) -> DataFrame:
     """Euclidean distance of every row to the centre of its own cluster.
 
-    The centres are written first: their true size then decides between a broadcast
-    and a shuffle join (which AQE splits at a skewed cluster).
+    The measured size of the centres decides between a broadcast and a shuffle join,
+    which AQE splits at a skewed cluster.
     """
     return (
-        df.join(written(centers.select(cluster, F.col("center").alias("_center"))), cluster)
+        df.join(centers.select(cluster, F.col("center").alias("_center")), cluster)
         .withColumn(name, vectors.euclidean(F.col(vector), F.col("_center")))
         .drop("_center")
     )
@@ -65,10 +67,13 @@ def nearest_center(
     """Assign every row to the nearest centre; the lower id wins a tie.
 
     All centres are needed for every row, as in any k-means step: they travel as one
-    value of k * dimensions numbers, taken from a scalar subquery.
+    value of k * dimensions numbers, taken from a scalar subquery.  More than
+    ``MAX_CENTER_NUMBERS`` are an error.
     """
-    table = written(centers.select(F.col(cluster).alias("id"), "center"))
-    everything = table.agg(F.sort_array(F.collect_list(F.struct("id", "center"))).alias("c")).scalar()
+    table = centers.select(F.col(cluster).alias("id"), "center")
+    numbers = table.agg(F.sum(F.size("center")).alias("n")).scalar()
+    fits = table.filter(F.when(numbers > MAX_CENTER_NUMBERS, F.raise_error(F.lit("too many centres for one value"))).isNull())
+    everything = fits.agg(F.sort_array(F.collect_list(F.struct("id", "center"))).alias("c")).scalar()
     distances = F.transform(
         F.col("_centers"),
         lambda c: F.struct(vectors.euclidean(F.col(vector), c["center"]).alias("distance"), c["id"].alias("id")),
@@ -99,14 +104,12 @@ def _seams(words: DataFrame, cluster: str, order: str) -> DataFrame:
     Neighbours are found inside buckets of 2**17 consecutive ids and then between
     the ends of the buckets, so that no cluster is handled as one group.
     """
-    ends = written(
-        words.filter(F.size("_words") > 0).select(
-            cluster,
-            order,
-            F.shiftright(F.col(order).cast("bigint"), LOW_BITS).alias("_bucket"),
-            F.get("_words", F.lit(0)).alias("_first"),
-            F.element_at("_words", -1).alias("_last"),
-        )
+    ends = words.filter(F.size("_words") > 0).select(
+        cluster,
+        order,
+        F.shiftright(F.col(order).cast("bigint"), LOW_BITS).alias("_bucket"),
+        F.get("_words", F.lit(0)).alias("_first"),
+        F.element_at("_words", -1).alias("_last"),
     )
     inside = Window.partitionBy(cluster, "_bucket").orderBy(order)
     between = Window.partitionBy(cluster).orderBy("_bucket")
@@ -126,7 +129,7 @@ def cluster_term_counts(
     text_col: str = "review_text",
     cluster: str = "cluster_id",
     stop_words: Sequence[str] = tuple(rules.ENGLISH_STOP_WORDS),
-    across_reviews: bool = False,
+    across_reviews: bool = True,
     order: str = "review_id",
 ) -> DataFrame:
     """Occurrences of every word and word pair per cluster.
@@ -153,25 +156,20 @@ def cluster_keyword_scores(
     stop_words: Sequence[str] = tuple(rules.ENGLISH_STOP_WORDS),
     domain_words: Sequence[str] = tuple(rules.DOMAIN_STOP_WORDS),
     min_df: int = 2,
-    max_features: int = 8000,
-    across_reviews: bool = False,
+    max_features: int | None = 8000,
+    across_reviews: bool = True,
     order: str = "review_id",
 ) -> DataFrame:
     """The ``n`` best terms per cluster by tf * (ln((1 + clusters) / (1 + df)) + 1).
 
     The vocabulary is the ``max_features`` most frequent terms found in ``min_df``
-    clusters.  The term counts are shuffled once and read by both sides of the join.
+    clusters, or all of these with ``None``.  It is a cut: a cluster whose words are rare
+    overall gets fewer keywords.  The term counts are shuffled once and read by both sides of the join.
     ``df`` should be a table: its clusters are counted in a scan of their own.
     """
     counts = cluster_term_counts(df, text_col, cluster, stop_words, across_reviews, order)
-    vocabulary = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("_total"), "term")
-        .limit(max_features)
-        .select("term", "df")
-    )
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
+    vocabulary = most_frequent(terms.filter(F.col("df") >= min_df), max_features, "_total", "term").select("term", "df")
     wanted = vocabulary.filter(
         (F.length("term") > 2)
         & ~F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(w) for w in domain_words]))
@@ -180,7 +178,7 @@ def cluster_keyword_scores(
     score = F.col("tf") * (F.log((1 + F.col("_clusters")) / (1 + F.col("df"))) + 1)
     best = Window.partitionBy(cluster).orderBy(F.desc("score"), "term")
     return (
-        counts.join(bounded(wanted, max_features), "term")
+        counts.join(wanted, "term")
         .withColumn("_clusters", clusters)
         .withColumn("score", score)
         .withColumn("rank", F.row_number().over(best))
@@ -250,7 +248,7 @@ def representative_reviews(
     Numbers are ranked first; only the few winners fetch their text.
     """
     nearest = Window.partitionBy(cluster).orderBy(distance, ident)
-    winners = written(
+    winners = (
         df.select(cluster, distance, ident)
         .withColumn("_rank", F.row_number().over(nearest))
         .filter(F.col("_rank") <= n)

@@ -15,9 +15,9 @@ def value_counts(df: DataFrame, column: str, name: str = "count") -> DataFrame:
 def distribution(
     df: DataFrame, column: str, count_name: str = "count", share_name: str = "proportion"
 ) -> DataFrame:
-    """Rows per value and their share of all rows (the window sees one row per value)."""
-    everything = F.sum(count_name).over(Window.partitionBy())
-    return value_counts(df, column, count_name).withColumn(share_name, F.col(count_name) / everything)
+    """Rows per value and their share of all rows; the counts are shuffled once and read by both."""
+    counts = value_counts(df, column, count_name)
+    return counts.withColumn(share_name, F.col(count_name) / counts.agg(F.sum(count_name)).scalar())
 
 
 def negative_distribution(df: DataFrame, column: str = "issue_label") -> DataFrame:

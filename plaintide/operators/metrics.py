@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plaintide import rules
 from plaintide.functions.text import normalized_label, parse_boolean
 from plaintide.operators.ids import small_rank, top_rows
-from plaintide.operators.joins import bounded
 from plaintide.schema import ERROR_REVIEW_COLUMNS, PREDICTION_COLUMNS, require_columns, select_existing
 
 MACRO, WEIGHTED = "macro avg", "weighted avg"
@@ -33,7 +32,7 @@ def class_weights(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame
 
 def with_class_weights(df: DataFrame, label: str, labels: Sequence[str], name: str = "class_weight") -> DataFrame:
     weights = class_weights(df, label, labels).select(label, F.col("class_weight").alias(name))
-    return df.join(bounded(weights, len(labels)), label)
+    return df.join(weights, label)
 
 
 def rare_labels(df: DataFrame, label: str, fewer_than: int = 2) -> DataFrame:
@@ -144,7 +143,7 @@ def error_review_queue(predictions: DataFrame, order: str, max_rows: int = 150)
     rank = F.when(F.col("true_label").isin(rules.PRIORITY_TRUE_LABELS), 1).otherwise(2)
     keys = [F.asc("review_priority"), F.asc("true_label"), F.desc("confidence"), F.asc(order)]
     wrong = known.filter(~F.col("correct")).withColumn("review_priority", rank)
-    worst = top_rows(wrong, max_rows, *keys)
+    worst = top_rows(wrong, max_rows, *keys, keys=["review_priority", "true_label", "confidence"], ident=order)
     queue = small_rank(worst, "review_id_for_error_analysis", *keys).withColumns(
         {
             "corrected_label": F.col("true_label"),

@@ -41,6 +41,7 @@ def priority_scores(df: DataFrame, weights: Mapping[str, float] = rules.PRIORITY
     """Score 0..100 and rank of every cluster; works on a table of clusters.
 
     Missing optional columns get neutral defaults.  Equal scores rank by cluster id.
+    Counts may come as text or with decimals; they are whole numbers in the result.
     """
     require_columns(df, ["cluster_id", "cluster_theme", "cluster_size", "major_issue", "top_keywords"])
     defaults = {
@@ -75,7 +76,8 @@ def priority_scores(df: DataFrame, weights: Mapping[str, float] = rules.PRIORITY
     scored = scored.withColumn("priority_score", F.rint(share * 100 * 100) / 100)
     ranked = small_rank(scored, "priority_rank", F.desc("priority_score"), F.asc("cluster_id"))
     reviews = [c for c in ranked.columns if c.startswith("representative_review_")]
-    ranked = ranked.withColumns({c: text.clip(F.col(c), CLIP) for c in reviews})
+    whole = {c: F.col(c).cast("bigint") for c in ("cluster_size", "major_issue_count")}
+    ranked = ranked.withColumns({c: text.clip(F.col(c), CLIP) for c in reviews} | whole)
     return select_existing(ranked, PRIORITY_COLUMNS)
 
 

@@ -17,10 +17,8 @@ from plaintide import rules
 from plaintide.functions.text import strip
 from plaintide.operators.annotate import fill_issue_label
 from plaintide.operators.cleaning import usable_reviews
-from plaintide.operators.joins import bounded
 from plaintide.operators.ids import small_rank
 from plaintide.schema import ANNOTATION_COLUMNS, require_columns
-from plaintide.session import written
 
 BUCKET_DIGITS = 5
 BUCKETS = 16**BUCKET_DIGITS
@@ -47,17 +45,17 @@ def _bucket_starts(hashed: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def first_by_hash(
-    df: DataFrame, ident: str, n: int, strata: Sequence[str] = (), n_strata: int = 1, seed: int = 42
+    df: DataFrame, ident: str, n: int, strata: Sequence[str] = (), seed: int = 42
 ) -> DataFrame:
     """Exactly the first ``n`` ids of every stratum, with their ``_hash`` and ``_rank``.
 
-    ``n_strata`` is the number of strata the label sets allow; strata are not null.
+    Strata are not null.
     """
     hashed = _hashed(df.select(*strata, ident), ident, seed)
     wanted = _bucket_starts(hashed, strata).filter(F.col("_before") < n).drop("_n")
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_hash", ident)
     return (
-        hashed.join(bounded(wanted, n_strata * min(BUCKETS, n)), [*strata, "_bucket"])
+        hashed.join(wanted, [*strata, "_bucket"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
         .filter(F.col("_rank") <= n)
         .select(*strata, ident, "_hash", "_rank")
@@ -67,7 +65,7 @@ def first_by_hash(
 def sample_n(df: DataFrame, n: int, ident: str = "review_id", seed: int = 42) -> DataFrame:
     """``n`` random rows, or all rows when there are fewer."""
     drawn = first_by_hash(df, ident, n, seed=seed).select(ident)
-    return df.join(bounded(drawn, n), ident, "left_semi")
+    return df.join(drawn, ident, "left_semi")
 
 
 def cap_per_class(
@@ -75,8 +73,8 @@ def cap_per_class(
 ) -> DataFrame:
     """At most ``cap`` random rows of every class."""
     rows = df.filter(F.col(label).isin(list(labels)))
-    drawn = first_by_hash(rows, ident, cap, [label], len(labels), seed).select(ident)
-    return rows.join(bounded(drawn, cap * len(labels)), ident, "left_semi")
+    drawn = first_by_hash(rows, ident, cap, [label], seed).select(ident)
+    return rows.join(drawn, ident, "left_semi")
 
 
 def _pick(candidates: DataFrame, target: Column, ident: str, group: str, stratum: str) -> DataFrame:
@@ -99,14 +97,13 @@ def stratified_sample(
     df: DataFrame,
     target: int,
     stratum: str = "rule_issue_label",
-    strata: Sequence[str] = tuple(rules.ISSUES),
     ident: str = "review_id",
     seed: int = 42,
 ) -> DataFrame:
     """``target`` rows spread evenly over the strata, filled up from the rest."""
-    drawn = first_by_hash(df, ident, target, [stratum], len(strata), seed).withColumn("_all", F.lit(1))
+    drawn = first_by_hash(df, ident, target, [stratum], seed).withColumn("_all", F.lit(1))
     picked = _pick(drawn, F.lit(target), ident, "_all", stratum).filter("_picked").select(ident)
-    return df.join(bounded(picked, target), ident, "left_semi")
+    return df.join(picked, ident, "left_semi")
 
 
 def sentiment_targets(total: int) -> dict[str, int]:
@@ -117,17 +114,16 @@ def sentiment_targets(total: int) -> dict[str, int]:
 def annotation_sample(df: DataFrame, total: int = 2000, seed: int = 42, ident: str = "review_id") -> DataFrame:
     """Sample for annotators: sentiment quotas, issues spread evenly, ids in random order.
 
-    The labels are computed once into a narrow table (id, sentiment, issue).  At most
-    ``total`` rows per (sentiment, issue) can be drawn, so the ranking steps see a
-    table whose size the parameters fix.
+    At most ``total`` rows per (sentiment, issue) can be drawn, so the ranking steps see a
+    table whose size the parameters fix.  Labels are read twice, to count and to rank.
     """
     require_columns(df, [ident, "review_text", "rating", "sentiment_label", "issue_label"])
     usable = fill_issue_label(usable_reviews(df)).withColumnRenamed("issue_label", "rule_issue_label")
     usable = usable.filter(F.col("sentiment_label").isin(rules.SENTIMENTS))
-    narrow = written(usable.select(ident, "sentiment_label", "rule_issue_label"))
+    narrow = usable.select(ident, "sentiment_label", "rule_issue_label")
 
     groups = ["sentiment_label", "rule_issue_label"]
-    drawn = first_by_hash(narrow, ident, total, groups, len(rules.SENTIMENTS) * len(rules.ISSUES), seed)
+    drawn = first_by_hash(narrow, ident, total, groups, seed)
     target = F.lit(0)
     for sentiment, share in sentiment_targets(total).items():
         target = F.when(F.col("sentiment_label") == sentiment, share).otherwise(target)
@@ -139,7 +135,7 @@ def annotation_sample(df: DataFrame, total: int = 2000, seed: int = 42, ident: s
     )
     return (
         df.select(ident, "review_text", "rating", "sentiment_label")
-        .join(bounded(numbered, total), ident)
+        .join(numbered, ident)
         .withColumns(
             {
                 "review_text": strip(F.col("review_text")),
@@ -200,7 +196,7 @@ def stratified_split(
     rows = df.filter(F.col(label).isin(list(labels)))
     hashed = _hashed(rows, ident, seed)
     quotas = split_quotas(rows, label, test, validation)
-    starts = _bucket_starts(hashed.select(label, "_bucket"), [label]).join(bounded(quotas, len(labels)), label)
+    starts = _bucket_starts(hashed.select(label, "_bucket"), [label]).join(quotas, label)
     first, second = F.col("_test"), F.col("_test") + F.col("_validation")
     start, end = F.col("_before"), F.col("_before") + F.col("_n")
 
@@ -220,7 +216,7 @@ def stratified_split(
     edge = F.when(bucket == F.col("_edge_1._bucket"), F.col("_edge_1._before")).when(
         bucket == F.col("_edge_2._bucket"), F.col("_edge_2._before")
     )
-    placed = hashed.join(bounded(cuts, len(labels)), label).withColumn("_start", edge)
+    placed = hashed.join(cuts, label).withColumn("_start", edge)
     whole = F.when(bucket <= F.col("_last_test"), "test").when(bucket <= F.col("_last_validation"), "validation")
     inside = Window.partitionBy(label, "_bucket").orderBy("_hash", ident)
     ranked = placed.filter(F.col("_start").isNotNull()).withColumn(

@@ -125,9 +125,10 @@ def not_blank(df: DataFrame, text_col: str = "review_text") -> DataFrame:
     return once(df, {text_col: text.strip(F.coalesce(text_col, F.lit("")))}).filter(F.col(text_col) != "")
 
 
-def blank(df: DataFrame, text_col: str = "review_text") -> DataFrame:
-    """The rejects of :func:`not_blank`."""
-    return df.filter(text.strip(F.coalesce(text_col, F.lit(""))) == "")
+def rejects(df: DataFrame, ident: str = "review_id", text_col: str = "review_text") -> DataFrame:
+    """(id, reason) of the rows that :func:`not_blank` drops."""
+    empty = text.strip(F.coalesce(text_col, F.lit(""))) == ""
+    return df.filter(empty).select(ident, F.lit("blank review text").alias("reason"))
 
 
 def score_feedback(

@@ -24,9 +24,9 @@ CLUSTER_INPUT = ["review_id", "review_text", "sentiment_label", "rating", "produ
 
 
 def reviews_to_cluster(
-    clean: DataFrame, sentiment: str = "negative", max_samples: int | None = 20_000, seed: int = 42
+    clean: DataFrame, sentiment: str = "negative", max_samples: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Usable reviews of one sentiment, sampled; an error when there are none."""
+    """Usable reviews of one sentiment, all of them unless a sample is asked for; an error when there are none."""
     require_columns(clean, CLUSTER_INPUT)
     rows = by_sentiment(usable_reviews(clean.select(*CLUSTER_INPUT)), sentiment)
     if rows.isEmpty():
@@ -54,9 +54,9 @@ def embed_with_plugin(
 
 
 def kmeans_clusters(
-    df: DataFrame, k: int = 20, seed: int = 42, vector: str = "embedding", max_iter: int = 20
+    df: DataFrame, k: int = 20, seed: int = 42, vector: str = "embedding", max_iter: int = 300
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``cluster_id``, table of centres)."""
+    """(rows with ``cluster_id``, table of centres); the centres' movement ends the fit well before ``max_iter``."""
     featured = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
     model = KMeans(
         k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster_id"
@@ -79,19 +79,19 @@ def cluster_reviews(
     embed: Callable[[DataFrame], DataFrame] = embed_reviews,
     k: int = 20,
     sentiment: str = "negative",
-    max_samples: int | None = 20_000,
+    max_samples: int | None = None,
     seed: int = 42,
 ) -> Clustering:
-    """Filter, sample, score, embed, cluster, summarise.
+    """Filter, score, embed, cluster, summarise.
 
     ``score`` adds ``predicted_issue_label`` and ``predicted_issue_confidence``; the
-    keyword scorer is the default.  Features are written once: k-means, distances and
-    the silhouette all read them.
+    keyword scorer is the default.  Features are written once, as k-means reads them many
+    times; cluster and distance follow from the centres in one more scan.
     """
     rows = reviews_to_cluster(clean, sentiment, max_samples, seed)
     featured = written(embed((score or keyword_issues)(rows)))
     assigned, centers = kmeans_clusters(featured, k, seed)
-    measured = written(clusters.with_distance(assigned, centers))
+    measured = clusters.with_distance(assigned, centers)
     value = clusters.silhouette(measured)
     reviews = clusters.review_clusters(measured)
     return Clustering(reviews, value, clusters.cluster_summary(reviews, value))
@@ -108,14 +108,16 @@ def keyword_issues(df: DataFrame) -> DataFrame:
 def insight_job(clean: DataFrame, out: str, top_n: int = 10, **options) -> DataFrame:
     """The whole job: clusters, themes, priorities and both reports under ``out``."""
     found = cluster_reviews(clean, **options)
-    write_table(found.reviews, f"{out}/review_clusters")
-    write_table(found.summary, f"{out}/cluster_summary")
     spark = clean.sparkSession
+    write_table(found.reviews, f"{out}/review_clusters")
+    reviews = spark.read.parquet(f"{out}/review_clusters")
+    write_table(clusters.cluster_summary(reviews, found.silhouette), f"{out}/cluster_summary")
     labeled = themes.label_themes(spark.read.parquet(f"{out}/cluster_summary"))
     write_table(labeled, f"{out}/cluster_summary_labeled")
     labeled = spark.read.parquet(f"{out}/cluster_summary_labeled")
     write_table(priority.priority_scores(labeled), f"{out}/priority_scores")
     ranked = spark.read.parquet(f"{out}/priority_scores")
-    write_lines(reports.clustering_report(labeled), f"{out}/clustering_report")
-    write_lines(reports.insight_report(ranked, top_n), f"{out}/insight_report")
+    sentiment = options.get("sentiment", "negative")
+    write_lines(reports.clustering_report(labeled, sentiment=sentiment), f"{out}/clustering_report")
+    write_lines(reports.insight_report(ranked, top_n, sentiment=sentiment), f"{out}/insight_report")
     return ranked

@@ -2,6 +2,7 @@
 
 A line has the key (section, item, line_no); writers sort by it.  The tables hold
 clusters, never reviews, and at most ``top_n`` of them reach the detail sections.
+Fixed values: headings, table heads and the labels that begin the lines.
 """
 
 from __future__ import annotations
@@ -17,49 +18,34 @@ from plaintide.schema import require_columns
 
 KEY = ["section", "item", "line_no"]
 
-# ---------------------------------------------------------------------------
-# The prose of the two reports.
-# ---------------------------------------------------------------------------
-CLUSTER_INTERPRETATION = [
-    "The clustering results reveal several recurring complaint themes in negative reviews. "
-    "Common themes include battery and charging failures, carrier or SIM compatibility problems, "
-    "screen and display defects, refurbished or damaged product condition, software and app stability issues, "
-    "and service or warranty-related complaints.",
-    "",
-    "These clusters complement the supervised issue classifier. While the issue classifier assigns predefined "
-    "categories to individual reviews, clustering helps discover repeated sub-themes and representative examples "
-    "within the review corpus.",
-    "",
-]
-INSIGHT_INTRO = (
-    "This report summarizes high-priority complaint themes discovered from mobile phone customer reviews. "
-    "It combines transformer-based issue prediction, sentence embedding clustering, and priority scoring."
+CLUSTERING, EMBEDDING, ISSUES = "KMeans", "L2-normalized term vectors", "keyword scores"
+INTERPRETATION = (
+    "Clusters are found without labels. The issue of a cluster is the label that most of its reviews were given, "
+    "and its theme follows from keywords, issue and representative reviews."
 )
-INSIGHT_METHOD = (
-    "The priority score is based on cluster size, issue concentration, average model confidence, "
-    "and negative review ratio. Since the current public dataset does not provide reliable review timestamps, "
-    "short-term growth is represented as a neutral proxy and should be replaced with time-based trend signals in future work."
+SCORE_METHOD = (
+    "The score weighs the size of a cluster, the share of its main issue, the confidence of the issue labels and the "
+    "share of negative reviews. Reviews carry no dates, so growth counts as neutral."
 )
-INSIGHT_CLOSING = [
-    "## 4. Product Implications",
-    "",
-    "The results suggest that customer dissatisfaction is concentrated around several operationally meaningful themes: "
-    "battery and charging reliability, carrier or SIM compatibility, refurbished or damaged device condition, "
-    "screen and display defects, performance instability, and audio/call quality issues.",
-    "",
-    "For product and operations teams, these results can support prioritization of QA checks, product listing improvements, "
-    "seller governance, compatibility warnings, and after-sales support workflows.",
-    "",
-    "## 5. Limitations and Future Work",
-    "",
-    "- The current issue classifier is trained as a single-label classifier, so Top-K outputs should be interpreted as candidate rankings rather than true multi-label probabilities.",
-    "- Some clusters contain mixed themes because customer reviews often mention several issues in one paragraph.",
-    "- The current dataset does not contain reliable review timestamps, so trend growth cannot yet be measured directly.",
-    "- Future versions can add multi-label issue detection, time-based trend monitoring, and a dedicated audio/accessory issue category.",
-    "",
+LIMITS = [
+    "- Each review is given one issue; lower ranks are candidates, not further labels.",
+    "- One review can complain of several things, so a cluster can mix themes.",
+    "- Without dates no trend can be measured.",
 ]
 
 
+def scope(sentiment: str) -> str:
+    """The reviews a report is about."""
+    return "customer reviews" if sentiment.lower() == "all" else f"{sentiment} customer reviews"
+
+
+def _theme_line(df: DataFrame, before: str, *order: Column) -> DataFrame:
+    """One row with the distinct themes of a small table, in ``order`` and then by name."""
+    ranked = df.groupBy("cluster_theme").agg(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    keys = F.sort_array(F.collect_list(F.struct(*[f"_o{i}" for i in range(len(order))], "cluster_theme")))
+    return ranked.agg(F.concat(F.lit(before), F.array_join(F.transform(keys, lambda x: x["cluster_theme"]), ", "), F.lit(".")).alias("_themes"))
+
+
 def _lines(df: DataFrame, section: int, item: Column, lines: Sequence[Column | str | None]) -> DataFrame:
     """Each row of ``df`` gives the listed lines; a null line is left out."""
     texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
@@ -98,8 +84,9 @@ def _reviews(df: DataFrame) -> list[Column]:
 def clustering_report(
     df: DataFrame,
     top_n: int = 20,
-    embedding_method: str = "L2-normalized term vectors",
-    clustering_method: str = "KMeans",
+    embedding_method: str = EMBEDDING,
+    clustering_method: str = CLUSTERING,
+    sentiment: str = "negative",
 ) -> DataFrame:
     """Report on labelled clusters, the largest first."""
     require_columns(df, ["cluster_id", "cluster_theme", "cluster_size", "top_keywords", "major_issue"])
@@ -121,12 +108,11 @@ def clustering_report(
             "",
             "## 1. Overview",
             "",
-            "This report summarizes recurring complaint themes discovered from customer reviews "
-            f"using sentence embeddings and {clustering_method} clustering.",
+            f"Themes that recur in {scope(sentiment)}, found by {clustering_method} on {embedding_method}.",
             "",
             _joined("- Total clustered reviews: **", F.col("_reviews"), "**"),
             _joined("- Number of clusters: **", F.col("_clusters"), "**"),
-            "- Input reviews: negative customer reviews",
+            f"- Input reviews: {scope(sentiment)}",
             f"- Embedding method: {embedding_method}",
             f"- Clustering method: {clustering_method}",
             "",
@@ -135,6 +121,7 @@ def clustering_report(
         ],
     )
     themes = small_rank(theme_distribution(df), "_no", F.desc("count"), "cluster_theme")
+    found = _theme_line(df, "Themes found, those of most clusters first: ", -F.count(F.lit(1)))
     ranked = df.orderBy(F.desc(_whole("cluster_size")), "cluster_id").limit(top_n)
     top = small_rank(ranked, "_no", F.desc(_whole("cluster_size")), "cluster_id")
     detail = [
@@ -175,12 +162,18 @@ def clustering_report(
         ),
         _lines(totals, 4, F.lit(0), ["", "## 4. Detailed Cluster Summaries", ""]),
         _lines(top, 4, F.col("_no"), detail),
-        _lines(totals, 5, F.lit(0), ["## 5. Interpretation", "", *CLUSTER_INTERPRETATION]),
+        _lines(found, 5, F.lit(0), ["## 5. Interpretation", "", F.col("_themes"), "", INTERPRETATION, ""]),
     ]
     return _union(parts)
 
 
-def insight_report(df: DataFrame, top_n: int = 10) -> DataFrame:
+def insight_report(
+    df: DataFrame,
+    top_n: int = 10,
+    sentiment: str = "negative",
+    issue_method: str = ISSUES,
+    cluster_method: str = f"{CLUSTERING} on {EMBEDDING}",
+) -> DataFrame:
     """Report on ranked clusters, the most urgent first."""
     require_columns(
         df,
@@ -188,6 +181,7 @@ def insight_report(df: DataFrame, top_n: int = 10) -> DataFrame:
     )
     top = df.orderBy("priority_rank").limit(top_n)
     totals = df.agg(F.sum(_whole("cluster_size")).alias("_reviews"), F.count(F.lit(1)).alias("_clusters"))
+    urgent = _theme_line(top, "Themes to act on first: ", F.min("priority_rank"))
     rank = _whole("priority_rank")
     theme, issue, keywords = (clip(F.col(c), n) for c, n in [("cluster_theme", 200), ("major_issue", 100), ("top_keywords", 250)])
     overview = [
@@ -195,15 +189,15 @@ def insight_report(df: DataFrame, top_n: int = 10) -> DataFrame:
         "",
         "## 1. Executive Summary",
         "",
-        INSIGHT_INTRO,
+        f"Complaint themes of {scope(sentiment)}, the most urgent first. Issues come from {issue_method}, clusters from {cluster_method}.",
         "",
-        _joined("- Total clustered negative reviews: **", F.col("_reviews"), "**"),
+        _joined(f"- Total clustered {scope(sentiment).replace('customer ', '')}: **", F.col("_reviews"), "**"),
         _joined("- Number of complaint clusters: **", F.col("_clusters"), "**"),
         _joined(
             "- Top priority themes included in this report: **", F.least(F.col("_clusters"), F.lit(top_n)), "**"
         ),
         "",
-        INSIGHT_METHOD,
+        SCORE_METHOD,
         "",
     ]
     table_row = _joined(
@@ -240,7 +234,10 @@ def insight_report(df: DataFrame, top_n: int = 10) -> DataFrame:
         _lines(top, 2, rank, [table_row]),
         _lines(totals, 3, F.lit(0), ["", "## 3. Detailed Priority Analysis", ""]),
         _lines(top, 3, rank, detail),
-        _lines(totals, 4, F.lit(0), INSIGHT_CLOSING),
+        _lines(
+            urgent, 4, F.lit(0),
+            ["## 4. Product Implications", "", F.col("_themes"), "", "## 5. Limitations and Future Work", "", *LIMITS, ""],
+        ),
     ]
     return _union(parts)
 

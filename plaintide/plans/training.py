@@ -13,17 +13,18 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plaintide import rules
 from plaintide.functions.text import TOKEN
 from plaintide.operators import metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
+from plaintide.operators.ids import most_frequent
 from plaintide.operators.once import once
 from plaintide.plans.reports import classification_report_text
 from plaintide.schema import label_id
-from plaintide.session import spread, written
+from plaintide.session import written
 from plaintide.sources.writers import write_label_mapping, write_lines, write_metrics, write_table
 
 
@@ -49,8 +50,8 @@ class Trained:
         return metrics.confusion_matrix(self.predictions, self.labels)
 
 
-def _vocabulary(docs: DataFrame, min_df: float, max_df: float, max_features: int) -> list[tuple[str, float]]:
-    """The most frequent terms with their idf; ``max_features`` bounds what reaches the driver.
+def tfidf_vocabulary(docs: DataFrame, min_df: float = 3.0, max_df: float = 0.9, max_features: int | None = 50_000) -> DataFrame:
+    """(term, tf, df, idf) of the ``max_features`` most frequent terms of the ``_terms`` arrays.
 
     One pass and one shuffle: every occurrence counts for the frequency of a term, the
     first one in the sorted terms of a row also for the number of rows that have it.
@@ -62,20 +63,49 @@ def _vocabulary(docs: DataFrame, min_df: float, max_df: float, max_features: int
             t.alias("term"), F.when(t == F.get("_sorted", i - 1), 0).otherwise(1).alias("first")
         ),
     )
-    n = docs.count()
-    best = (
+    terms = (
         sorted_terms.select(F.inline(occurrences))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-        .orderBy(F.desc("tf"), "term")
-        .limit(max_features)
-        .select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-        .collect()
+        .withColumn("_rows", docs.agg(F.count(F.lit(1))).scalar())
+        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_rows")))
     )
-    if not best:
+    best = most_frequent(terms, max_features, "tf", "term")
+    return best.select("term", "tf", "df", (F.log((1 + F.col("_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, ident: str = "review_id") -> DataFrame:
+    """(id, term, weight) of the terms of each row that the vocabulary has, scaled to length 1."""
+    counts = docs.select(ident, F.explode("_terms").alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("_n"))
+    weighed = counts.join(vocabulary.select("term", "idf"), "term").withColumn("_w", F.col("_n") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(ident)))
+    return weighed.select(ident, "term", (F.col("_w") / norm).alias("weight"))
+
+
+def _collected(vocabulary: DataFrame) -> list[tuple[str, float]]:
+    """The vocabulary in the driver, most frequent term first: at most ``max_features`` rows."""
+    rows = sorted(vocabulary.collect(), key=lambda r: (-r.tf, r.term))
+    if not rows:
         raise ValueError("no term is frequent enough for the vocabulary")
-    return [(row.term, row.idf) for row in best]
+    return [(row.term, row.idf) for row in rows]
+
+
+def term_stages(text_col: str = "review_text", stop_words: Sequence[str] = tuple(rules.ENGLISH_STOP_WORDS)) -> list:
+    """Words and word pairs of a text as the array ``_terms``."""
+    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN, gaps=False, toLowercase=True)
+    words = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(stop_words))
+    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
+    terms = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
+    return [tokens, words, pairs, terms]
+
+
+def tfidf_stages(vocabulary: Sequence[tuple[str, float]]) -> list:
+    """``_terms`` to the vector ``_features`` of tf * idf, scaled to length 1."""
+    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol="_terms", outputCol="_counts")
+    weigh = ElementwiseProduct(
+        scalingVec=Vectors.dense([idf for _, idf in vocabulary]), inputCol="_counts", outputCol="_tfidf"
+    )
+    return [counter, weigh, Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")]
 
 
 def fit_text_classifier(
@@ -99,27 +129,18 @@ def fit_text_classifier(
     rows = metrics.with_class_weights(train, label, labels, "_weight").select(
         text_col, label_id(F.col(label), labels).cast("double").alias("_label"), "_weight"
     )
-    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN, gaps=False, toLowercase=True)
-    words = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(stop_words))
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    terms = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    stages = [tokens, words, pairs, terms]
-    prepared = PipelineModel(stages).transform(rows).select("_terms", "_label", "_weight")
-
-    vocabulary = _vocabulary(prepared, min_df, max_df, max_features)
-    counter = CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol="_terms", outputCol="_counts")
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf for _, idf in vocabulary]), inputCol="_counts", outputCol="_tfidf"
-    )
-    unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")
-    weighted = PipelineModel([counter, weigh, unit]).transform(prepared)
-    features = spread(written(weighted.select("_features", "_label", "_weight")))
+    stages = term_stages(text_col, stop_words)
+    # Terms are read to count them, to weigh them and to count rows: tokenise once.
+    prepared = written(PipelineModel(stages).transform(rows).select("_terms", "_label", "_weight"))
+    vectorize = tfidf_stages(_collected(tfidf_vocabulary(prepared, min_df, max_df, max_features)))
+    weighted = PipelineModel(vectorize).transform(prepared)
+    features = written(weighted.select("_features", "_label", "_weight"))
     regression = LogisticRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", family="multinomial",
         maxIter=max_iter, regParam=1.0 / (c * features.count()), standardization=False, tol=1e-4,
         predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="probability",
     ).fit(features)
-    return PipelineModel([*stages, counter, weigh, unit, regression])
+    return PipelineModel([*stages, *vectorize, regression])
 
 
 def score_classes(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
@@ -150,12 +171,25 @@ def baseline_feedback(df: DataFrame, model: PipelineModel) -> DataFrame:
 def score_feedback(
     df: DataFrame, sentiment_model: PipelineModel, issue_model: PipelineModel, **triage_options
 ) -> DataFrame:
-    """Sentiment and issue triage of every review from two fitted models."""
+    """Sentiment and issue triage of every review from two fitted models.
+
+    Blank reviews can't be scored; ``scoring.rejects`` gives them.
+    """
     scored = score_classes(scoring.not_blank(df), sentiment_model, "_sentiment")
     both = score_classes(scored, issue_model, "_issue")
     return scoring.score_feedback(both, "_sentiment", "_issue", **triage_options).drop("_sentiment", "_issue")
 
 
+def feedback_job(
+    df: DataFrame, sentiment_model: str, issue_model: str, out: str, ident: str = "review_id", **triage_options
+) -> DataFrame:
+    """Score reviews with two saved models; scored rows and rejects together are all rows."""
+    models = [PipelineModel.load(path) for path in (sentiment_model, issue_model)]
+    write_table(score_feedback(df, *models, **triage_options), f"{out}/feedback")
+    write_table(scoring.rejects(df, ident), f"{out}/feedback_rejects")
+    return df.sparkSession.read.parquet(f"{out}/feedback")
+
+
 def save(trained: Trained, out: str, title: str | None = None) -> None:
     """Model, label map, metrics, report, confusion matrix and test predictions."""
     spark = trained.predictions.sparkSession
@@ -165,7 +199,7 @@ def save(trained: Trained, out: str, title: str | None = None) -> None:
     summary = metrics.classifier_metrics(tested, trained.labels)
     write_metrics(summary, f"{out}/metrics")
     report = metrics.classification_report(tested, trained.labels)
-    accuracy = F.lit(summary.first()["accuracy"])
+    accuracy = spark.read.json(f"{out}/metrics").agg(F.first("accuracy")).scalar()
     write_lines(classification_report_text(report, accuracy, title=title), f"{out}/report")
     write_table(metrics.confusion_matrix(tested, trained.labels), f"{out}/confusion_matrix", "csv")
     write_table(tested, f"{out}/test_predictions")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Names, order and types of the columns of all tables.
 RAW_REVIEWS = (
     "`Product Name` STRING, `Brand Name` STRING, Price DOUBLE, Rating DOUBLE, "
     "Reviews STRING, `Review Votes` DOUBLE"

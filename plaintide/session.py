@@ -1,19 +1,12 @@
-"""Session helpers: a tuned builder and lineage cuts through the shared folder."""
+"""Session helpers: a tuned builder and tables in the folder the cluster shares."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="plaintide-")
-
-
 def build_session(app: str = "plaintide", master: str | None = None, **conf: str) -> SparkSession:
     """A session for local runs; on a cluster the submitter's settings stay in force."""
     builder = SparkSession.builder.appName(app)
@@ -31,32 +24,18 @@ def build_session(app: str = "plaintide", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_folder()
+    """The folder named by ``spark.checkpoint.dir``, else Spark's warehouse; a cluster shares both."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back.
+    """Write ``df`` once and read it back, for jobs that read a table many times.
 
-    Cuts the lineage so that a lost executor costs a re-read, computes a shared
-    input once, and gives Catalyst the real size of the table: a join with it is
-    broadcast only when it is below ``spark.sql.autoBroadcastJoinThreshold``.
+    Cuts the lineage so that a lost executor costs a re-read.  Operators don't call it:
+    building a DataFrame starts no job.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table with fewer splits than the cluster has cores one split per core.
-
-    Large tables have many more splits than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

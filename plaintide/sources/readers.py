@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from plaintide import rules
 from plaintide.functions.text import parse_double
 from plaintide.operators.cleaning import normalize_na
-from plaintide.session import spread, written
 
 BOM = "﻿"
+FILE_BITS = 40
 
 
 def read_reviews(
@@ -28,7 +28,7 @@ def read_reviews(
     Missing-value words become null and the columns named in ``schema`` get its
     types (null where a cell does not fit).  A file with line ends inside cells
     cannot be split, so large inputs should come as many files.  ``ordinal`` names a
-    column for the position of a row, files in name order.
+    column that is unique and ascends by file name and position, with gaps.
     """
     raw = (
         spark.read.option("header", True)
@@ -63,31 +63,26 @@ def _cast(column: str, kind: T.DataType):
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Position of every row over all files, in order of file name and offset.
+    """A unique number that ascends by file name and by position in the file.
 
-    Each task numbers its rows; the first number and the row count of every file
-    block make a small table whose running sum turns them into one sequence.  It is
-    written first, so that its size decides how it is joined.
+    It is made of the rank of the file, the byte at which the row's block starts and the
+    row's place in its task; a block that doesn't end its file fills a task alone, and a
+    row is a byte at least, so numbers of later blocks are larger.  The rows stay
+    where they are; the ranks, a row per file, come from the listing Spark already has.
     """
-    at = df.select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
-    block = ["file_path", "file_block_start"]
-    lower = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        at.groupBy(*block)
-        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
-    )
-    return at.join(written(starts), block).select(
-        *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row") - F.col("_first")).alias(name)
+    files = sorted(df.inputFiles())
+    ranks = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file STRING, _rank BIGINT")
+    at = df.select(
+        "*", F.input_file_name().alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
     )
+    number = F.shiftleft(F.col("_rank"), FILE_BITS) + F.col("_start") + F.col("_row")
+    return at.join(ranks, "_file").select(*[F.col(f"`{c}`") for c in df.columns], number.alias(name))
 
 
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A table another job wrote; with a ``key``, small ones are spread over the cores."""
-    df = spark.read.parquet(path)
-    return spread(df, key) if key else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table another job wrote."""
+    return spark.read.parquet(path)
 
 
 def read_label_mapping(spark: SparkSession, folder: str, default: Sequence[str] = tuple(rules.ISSUES)) -> DataFrame:

@@ -10,17 +10,36 @@ from plaintide.operators import scoring
 from plaintide.operators.annotate import with_first_match
 
 
+def _cleaned(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("review_text", text.clean_text(F.col("review_text")))
+
+
+def rejected_reviews(stream: DataFrame, ident: str = "ordinal") -> DataFrame:
+    """(id, reason) of the reviews that have no text once they are cleaned."""
+    return scoring.rejects(_cleaned(stream), ident)
+
+
 def scored_reviews(stream: DataFrame) -> DataFrame:
     """Clean, label and triage reviews as they arrive; no state is kept."""
-    cleaned = stream.withColumn("review_text", text.clean_text(F.col("review_text")))
-    labeled = with_first_match(cleaned).withColumn("rating_label", labels.rating_sentiment(F.col("rating")))
+    labeled = with_first_match(scoring.not_blank(_cleaned(stream))).withColumn("rating_label", labels.rating_sentiment(F.col("rating")))
     probable = scoring.rating_sentiment_probabilities(scoring.keyword_issue_probabilities(labeled))
     return scoring.score_feedback(probable).drop("issue_probs", "sentiment_probs")
 
 
-def start_scoring(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append scored reviews to a table at ``path``."""
-    writer = scored_reviews(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+def _appended(rows: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(path)
+
+
+def start_scoring(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append scored reviews to a table at ``path``."""
+    return _appended(scored_reviews(stream), path, checkpoint, available_now)
+
+
+def start_rejects(
+    stream: DataFrame, path: str, checkpoint: str, ident: str = "ordinal", available_now: bool = True
+) -> StreamingQuery:
+    """Append the rejects to a table at ``path``; with :func:`start_scoring` no review is lost."""
+    return _appended(rejected_reviews(stream, ident), path, checkpoint, available_now)

@@ -22,7 +22,7 @@ def test_csv_reader(spark, tmp_path):
     (tmp_path / "a.csv").write_text(HEADER + "R,y,2,3,first,0\n", encoding="utf-8-sig")
     df = readers.read_reviews(spark, str(tmp_path), RAW_REVIEWS, ordinal="ordinal")
     rows = df.orderBy("ordinal").collect()
-    assert [r.ordinal for r in rows] == [0, 1, 2]
+    assert len({r.ordinal for r in rows}) == 3
     assert [r["Product Name"] for r in rows] == ["R", "P", "Q"]
     assert rows[1].Reviews == 'two\nlines, "quoted"'
     assert rows[1]["Brand Name"] is None and rows[1].Price == 1.5
@@ -60,11 +60,11 @@ def test_label_mapping(spark, tmp_path):
 def clean(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("clean"))
     writers.write_table(views.clean_reviews(spark, SF), path)
-    return readers.read_table(spark, path, "review_id")
+    return views.spread(readers.read_table(spark, path), "review_id")
 
 
 def test_insight_job(spark, clean, tmp_path):
-    ranked = insight.insight_job(clean, str(tmp_path), top_n=3, k=4, sentiment="all", max_samples=None)
+    ranked = insight.insight_job(clean, str(tmp_path), top_n=3, k=4, sentiment="all")
     assert [r.priority_rank for r in ranked.orderBy("priority_rank").collect()] == list(range(1, ranked.count() + 1))
     assert ranked.agg(F.sum("cluster_size")).first()[0] == clean.count()
     scores = [r.priority_score for r in ranked.collect()]
@@ -77,7 +77,7 @@ def test_insight_job(spark, clean, tmp_path):
 
 
 def test_training_and_saved_model(spark, clean, tmp_path):
-    trained = training.train_baseline_sentiment(clean, max_iter=5)
+    trained = training.train_baseline_sentiment(clean)
     assert trained.validation.count() == 0
     assert trained.metrics().first().rows == trained.predictions.count() > 0
     path = str(tmp_path / "model")
@@ -108,7 +108,7 @@ def test_issue_classifier_learns(spark):
     words = {"battery": "charger empties", "screen": "glass pixels", "network": "signal lost"}
     rows = [(i, f"{words[x]} again item{i % 7}", x) for i, x in enumerate(list(words) * 40)]
     df = spark.createDataFrame(rows, "review_id BIGINT, review_text STRING, manual_issue_label STRING")
-    trained = training.train_issue_classifier(df, max_iter=20)
+    trained = training.train_issue_classifier(df)
     assert trained.metrics().first().accuracy == 1.0
     assert trained.validation_metrics().first().accuracy == 1.0
     scored = training.score_issues(df.select("review_id", "review_text"), trained.model)
@@ -132,10 +132,17 @@ def test_plugins(spark):
 
 def test_stateless_operators_accept_a_stream(spark, tmp_path):
     rows = views.reviews(spark, SF).select("ordinal", "rating", "review_text")
+    gap = F.when(F.col("ordinal") == 1, "<b> </b>").when(F.col("ordinal") != 2, F.col("review_text"))
+    rows = rows.withColumn("review_text", gap)
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     query = streaming.start_scoring(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert query.awaitTermination(120)
+    query = streaming.start_rejects(stream, str(tmp_path / "rejects"), str(tmp_path / "state2"))
+    assert query.awaitTermination(120)
+    gone = spark.read.parquet(str(tmp_path / "rejects"))
+    assert sorted(r.ordinal for r in gone.collect()) == [1, 2]
+    assert spark.read.parquet(str(tmp_path / "out")).count() + 2 == rows.count()
     written = spark.read.parquet(str(tmp_path / "out"))
     batch = streaming.scored_reviews(rows)
     columns = ["ordinal", "issue_label", "sentiment_label", "primary_issue_label", "issue_mode"]
@@ -143,17 +150,22 @@ def test_stateless_operators_accept_a_stream(spark, tmp_path):
 
 
 def test_saved_training_and_unified_scoring(spark, clean, tmp_path):
-    sentiment = training.train_baseline_sentiment(clean, max_iter=3)
+    sentiment = training.train_baseline_sentiment(clean)
     training.save(sentiment, str(tmp_path), title="Baseline Sentiment Classification Report")
     report = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert report[0] == "Baseline Sentiment Classification Report" and report[1] == "=" * len(report[0])
     assert report[3].startswith("Accuracy: 0.") and report[5].split() == ["precision", "recall", "f1-score", "support"]
     assert spark.read.parquet(str(tmp_path / "test_predictions")).count() == spark.read.json(str(tmp_path / "metrics")).first().rows
     labeled = views.annotated(spark, SF).withColumn("manual_issue_label", F.col("rule_issue_label"))
-    issue = training.train_issue_classifier(labeled, max_iter=3)
+    issue = training.train_issue_classifier(labeled)
     rows = clean.select("review_id", "review_text")
     scored = training.score_feedback(rows, sentiment.model, issue.model, top_k=2)
     assert scored.count() == rows.count()
     row = scored.first()
     assert len(row.ranked_issue_predictions) == 2 and row.primary_issue_label in rules.ISSUES
     assert row.sentiment_label in rules.SENTIMENTS
+    holes = rows.withColumn("review_text", F.when(F.col("review_id") % 5 > 0, F.col("review_text")).otherwise(" \u2003"))
+    issue.model.write().overwrite().save(str(tmp_path / "issue_model"))
+    done = training.feedback_job(holes, str(tmp_path / "model"), str(tmp_path / "issue_model"), str(tmp_path), top_k=2)
+    gone = spark.read.parquet(str(tmp_path / "feedback_rejects"))
+    assert done.count() + gone.count() == rows.count() and {r.review_id % 5 for r in gone.collect()} == {0}

@@ -196,7 +196,7 @@ def test_softmax(spark):
 def test_blank_rows_are_rejected(spark):
     df = spark.createDataFrame([(1, " x "), (2, "  "), (3, None)], "review_id INT, review_text STRING")
     assert [r.review_text for r in scoring.not_blank(df).collect()] == ["x"]
-    assert sorted(r.review_id for r in scoring.blank(df).collect()) == [2, 3]
+    assert sorted(r.review_id for r in scoring.rejects(df).collect()) == [2, 3]
 
 
 def test_error_queue_order_and_limit(spark):

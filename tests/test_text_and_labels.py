@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plaintide import rules
 from plaintide.functions import labels, text
 from plaintide.operators import annotate, cleaning
-from plaintide.operators.ids import dense_id, top_rows
+from plaintide.operators.ids import dense_id, most_frequent, top_ids, top_rows
 from plaintide.schema import id_label, label_id, reorder, require_columns, select_existing, with_defaults
 
 
@@ -125,6 +125,14 @@ def test_corrections_replace_labels(spark):
     assert [r.manual_issue_label for r in got] == ["a", "c"]
 
 
+def test_the_last_correction_holds(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "review_id INT, manual_issue_label STRING")
+    fixes = spark.createDataFrame([(1, "x", 1), (1, "c", 2), (2, None, 3), (2, "z", 1)], "review_id INT, corrected_label STRING, at INT")
+    got = annotate.apply_corrections(rows, fixes, order="at").orderBy("review_id").collect()
+    assert [r.manual_issue_label for r in got] == ["c", "z"]
+    assert annotate.apply_corrections(rows, fixes).count() == 2
+
+
 def test_clean_reviews_keeps_the_first_copy(spark):
     raw = spark.createDataFrame(
         [
@@ -152,8 +160,34 @@ def test_dense_id_has_no_gaps(spark, partitions):
 
 def test_top_rows_merges_tasks(spark):
     df = spark.range(1000).repartition(17).withColumn("k", F.col("id") % 10)
-    got = top_rows(df, 7, F.desc("k"), F.asc("id"), fan_in=4)
+    got = top_ids(df, 7, F.desc("k"), F.asc("id"), fan_in=4)
     assert [r.id for r in got.collect()] == [9, 19, 29, 39, 49, 59, 69]
+    best = top_rows(df.withColumn("text", F.lit("t")), 7, F.desc("k"), F.asc("id"), keys=["k"], ident="id")
+    assert sorted(r.id for r in best.collect()) == [9, 19, 29, 39, 49, 59, 69] and "text" in best.columns
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 40, 199, 200, 500, None])
+def test_most_frequent(spark, n):
+    rows = [(f"{'ab'[i % 2]}{i % 7}{i:03d}", 1 + (i % 20 == 0) * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "term STRING, total INT").repartition(13)
+    got = most_frequent(df, n, "total", "term", prefix=2)
+    assert sorted(map(tuple, got.collect())) == sorted(sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
+
+
+def test_building_operators_starts_no_job(spark):
+    from __spark_entry__ import queries
+
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "build")
+    for name in ("distance_to_center", "nearest_center", "clean_reviews", "dedup_first", "issue_distribution", "error_review_queue"):
+        if name in queries():
+            queries()[name](spark, "/root/testdata/sf0.001")
+    # reading a Parquet footer is the only job there may be
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("build")]
+    assert all(sc.statusTracker().getStageInfo(s).numTasks == 1 for j in jobs if j for s in j.stageIds if sc.statusTracker().getStageInfo(s))
+    sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_schema_helpers(spark):

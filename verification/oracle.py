@@ -111,7 +111,7 @@ CTES["reviews"] = f"""
   SELECT d.doc_id AS ordinal, p.p_name AS product_name, p.p_brand AS brand, p.p_retailprice AS price,
     CASE WHEN d.doc_id % 37 = 0 THEN NULL ELSE CAST(1 + (d.doc_id * 7 + d.n_chars) % 5 AS DOUBLE) END AS rating,
     concat(d.text, ' ', {PHRASE}) AS review_text, CAST(d.doc_id % 11 AS DOUBLE) AS review_votes
-  FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id % 200"""
+  FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id % (SELECT count(*) FROM part)"""
 CTES["cleaned"] = f"""
   SELECT * FROM (SELECT * REPLACE ({clean('review_text')} AS review_text) FROM reviews )
   WHERE length(review_text) > 5"""
@@ -190,7 +190,8 @@ CTES["clustered"] = """
   SELECT s.review_id, s.review_text, s.rating, s.sentiment_label, s.product_name, s.brand,
     b.pred_label AS predicted_issue_label, b.confidence AS predicted_issue_confidence, d.cluster_id,
     d.distance_to_cluster_center
-  FROM sentences s JOIN distances d ON d.vec_id = s.review_id JOIN best b ON b.review_id = s.review_id """
+  FROM sentences s JOIN distances d ON d.vec_id = s.review_id % (SELECT count(*) FROM embeddings)
+  JOIN best b ON b.review_id = s.review_id """
 CTES["sil"] = """
   SELECT avg(CASE WHEN own_n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
     SELECT i, max(CASE WHEN ci = cj THEN total / nullif(n - 1, 0) END) AS a, max(CASE WHEN ci = cj THEN n END) AS own_n,
@@ -200,23 +201,21 @@ CTES["sil"] = """
           FROM embeddings x CROSS JOIN embeddings y GROUP BY ALL) GROUP BY i)"""
 
 
-def keyword_ctes(source: str, group: str, across: bool) -> None:
+def keyword_ctes(source: str, group: str, tag: str) -> None:
     """Term counts, vocabulary and ranked terms per group of ``source``."""
     words = (
         f"list_filter(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), "
         f"lambda w: NOT list_contains([{strings(rules.ENGLISH_STOP_WORDS)}], w))"
     )
-    tag = "x_" if across else ""
     CTES[f"{tag}words"] = f"SELECT {group} AS g, review_id, {words} AS w FROM {source} "
     CTES[f"{tag}term_rows"] = (
         f"SELECT g, unnest(w) AS term FROM {tag}words UNION ALL "
         f"SELECT g, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM {tag}words "
     )
-    if across:
-        CTES[f"{tag}term_rows"] += (
-            f" UNION ALL SELECT g, last || ' ' || next FROM (SELECT g, w[len(w)] AS last, "
-            f"lead(w[1]) OVER (PARTITION BY g ORDER BY review_id) AS next FROM {tag}words WHERE len(w) > 0) WHERE next IS NOT NULL"
-        )
+    CTES[f"{tag}term_rows"] += (
+        f" UNION ALL SELECT g, last || ' ' || next FROM (SELECT g, w[len(w)] AS last, "
+        f"lead(w[1]) OVER (PARTITION BY g ORDER BY review_id) AS next FROM {tag}words WHERE len(w) > 0) WHERE next IS NOT NULL"
+    )
     CTES[f"{tag}tfs"] = f"SELECT g, term, count(*) AS tf FROM {tag}term_rows GROUP BY ALL"
     CTES[f"{tag}vocabulary"] = (
         f"SELECT term, count(*) AS df, sum(tf) AS total FROM {tag}tfs GROUP BY term HAVING count(*) >= 2 "
@@ -231,9 +230,9 @@ def keyword_ctes(source: str, group: str, across: bool) -> None:
           AND NOT list_has_any(string_split(t.term, ' '), [{strings(rules.DOMAIN_STOP_WORDS)}]))"""
 
 
-CTES["pointed"] = "SELECT s.*, e.label AS cluster_id FROM sentences s JOIN embeddings e ON e.vec_id = s.review_id"
-keyword_ctes("pointed", "cluster_id", False)
-keyword_ctes("labeled", "issue_label", True)
+CTES["pointed"] = "SELECT s.*, e.label AS cluster_id FROM sentences s JOIN embeddings e ON e.vec_id = s.review_id % (SELECT count(*) FROM embeddings )"
+keyword_ctes("pointed", "cluster_id", "")
+keyword_ctes("labeled", "issue_label", "x_")
 CTES["keywords"] = """
   SELECT g AS cluster_id, string_agg(term, ', ' ORDER BY rank) AS top_keywords FROM terms WHERE rank <= 8 GROUP BY g"""
 CTES["profile"] = """
@@ -296,7 +295,8 @@ def priority_cte(source: str) -> str:
 
 
 _reviews = [f"representative_review_{i}" for i in (1, 2, 3)]
-CTES["ranked"] = f"SELECT * REPLACE ({', '.join(f'{clip(c, 600)} AS {c}' for c in _reviews)}) FROM ({priority_cte('themed')})"
+_whole = "cluster_size::BIGINT AS cluster_size, major_issue_count::BIGINT AS major_issue_count"
+CTES["ranked"] = f"SELECT * REPLACE ({_whole}, {', '.join(f'{clip(c, 600)} AS {c}' for c in _reviews)}) FROM ({priority_cte('themed')})"
 CTES["minimal"] = """
   SELECT cluster_id, cluster_theme, cluster_size, major_issue, top_keywords, cluster_size AS major_issue_count,
     0.5::DOUBLE AS avg_issue_confidence, 1.0::DOUBLE AS negative_ratio FROM themed """
@@ -310,9 +310,10 @@ add("na_normalize", "reviews", f"""
     CASE WHEN review_text IN ({strings(rules.NA_WORDS)}) THEN NULL ELSE review_text END AS review_text
   FROM (SELECT ordinal, product_name, review_text, CASE WHEN ordinal % 23 < {len(rules.NA_WORDS)}
           THEN {_na}[ordinal % 23 + 1] ELSE brand END AS brand FROM reviews )""")
-add("numeric_coerce", "reviews", """
-  SELECT ordinal, CASE ordinal % 8 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 100 WHEN 3 THEN 0.5 WHEN 4 THEN 7.25
-    WHEN 5 THEN 0.5 ELSE ordinal END::DOUBLE AS number FROM reviews""")
+_word = "string_split(review_text, ' ')[1]"
+add("numeric_coerce", "reviews", f"""
+  SELECT ordinal, coalesce(CASE ordinal % 3 WHEN 0 THEN price WHEN 1 THEN try_cast({_word} AS DOUBLE) ELSE rating END, 0.5) AS number
+  FROM reviews""")
 _issue_id = "(list_position([" + strings(rules.ISSUES) + "], issue_label) - 1)::INT"
 _sentiment_id = "(list_position([" + strings(rules.SENTIMENTS) + "], sentiment_label) - 1)::INT"
 add("label_encode", "labeled", f"""
@@ -341,7 +342,9 @@ add("normalize_labels", "noisy", f"""
   SELECT review_id, {norm('noisy_label')} AS label, CASE WHEN {norm('noisy_label')} IN ({strings(rules.ISSUES)})
     THEN {norm('noisy_label')} ELSE 'other' END AS valid_label FROM noisy""")
 add("negative_reviews", "sentences", "SELECT review_id, rating, review_text FROM sentences WHERE sentiment_label = 'negative'")
-add("parse_boolean", "reviews", "SELECT ordinal, ordinal % 8 IN (0, 1, 2) AS flag FROM reviews")
+add("parse_boolean", "reviews", f"""
+  SELECT ordinal, coalesce(CASE ordinal % 3 WHEN 0 THEN rating <= 2 WHEN 1 THEN review_votes = 1
+    ELSE lower({_word}) IN ('true', '1', 'yes') END, false) AS flag FROM reviews""")
 add("clip_text", "reviews", f"""
   SELECT ordinal, {clip('review_text', 80)} AS clip_80, {clip('review_text', 600)} AS clip_600 FROM reviews""")
 CTES["bag"] = f"""
@@ -472,12 +475,15 @@ add("issue_triage", "probs", f"""
       max(label) FILTER (rank = 2) AS rank_label_2, max(label) FILTER (rank = 3) AS rank_label_3,
       max(p) FILTER (rank = 2) AS rank_confidence_2, max(p) FILTER (rank = 3) AS rank_confidence_3
     FROM probs GROUP BY review_id)""")
+CTES["gap_feelings"] = "SELECT f.* FROM feelings f WHERE f.review_id % 9 > 1"
+add("score_feedback_rejects", "sentences", """
+  SELECT review_id, 'blank review text' AS reason FROM sentences WHERE review_id % 9 <= 1""")
 CTES["feelings"] = """
   SELECT review_id, label_id, label, exp(s) / sum(exp(s)) OVER (PARTITION BY review_id) AS p,
     row_number() OVER (PARTITION BY review_id ORDER BY s DESC, label_id) AS rank
   FROM (SELECT review_id, unnest([0, 1, 2]) AS label_id, unnest(['negative', 'neutral', 'positive']) AS label,
     unnest([3 - r, 1 - abs(r - 3), r - 3]) AS s FROM (SELECT review_id, coalesce(rating, 5) AS r FROM sentences ))"""
-add("score_feedback", "probs feelings", f"""
+add("score_feedback", "probs gap_feelings", f"""
   SELECT i.review_id, f.sentiment_label, f.sentiment_confidence, i.primary_issue_label,
     round(i.p, 6) AS primary_issue_confidence, {mode('i.n', 'i.p', 0.6)} AS issue_mode, i.candidates, i.ranking,
     f.sentiment_ranking, i.p_other, f.p_neutral
@@ -488,7 +494,7 @@ add("score_feedback", "probs feelings", f"""
       round(max(p) FILTER (label = 'other'), 6) AS p_other FROM probs GROUP BY review_id) i
   JOIN (SELECT review_id, max(label) FILTER (rank = 1) AS sentiment_label,
       round(max(p) FILTER (rank = 1), 6) AS sentiment_confidence, string_agg(label, ',' ORDER BY rank) AS sentiment_ranking,
-      round(max(p) FILTER (label = 'neutral'), 6) AS p_neutral FROM feelings GROUP BY review_id) f
+      round(max(p) FILTER (label = 'neutral'), 6) AS p_neutral FROM gap_feelings GROUP BY review_id) f
     ON f.review_id = i.review_id""")
 add("topk_predictions", "best", """
   SELECT review_id, top_1_label, round(top_1_prob, 6) AS top_1_prob, top_2_label, round(top_2_prob, 6) AS top_2_prob,
@@ -554,6 +560,34 @@ add("representative_reviews", "representatives", "SELECT * FROM representatives"
 add("cluster_summary", "summary", """
   SELECT * REPLACE (round(avg_issue_confidence, 6) AS avg_issue_confidence, round(negative_ratio, 6) AS negative_ratio) FROM summary""")
 
+add("kmeans_agreement", "", "SELECT count(*) AS n_rows, count(*) AS n_agree FROM embeddings")
+CTES["assigned"] = """
+  SELECT vec_id, cluster_id FROM (
+    SELECT v.vec_id, c.cluster_id, sqrt(sum((v.x - c.value) * (v.x - c.value))) AS d
+    FROM vecs v JOIN centers c ON c.dim = v.dim GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1"""
+add("lloyd_step", "assigned vecs", """
+  SELECT a.cluster_id, v.dim::INT AS dim, round(avg(v.x), 6) AS value FROM assigned a JOIN vecs v ON v.vec_id = a.vec_id GROUP BY ALL""")
+add("embed_norms", "bag", "SELECT review_id, 512 AS n_dims, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM bag")
+CTES["bag_terms"] = """
+  SELECT review_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM bag """
+CTES["idfs"] = """
+  SELECT term, count(*) AS tf, count(DISTINCT review_id) AS df,
+    ln((1 + (SELECT count(*) FROM bag )) / (1 + count(DISTINCT review_id))) + 1 AS idf
+  FROM bag_terms GROUP BY term
+  HAVING count(DISTINCT review_id) >= 3 AND count(DISTINCT review_id) <= 0.9 * (SELECT count(*) FROM bag )
+  ORDER BY tf DESC, term LIMIT 50000"""
+add("tfidf_vocabulary", "idfs", "SELECT term, tf, df, round(idf, 6) AS idf FROM idfs")
+add("tfidf_vectors", "bag_terms idfs", """
+  SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS weight
+  FROM (SELECT t.review_id, t.term, count(*) * any_value(i.idf) AS w FROM bag_terms t JOIN idfs i ON i.term = t.term GROUP BY ALL)""")
+add("sentiment_test_rows", "clean_reviews", """
+  , c AS (SELECT sentiment_label, count(*) AS n FROM clean_reviews GROUP BY 1),
+  t AS (SELECT sum(n) AS total, sum(n) - ceil(0.2::DOUBLE * sum(n)) AS draws FROM c),
+  e AS (SELECT sentiment_label, n, n / total * draws AS exact, draws FROM c, t)
+  SELECT sentiment_label, (n - floor(exact) - (row_number() OVER (ORDER BY exact - floor(exact) DESC, sentiment_label)
+      <= draws - sum(floor(exact)) OVER ())::INT)::BIGINT AS n_rows FROM e""")
+
 # -- themes, priority, reports -------------------------------------------------------------
 
 add("cluster_themes", "themed", "SELECT cluster_id, cluster_theme, theme_confidence_score, major_issue FROM themed")
@@ -567,9 +601,11 @@ def action(theme: str, issue: str, words: str) -> str:
     return f"CASE {' '.join(whens)} ELSE {lit(rules.DEFAULT_ACTION)} END"
 
 
-add("recommended_actions", "labeled", f"""
-  SELECT review_id, {action('theme', 'brand', 'review_text')} AS action FROM (
-    SELECT *, CASE WHEN review_id % 2 = 0 THEN 'Theme ' || issue_label ELSE 'general' END AS theme FROM labeled)""")
+_known = f"[cluster_theme, {strings(_themes)}, {lit(rules.DEFAULT_THEME)}]"
+add("recommended_actions", "themed", f"""
+  SELECT cluster_id, theme_no, theme, {action('theme', 'major_issue', 'top_keywords')} AS action FROM (
+    SELECT cluster_id, major_issue, top_keywords, unnest({_known}) AS theme,
+      unnest(range({len(rules.THEME_RULES) + 2}))::INT AS theme_no FROM themed)""")
 add("minmax_normalize", "sentences", """
   SELECT review_id, round((coalesce(price, 0) - min(coalesce(price, 0)) OVER ())
     / (max(coalesce(price, 0)) OVER () - min(coalesce(price, 0)) OVER ()), 6) AS price_score FROM sentences""")
@@ -580,8 +616,8 @@ add("priority_scores", "ranked", f"""
   SELECT priority_rank::INT AS priority_rank, cluster_id, cluster_theme, cluster_size, major_issue, major_issue_count,
     top_keywords, {', '.join(_reviews)}, {_rounds} FROM ranked""")
 add("priority_scores_minimal", "minimal", f"""
-  SELECT priority_rank::INT AS priority_rank, cluster_id, cluster_theme, cluster_size, major_issue, major_issue_count,
-    top_keywords, {_rounds} FROM ({priority_cte('minimal')})""")
+  SELECT priority_rank::INT AS priority_rank, cluster_id, cluster_theme, cluster_size::BIGINT AS cluster_size, major_issue,
+    major_issue_count::BIGINT AS major_issue_count, top_keywords, {_rounds} FROM ({priority_cte('minimal')})""")
 _list = "list_filter([" + ", ".join(strip(c) for c in _reviews) + "], lambda x: x <> '')"
 add("cluster_listing", "themed", f"""
   SELECT cluster_id, cluster_theme, cluster_size, major_issue, top_keywords,
@@ -611,9 +647,9 @@ CTES["theme_rows"] = """
 add("clustering_report_lines", "totals big theme_rows sil", " UNION ALL ".join([
     lines(1, "0", "totals, sil", [
         "'# Review Clustering and Topic Discovery Report'", "''", "'## 1. Overview'", "''",
-        "'This report summarizes recurring complaint themes discovered from customer reviews using sentence embeddings and KMeans clustering.'",
+        "'Themes that recur in customer reviews, found by KMeans on L2-normalized term vectors.'",
         "''", "'- Total clustered reviews: **' || n_reviews || '**'", "'- Number of clusters: **' || n_clusters || '**'",
-        "'- Input reviews: negative customer reviews'", "'- Embedding method: L2-normalized term vectors'",
+        "'- Input reviews: customer reviews'", "'- Embedding method: L2-normalized term vectors'",
         "'- Clustering method: KMeans'", "''", "'- Global silhouette score: **' || printf('%.4f', silhouette) || '**'", "''"]),
     lines(2, "0", "totals", ["'## 2. Cluster Theme Distribution'", "''", "'| Cluster Theme | Number of Clusters |'", "'|---|---:|'"]),
     lines(2, "no", "theme_rows", ["'| ' || cluster_theme || ' | ' || n || ' |'"]),
@@ -628,14 +664,17 @@ add("clustering_report_lines", "totals big theme_rows sil", " UNION ALL ".join([
         "'- Average issue confidence: **' || printf('%.4f', avg_issue_confidence) || '**'",
         "'- Negative ratio: **' || printf('%.2f', negative_ratio) || '**'", "''", "'Representative reviews:'", "''",
         *review_lines(), "''"]),
-    lines(5, "0", "totals", ["'## 5. Interpretation'", "''", *[lit(x) for x in reports.CLUSTER_INTERPRETATION]]),
+    lines(5, "0", "totals", [
+        "'## 5. Interpretation'", "''",
+        "'Themes found, those of most clusters first: ' || (SELECT string_agg(cluster_theme, ', ' ORDER BY no) FROM theme_rows) || '.'",
+        "''", lit(reports.INTERPRETATION), "''"]),
 ]))
 CTES["urgent"] = "SELECT * FROM ranked WHERE priority_rank <= 6"
 add("insight_report_lines", "totals urgent", " UNION ALL ".join([
     lines(1, "0", "totals", [
-        "'# Product Manager Insight Report'", "''", "'## 1. Executive Summary'", "''", lit(reports.INSIGHT_INTRO), "''",
-        "'- Total clustered negative reviews: **' || n_reviews || '**'", "'- Number of complaint clusters: **' || n_clusters || '**'",
-        "'- Top priority themes included in this report: **' || least(n_clusters, 6) || '**'", "''", lit(reports.INSIGHT_METHOD), "''"]),
+        "'# Product Manager Insight Report'", "''", "'## 1. Executive Summary'", "''", "'Complaint themes of customer reviews, the most urgent first. Issues come from keyword scores, clusters from KMeans on L2-normalized term vectors.'", "''",
+        "'- Total clustered reviews: **' || n_reviews || '**'", "'- Number of complaint clusters: **' || n_clusters || '**'",
+        "'- Top priority themes included in this report: **' || least(n_clusters, 6) || '**'", "''", lit(reports.SCORE_METHOD), "''"]),
     lines(2, "0", "totals", ["'## 2. Top Priority Complaint Themes'", "''", "'| Rank | Theme | Score | Size | Major Issue | Keywords |'", "'|---:|---|---:|---:|---|---|'"]),
     lines(2, "priority_rank", "urgent", [
         f"'| ' || priority_rank || ' | ' || {clip('cluster_theme', 120)} || ' | ' || printf('%.2f', priority_score) || ' | ' || "
@@ -650,5 +689,8 @@ add("insight_report_lines", "totals urgent", " UNION ALL ".join([
         "'- Negative ratio: **' || printf('%.2f', negative_ratio) || '**'", "''", "'Representative customer evidence:'", "''",
         *review_lines(), "''", "'Recommended product action:'", "''",
         action(clip("cluster_theme", 200), clip("major_issue", 100), clip("top_keywords", 250)), "''"]),
-    lines(4, "0", "totals", [lit(x) for x in reports.INSIGHT_CLOSING]),
+    lines(4, "0", "totals", [
+        "'## 4. Product Implications'", "''",
+        "'Themes to act on first: ' || (SELECT string_agg(cluster_theme, ', ' ORDER BY no) FROM (SELECT cluster_theme, min(priority_rank) AS no FROM urgent GROUP BY 1)) || '.'",
+        "''", "'## 5. Limitations and Future Work'", "''", *[lit(x) for x in reports.LIMITS], "''"]),
 ]))

@@ -6,8 +6,10 @@ can be compared; the operators themselves do neither.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaintide import rules
@@ -18,7 +20,7 @@ from plaintide.operators import (
 from plaintide.operators.ids import dense_id
 from plaintide.plans import insight, reports, training
 from plaintide.schema import id_label, label_id
-from plaintide.session import spread, written
+from plaintide.session import shared_folder, written
 from verification import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,11 +60,10 @@ def na_normalize(spark, sf):
 
 @query
 def numeric_coerce(spark, sf):
-    kind = F.col("ordinal") % 8
-    cell = (
-        F.when(kind == 0, "abc").when(kind == 1, "NaN").when(kind == 2, "1e2").when(kind == 3, "12d")
-        .when(kind == 4, " 7.25 ").when(kind != 5, F.col("ordinal").cast("string"))
-    )
+    """Prices, first words of texts and ratings in one column of text."""
+    kind = F.col("ordinal") % 3
+    word = F.get(F.split("review_text", " "), F.lit(0))
+    cell = F.when(kind == 0, F.col("price").cast("string")).when(kind == 1, word).otherwise(F.col("rating").cast("string"))
     return views.reviews(spark, sf).select("ordinal", text.to_numeric(cell, 0.5).alias("number"))
 
 
@@ -158,7 +159,11 @@ def negative_reviews(spark, sf):
 
 @query
 def parse_boolean(spark, sf):
-    cell = F.get(F.array(*[F.lit(w) for w in ("True", "1", "YES", "no", "0", "false", "")]), (F.col("ordinal") % 8).cast("int"))
+    """Comparisons, counts and first words of texts in one column of text."""
+    kind = F.col("ordinal") % 3
+    word = F.get(F.split("review_text", " "), F.lit(0))
+    low = F.initcap((F.col("rating") <= 2).cast("string"))
+    cell = F.when(kind == 0, low).when(kind == 1, F.col("review_votes").cast("int").cast("string")).otherwise(word)
     return views.reviews(spark, sf).select("ordinal", text.parse_boolean(cell).alias("flag"))
 
 
@@ -352,7 +357,9 @@ def issue_triage(spark, sf):
 
 @query
 def score_feedback(spark, sf):
-    rows = scoring.score_feedback(views.probable(spark, sf), top_k=5, min_candidate=0.05, dominant=0.6)
+    """Every ninth text is blank and every ninth missing: these are rejects."""
+    probable = scoring.rating_sentiment_probabilities(scoring.keyword_issue_probabilities(scoring.not_blank(_gappy(spark, sf))))
+    rows = scoring.score_feedback(probable, top_k=5, min_candidate=0.05, dominant=0.6)
     return rounded(
         rows.select(
             "review_id", "sentiment_label", "sentiment_confidence", "primary_issue_label",
@@ -367,6 +374,11 @@ def score_feedback(spark, sf):
     )
 
 
+@query
+def score_feedback_rejects(spark, sf):
+    return scoring.rejects(_gappy(spark, sf))
+
+
 PROBS = ["confidence", "top_1_prob", "top_2_prob", "top_3_prob"]
 
 
@@ -405,7 +417,7 @@ def classifier_metrics(spark, sf):
 @query
 def classification_report_lines(spark, sf):
     rows = written(views.predictions(spark, sf).select("true_label", "pred_label"))
-    accuracy = F.lit(metrics.classifier_metrics(rows, rules.ISSUES).first()["accuracy"])
+    accuracy = metrics.classifier_metrics(rows, rules.ISSUES).select("accuracy").scalar()
     return reports.classification_report_text(metrics.classification_report(rows, rules.ISSUES), accuracy)
 
 
@@ -463,7 +475,7 @@ def cluster_keywords(spark, sf):
 @query
 def issue_keywords(spark, sf):
     rows = written(views.labeled(spark, sf).select("review_id", "review_text", "issue_label"))
-    scores = clusters.cluster_keyword_scores(spread(rows, "review_id"), cluster="issue_label", n=12, across_reviews=True)
+    scores = clusters.cluster_keyword_scores(views.spread(rows, "review_id"), cluster="issue_label", n=12)
     return rounded(scores, "score")
 
 
@@ -511,15 +523,11 @@ def theme_distribution(spark, sf):
 
 @query
 def recommended_actions(spark, sf):
-    """Product names, brands and texts stand in for themes, issues and keywords."""
-    return views.labeled(spark, sf).select(
-        "review_id",
-        themes.recommended_action(
-            F.when(F.col("review_id") % 2 == 0, F.concat(F.lit("Theme "), "issue_label")).otherwise("general"),
-            F.col("brand"),
-            F.col("review_text"),
-        ).alias("action"),
-    )
+    """For every cluster the action under its own theme and under each theme of the rules."""
+    known = F.array("cluster_theme", *[F.lit(t) for t, _, _ in rules.THEME_RULES], F.lit(rules.DEFAULT_THEME))
+    rows = _labeled_clusters(spark, sf).select("cluster_id", "major_issue", "top_keywords", F.posexplode(known).alias("theme_no", "theme"))
+    action = themes.recommended_action(F.col("theme"), F.col("major_issue"), F.col("top_keywords"))
+    return rows.select("cluster_id", "theme_no", "theme", action.alias("action"))
 
 
 @query
@@ -566,12 +574,13 @@ def priority_listing(spark, sf):
 def clustering_report_lines(spark, sf):
     value = clusters.silhouette(views.embeddings(spark, sf))
     summary = clusters.cluster_summary(_review_clusters(spark, sf), value)
-    return reports.clustering_report(written(themes.label_themes(summary)), top_n=7)
+    return reports.clustering_report(written(themes.label_themes(summary)), top_n=7, sentiment="all")
 
 
 @query
 def insight_report_lines(spark, sf):
-    return reports.insight_report(written(priority.priority_scores(_labeled_clusters(spark, sf))), top_n=6)
+    ranked = written(priority.priority_scores(_labeled_clusters(spark, sf)))
+    return reports.insight_report(ranked, top_n=6, sentiment="all")
 
 
 # -- machine learning (no SQL counterpart) ---------------------------------------
@@ -582,11 +591,11 @@ def _annotations(spark, sf) -> DataFrame:
 
 
 def _issue_model(spark, sf):
-    return training.train_issue_classifier(_annotations(spark, sf), max_iter=30)
+    return training.train_issue_classifier(_annotations(spark, sf))
 
 
 def _sentiment_model(spark, sf):
-    return training.train_baseline_sentiment(written(views.clean_reviews(spark, sf)), max_iter=30)
+    return training.train_baseline_sentiment(written(views.clean_reviews(spark, sf)))
 
 
 @query
@@ -603,7 +612,7 @@ def baseline_feedback(spark, sf):
 @query
 def capped_sentiment(spark, sf):
     clean = written(views.clean_reviews(spark, sf))
-    return training.train_capped_sentiment(clean, CAP, max_iter=30).report()
+    return training.train_capped_sentiment(clean, CAP).report()
 
 
 @query
@@ -628,16 +637,77 @@ def score_sentiment(spark, sf):
 
 @query
 def embed_reviews(spark, sf):
-    vectors = insight.embed_reviews(views.sentences(spark, sf).select("review_id", "review_text"), 64)
+    vectors = insight.embed_reviews(views.sentences(spark, sf).select("review_id", "review_text"))
     return vectors.select("review_id", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query
 def kmeans_clusters(spark, sf):
-    rows, _ = insight.kmeans_clusters(written(views.embeddings(spark, sf).drop("cluster_id")), 10)
+    rows, _ = insight.kmeans_clusters(written(views.embeddings(spark, sf).drop("cluster_id")))
     return rows.select("vec_id", "cluster_id")
 
 
+@query
+def kmeans_agreement(spark, sf):
+    """Rows whose cluster is that of the nearest fitted centre."""
+    rows, centers = insight.kmeans_clusters(written(views.embeddings(spark, sf).drop("cluster_id")))
+    again = clusters.nearest_center(rows.withColumnRenamed("cluster_id", "fitted"), centers)
+    return again.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("fitted") == F.col("cluster_id")).alias("n_agree"))
+
+
+@query
+def lloyd_step(spark, sf):
+    """One k-means step from the centres of the labels: assign, then average."""
+    rows = views.embeddings(spark, sf)
+    assigned = clusters.nearest_center(rows.drop("cluster_id"), clusters.cluster_centers(rows))
+    moved = clusters.cluster_centers(assigned)
+    return rounded(moved.select("cluster_id", F.posexplode("center").alias("dim", "value")), "value")
+
+
+@query
+def embed_norms(spark, sf):
+    """Length of every hashed vector: 1, or 0 without a term."""
+    vectors = insight.embed_reviews(views.sentences(spark, sf).select("review_id", "review_text"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.select("review_id", F.size("embedding").alias("n_dims"), F.round(norm, 4).alias("norm"))
+
+
+def _terms(spark, sf) -> DataFrame:
+    """Words and word pairs of every review, as the classifiers see them."""
+    rows = views.sentences(spark, sf).select("review_id", "review_text")
+    return PipelineModel(training.term_stages()).transform(rows).select("review_id", "_terms")
+
+
+@query
+def tfidf_vocabulary(spark, sf):
+    return rounded(training.tfidf_vocabulary(_terms(spark, sf)), "idf")
+
+
+@query
+def tfidf_vectors(spark, sf):
+    rows = _terms(spark, sf)
+    return rounded(training.tfidf_vectors(rows, training.tfidf_vocabulary(rows)), "weight")
+
+
+@query
+def sentiment_test_rows(spark, sf):
+    """Test rows per class of the baseline's split."""
+    rows = cleaning.usable_reviews(views.clean_reviews(spark, sf)).select("review_id", "sentiment_label")
+    split = sampling.stratified_split(rows, "sentiment_label", rules.SENTIMENTS, 0.2, 0.0)
+    return dist.value_counts(split.filter("split = 'test'"), "sentiment_label", "n_rows")
+
+
+@query
+def feedback_by_saved_models(spark, sf):
+    """Both models trained, saved, loaded and applied to reviews of which some are blank."""
+    folder = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    _sentiment_model(spark, sf).model.write().save(f"{folder}/sentiment")
+    _issue_model(spark, sf).model.write().save(f"{folder}/issue")
+    rows = _gappy(spark, sf).select("review_id", "review_text")
+    scored = training.feedback_job(rows, f"{folder}/sentiment", f"{folder}/issue", folder)
+    return scored.select("review_id", "sentiment_label", "primary_issue_label", "issue_mode")
+
+
 @query
 def review_clusters(spark, sf):
-    return insight.cluster_reviews(written(views.clean_reviews(spark, sf)), k=10).reviews
+    return insight.cluster_reviews(written(views.clean_reviews(spark, sf))).reviews

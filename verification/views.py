@@ -21,22 +21,30 @@ PHRASES = [
     "seller refused refund, warranty support", "price not worth the money", "refurbished, scratches, dented",
     "android update bug, system apps", "<b>see</b> http://x.example/a?b=1 www.x.example", "",
 ]
-PARTS = 200
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
 
 
-KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The fixtures are single files: deal their rows to the cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", KEYS.get(name))
+    rows = read_table(spark, f"{sf_dir}/{name}.parquet")
+    return spread(rows, KEYS[name]) if name in KEYS else rows
+
+
+def counted(spark: SparkSession, sf_dir: str, name: str):
+    """The number of rows of a table, as a scalar subquery."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet").agg(F.count(F.lit(1))).scalar()
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review per document.  Only ``PARTS`` product keys are ever looked up."""
-    documents = table(spark, sf_dir, "documents")
-    part = table(spark, sf_dir, "part").filter(F.col("p_partkey").between(0, PARTS - 1))
+    """One review per document, of the products in turn."""
+    documents = table(spark, sf_dir, "documents").withColumn("_part", F.col("doc_id") % counted(spark, sf_dir, "part"))
+    part = table(spark, sf_dir, "part")
     phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("n_chars") % len(PHRASES)).cast("int"))
-    return documents.join(F.broadcast(part), part.p_partkey == documents.doc_id % PARTS, "left").select(
+    return documents.join(part, part.p_partkey == documents["_part"], "left").select(
         F.col("doc_id").alias("ordinal"),
         F.col("p_name").alias("product_name"),
         F.col("p_brand").alias("brand"),
@@ -96,16 +104,17 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pointed(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Clean texts of the reviews that have a vector, with its cluster."""
-    vectors = embeddings(spark, sf_dir).select(F.col("vec_id").alias("ordinal"), "cluster_id", *extra)
-    rows = cleaned(reviews(spark, sf_dir).join(vectors, "ordinal"), extra=["cluster_id", *extra])
+    """Clean texts of all reviews, each with one of the vectors in turn and its cluster."""
+    vectors = embeddings(spark, sf_dir).select("vec_id", "cluster_id", *extra)
+    numbered = reviews(spark, sf_dir).withColumn("vec_id", F.col("ordinal") % counted(spark, sf_dir, "embeddings"))
+    rows = cleaned(numbered.join(vectors, "vec_id"), extra=["cluster_id", *extra])
     return rows.withColumnRenamed("ordinal", "review_id").withColumn(
         "sentiment_label", labels.rating_sentiment(F.col("rating"))
     )
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews that have a vector, with cluster, predicted issue and distance."""
+    """All reviews with cluster, predicted issue and distance."""
     rows = pointed(spark, sf_dir, "embedding")
     scored = scoring.with_best_label(
         scoring.keyword_issue_probabilities(rows, "_probs"),
