@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+SIEVE_WORD_BITS = 20
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -41,6 +43,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _bit(key: str) -> tuple[Column, Column]:
+    """Word and mask of a key's bit among 2**26."""
+    h = F.xxhash64(key)
+    return F.shiftrightunsigned(h, 64 - SIEVE_WORD_BITS), F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieve(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add ``_maybe``: false only for rows whose ``key`` is not in ``keys``.
+
+    A bit map of fixed size is broadcast, at most 2**20 rows of 64 bits, whatever the
+    number of keys.  It saves a shuffle of rows without a partner; a join decides.
+    """
+    word, mask = _bit(key)
+    bits = keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    marked = df.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False))
+    return marked.withColumn("_maybe", hit).drop("_word", "_mask", "_bits")
+
+
 def row_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(row, text) of every document, null as empty."""
     return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))

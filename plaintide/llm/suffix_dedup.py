@@ -22,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from plaintide.llm.common import fresh, row_texts, written
+from plaintide.llm.common import fresh, row_texts, sieve, written
 
 PASSAGE = 200
-SPAN = 120  # starts that share a trigger, at most; a phrase's length must fit a byte
+SPAN = 96  # starts that share a trigger, at most; a phrase's length must fit a byte
 GRAM = 8
 PIECE = 1 << 20  # starts of one text that are parsed at a time
 GATHER_BYTES = 24 << 20
+PART_ROWS = 1 << 20  # suffixes that are put in order together, about
 ENTRY = np.dtype([("row", "<i8"), ("start", "<u4"), ("more", "u1")])
 FULL, EDGE, MODEL = 0, 1, 2
 
@@ -159,40 +160,114 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[new]), lists], names=["row", "spans"])
 
 
-def _edges(passage: int):
-    """(w1, w2, n, row, start) of the single suffixes of edge phrases and of their models."""
+def _starts(spans: np.ndarray) -> np.ndarray:
+    """All starts of the phrases in ``spans``, one after the other."""
+    first, more = spans >> 10, spans >> 2 & 255
+    total = np.cumsum(more + 1)
+    return np.repeat(first - total + more + 1, more + 1) + np.arange(total[-1] if len(total) else 0)
+
+
+def _runs(w1: np.ndarray, w2: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of suffix names, the run of equal names of each, and whether a run is repeated.
+
+    A run is repeated when it has more than one suffix, or one that stands for several (row -1).
+    """
+    order = np.lexsort((w2, w1))
+    a, b = w1[order], w2[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    run = np.cumsum(new) - 1
+    repeated = (np.bincount(run) > 1) | (np.bincount(run, row[order] < 0) > 0)
+    return order, run, repeated
+
+
+def _packed(part: np.ndarray, known: bool, columns: list[np.ndarray]) -> list[tuple[int, bool, bytes]]:
+    """Rows (part, known, packed columns), one for each part."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    columns = [c[order] for c in columns]
+    return [(int(part[i]), known, b"".join(c[i:j].tobytes() for c in columns)) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+
+
+def _suffixes(passage: int, parts: int):
+    """(part, known, blob) of the single suffixes of edge phrases and of their models.
+
+    Suffixes that a task finds to be repeated are known: one record, without a row, tells
+    the others.
+    """
+
+    def emit(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        w1, w2, row, start = (np.concatenate(c) for c in out)
+        order, run, repeated = _runs(w1, w2, row)
+        twice = repeated[run]
+        alone, members = order[~twice], order[twice]
+        heads = members[np.flatnonzero(np.diff(run[twice], prepend=-1))]
+        names = np.concatenate([alone, heads])
+        rows = np.concatenate([row[alone], np.full(len(heads), -1)])
+        found = _packed((w1[names] % np.uint64(parts)).astype(np.int64), False, [w1[names], w2[names], rows, start[names].astype("<u4")])
+        members = members[row[members] >= 0]
+        found += _packed(row[members] % parts, True, [row[members], start[members].astype("<u4")])
+        part, known, blob = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(known), pa.array(blob, pa.binary())], names=["part", "known", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, out, held = Hashes(), [[], [], [], []], 0
         for batch in batches:
-            out = [[] for _ in range(5)]
             for row, text, lists in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)):
                 spans = np.concatenate([np.asarray(s, np.int64) for s in lists.as_py()])
                 spans = spans[spans & 3 != FULL]
                 if not len(spans):
                     continue
-                first, more, state = spans >> 10, spans >> 2 & 255, spans & 3
-                total = np.cumsum(more + 1)
-                start = np.repeat(first - total + more + 1, more + 1) + np.arange(total[-1])
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                for which in (0, 1):
-                    out[which].append(hashes.windows(data, start, passage, which).view(np.int64))
-                out[2].append(np.repeat(np.where(state == MODEL, 2, 1), more + 1))
-                out[3].append(np.full(len(start), row))
-                out[4].append(start)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w1", "w2", "n", "row", "start"])
+                start, data = _starts(spans), np.frombuffer(text.as_buffer(), np.uint8)
+                model = np.repeat(spans & 3 == MODEL, (spans >> 2 & 255) + 1)
+                out[0].append(hashes.windows(data, start, passage, 0))
+                out[1].append((hashes.windows(data, start, passage, 1) >> np.uint64(32)).astype("<u4"))
+                out[2].append(np.where(model, -1, row))
+                out[3].append(start)
+                held += len(start)
+                if held >= PART_ROWS:
+                    yield emit(out)
+                    out, held = [[], [], [], []], 0
+        if held:
+            yield emit(out)
 
     return run
 
 
-def _repeats(spans: np.ndarray, unique: np.ndarray, passage: int) -> np.ndarray:
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, starts) of the repeated suffixes, part by part; the rows of a part come together."""
+
+    def judge(known: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
+        columns = [[np.frombuffer(b, t, len(b) // 24, o * (len(b) // 24)) for b in blobs] for t, o in (("<u8", 0), ("<u4", 8), ("<i8", 12), ("<u4", 20))]
+        rows, starts = [np.frombuffer(b, "<i8", len(b) // 12) for b in known], [np.frombuffer(b, "<u4", len(b) // 12, 8 * (len(b) // 12)) for b in known]
+        if blobs:
+            w1, w2, row, start = (np.concatenate(c) for c in columns)
+            order, run, repeated = _runs(w1, w2, row)
+            members = order[repeated[run] & (row[order] >= 0)]
+            rows.append(row[members])
+            starts.append(start[members])
+        row, start = np.concatenate(rows), np.concatenate(starts).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], start[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(row), 1), bool), row[1:] != row[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(start))
+        return pa.RecordBatch.from_arrays([pa.array(row[new]), lists], names=["row", "starts"])
+
+    here, known, blobs = None, [], []
+    for batch in batches:
+        for part, is_known, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if part != here and here is not None:
+                yield judge(known, blobs)
+                known, blobs = [], []
+            here = part
+            (known if is_known else blobs).append(blob)
+    if here is not None:
+        yield judge(known, blobs)
+
+
+def _repeats(spans: np.ndarray, starts: np.ndarray, passage: int) -> np.ndarray:
     """(start, end) of the maximal runs of bytes that repeated passages cover."""
-    spans = spans[spans & 3 != MODEL]
-    first, more = spans >> 10, spans >> 2 & 255
-    total = np.cumsum(more + 1)
-    start = np.repeat(first - total + more + 1, more + 1) + np.arange(total[-1] if len(total) else 0)
-    start = np.setdiff1d(start, unique)
+    start = np.union1d(_starts(spans[spans & 3 == FULL]), starts)
     if not len(start):
         return np.zeros((0, 2), np.int64)
     breaks = np.flatnonzero(start[1:] > start[:-1] + passage)
@@ -200,7 +275,7 @@ def _repeats(spans: np.ndarray, unique: np.ndarray, passage: int) -> np.ndarray:
 
 
 def repeated_passages(texts: DataFrame, passage: int = PASSAGE, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """For (row, text): (row, spans) of phrases that repeat or may, and (row, uniques) of the starts in them that don't."""
+    """For (row, text): (row, spans) of phrases that repeat or may, and (row, starts) of the repeated suffixes of the latter."""
     by_context, by_trigger = Window.partitionBy("g", "k"), Window.partitionBy("g")
     ordered = (
         _parsed(texts, passage, span)
@@ -217,10 +292,14 @@ def repeated_passages(texts: DataFrame, passage: int = PASSAGE, span: int = SPAN
     # of a context's occurrences, one entry of one task's suffices as the model
     flagged = flagged.select("state", F.when(F.col("state") == MODEL, F.substring("entries", 1, ENTRY.itemsize)).otherwise(F.col("entries")).alias("entries"))
     spans = written(flagged.mapInArrow(_by_row, "row bigint, spans array<bigint>").groupBy("row").agg(F.collect_list("spans").alias("spans")))
-    edge = spans.filter(F.exists("spans", lambda s: F.exists(s, lambda x: x.bitwiseAND(F.lit(3)) != FULL)))
-    suffixes = texts.join(edge, "row").select("row", "text", "spans").mapInArrow(_edges(passage), "w1 bigint, w2 bigint, n bigint, row bigint, start bigint")
-    single = suffixes.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("row").alias("row"), F.min("start").alias("start")).filter("n = 1")
-    return spans, written(single.groupBy("row").agg(F.collect_list("start").alias("uniques")))
+    not_full = lambda x: x.bitwiseAND(F.lit(3)) != FULL
+    edges = spans.withColumn("edges", F.filter(F.flatten("spans"), not_full)).filter(F.size("edges") > 0)
+    edges = edges.select("row", F.array("edges").alias("spans"), F.aggregate("edges", F.lit(0).cast("bigint"), lambda n, x: n + F.shiftright(x, 2).bitwiseAND(F.lit(255)) + 1).alias("n"))
+    parts = (edges.agg(F.sum("n")).first()[0] or 0) // PART_ROWS + 1
+    found = sieve(texts, edges, "row").filter("_maybe").join(edges, "row").select("row", "text", "spans")
+    suffixes = found.mapInArrow(_suffixes(passage, parts), "part bigint, known boolean, blob binary")
+    judged = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_judged, "row bigint, starts array<bigint>")
+    return spans, written(judged.groupBy("row").agg(F.collect_list("starts").alias("starts")))
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None, passage: int = PASSAGE, span: int = SPAN, as_text: bool = False) -> DataFrame:
@@ -234,14 +313,16 @@ def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None
     gives no rows.  ``docs`` must be a table, as its rows are numbered by position.
     """
     texts = row_texts(docs, text)
-    found, single = repeated_passages(texts, passage, span)
-    found = found.join(single, "row", "left")
-    row, body, uniques, phrase = fresh(docs, "_row", "_body", "_uniques", "_phrases")
+    spans, repeated = repeated_passages(texts, passage, span)
+    row, body, starts, phrase = fresh(docs, "_row", "_body", "_starts", "_phrases")
     names = [c for c in keep or docs.columns if c.lower() not in ("spans", "kept")]
     whole = docs.select(*names, F.monotonically_increasing_id().alias(row), *([] if text in names else [F.col(text).alias(body)]))
     body = text if text in names else body
-    marks = found.select(F.col("row").alias(row), F.col("spans").alias(phrase), F.col("uniques").alias(uniques))
-    joined = whole.join(marks, row, "left").drop(row)
+    marks = spans.join(repeated, "row", "left").select(F.col("row").alias(row), F.col("spans").alias(phrase), F.col("starts").alias(starts))
+    # texts without a phrase to cut stay where they are
+    sifted = sieve(whole, spans.select(F.col("row").alias(row)), row)
+    cut = sifted.filter("_maybe").drop("_maybe").join(marks, row, "left")
+    joined = cut.unionByName(sifted.filter("not _maybe").drop("_maybe"), allowMissingColumns=True).drop(row)
     span_type = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     results = T._parse_datatype_string(f"spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
     schema = T.StructType([*joined.select(*names).schema.fields, *results.fields])
@@ -249,12 +330,12 @@ def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut, kept = [], []
-            for value, spans, lone in zip(batch.column(body), batch.column(phrase), batch.column(uniques)):
+            for value, spans, more in zip(batch.column(body), batch.column(phrase), batch.column(starts)):
                 data = (value.as_py() or "").encode()
                 runs = np.zeros((0, 2), np.int64)
                 if spans.is_valid:
-                    lone = np.concatenate([np.zeros(0, np.int64), np.asarray(lone.as_py() or [], np.int64)])
-                    runs = _repeats(np.concatenate([np.asarray(s, np.int64) for s in spans.as_py()]), lone, passage)
+                    flat = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in v.as_py() or [])]) for v in (spans, more)]
+                    runs = _repeats(*flat, passage)
                 cut.append([{"start": a, "end": b} for a, b in runs.tolist()])
                 ends = [0, *runs.ravel().tolist(), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
