@@ -2,10 +2,10 @@
 
 Documents with the same set of word n-grams form a class; everything after that works on
 classes.  The numbers of bands and rows follow from the recall asked for at the
-threshold.  Classes that meet in a bucket are candidates, each pair once, under the
-smallest bucket they share.  Candidates are verified on their full sets: sets travel to
-blocks of similar classes rather than to pairs, so a group of many near copies moves its
-sets a few times, not once per pair.
+threshold.  Classes that meet in a bucket are candidates.  They are verified on their full
+sets: sets travel to pairs of blocks of similar classes, where all pairs are compared at
+once and links are counted.  A group of many near copies moves its sets a few times, not
+once per pair, and no table holds its pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plaintide.llm.common import fresh, row_texts, written
+from plaintide.llm.common import fresh, row_texts, sieve, written
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MOST_HASHES = 128
-BLOCK = 256
+BLOCK = 512  # classes that are compared with as many others at a time
+BLOCK_GRAMS = 1 << 20
 WORDS_KEPT = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "row bigint, size int, c1 bigint, c2 bigint, bands array<bigint>"
@@ -115,65 +116,114 @@ def sketches(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, SKETCH)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of classes that share a bucket, with the blocks they are verified in."""
+def _labelled(classes: DataFrame) -> DataFrame:
+    """(cls, size, keys, label) of classes that share a bucket with another.
+
+    ``label`` is a class few buckets away that similar classes have in common: each takes
+    the smallest class of its buckets, twice.
+    """
     same = Window.partitionBy("key")
-    met = classes.select("cls", F.explode("bands").alias("key"))
+    met = classes.select("cls", "size", F.explode("bands").alias("key"))
     met = met.withColumns({"label": F.min("cls").over(same), "last": F.max("cls").over(same)}).filter(F.col("label") < F.col("last"))
-    members = written(met.groupBy("cls").agg(F.collect_list("key").alias("keys"), F.min("label").alias("label")))
-    blocks = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    members = members.join(blocks, "label").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts")
-    spread = members.withColumn("key", F.explode("keys"))
-    a, b = spread.alias("a"), spread.alias("b")
-    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & once)
-    one, two = (F.struct(f"{s}.label", f"{s}.part") for s in "ab")
-    place = F.struct(F.least(one, two).alias("one"), F.greatest(one, two).alias("two"))
-    return written(pairs.select(place.alias("place"), F.col("a.cls").alias("x"), F.col("b.cls").alias("y")))
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(x, y, jaccard) of the pairs at or above the threshold, on full sets."""
-    needed = pairs.select("place", F.col("x").alias("cls")).union(pairs.select("place", "y")).groupBy("cls").agg(F.collect_set("place").alias("places"))
-    place_type = pairs.schema["place"].dataType.simpleString()
+    members = written(met.groupBy("cls", "size").agg(F.collect_list("key").alias("keys"), F.min("label").alias("label")))
+    again = members.select("cls", F.explode("keys").alias("key"), "label").withColumn("label", F.min("label").over(same))
+    return members.drop("label").join(again.groupBy("cls").agg(F.min("label").alias("label")), "cls")
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """(cls, places): the pairs of blocks in which each class is compared.
+
+    Classes of one label are dealt into blocks of bounded size.  Two blocks are compared
+    when a bucket has classes of both; every pair of classes has one place.
+    """
+    sums = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("parts"))
+    blocks = members.join(sums, "label").select("cls", "keys", F.struct("label", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")).alias("block"))
+    blocks = written(blocks)
+    touched = blocks.select(F.explode("keys").alias("key"), "block").distinct()
+    a, b = touched.alias("a"), touched.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")))
+    pairs = pairs.select(F.col("a.block").alias("one"), F.col("b.block").alias("two")).distinct()
+    place = F.struct("one", "two").cast("string").alias("place")
+    sides = pairs.select(F.col("one").alias("block"), F.struct(place, F.lit(0).alias("side")).alias("at"))
+    sides = sides.union(pairs.filter(F.col("one") != F.col("two")).select("two", F.struct(place, F.lit(1).alias("side"))))
+    return blocks.join(sides.groupBy("block").agg(F.collect_list("at").alias("places")), "block").select("cls", "places")
+
+
+def shared_grams(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all of ``two``, exactly.
+
+    Only grams that both sides have count, ``width`` of them at a time as columns of 0 and 1.
+    """
+    sizes = [np.array([len(x) for x in side]) for side in (one, two)]
+    flat = [np.concatenate(side) for side in (one, two)]
+    common = np.intersect1d(*flat)
+    rows, columns = [], []
+    for grams, size in zip(flat, sizes):
+        at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
+        hit = common[at] == grams if len(common) else np.zeros(len(grams), bool)
+        rows.append(np.repeat(np.arange(len(size)), size)[hit])
+        columns.append(at[hit])
+    out = np.zeros((len(one), len(two)), np.float32)
+    for start in range(0, len(common), width):
+        tables = []
+        for k in range(2):
+            table = np.zeros((len(sizes[k]), min(width, len(common) - start)), np.float32)
+            own = (columns[k] >= start) & (columns[k] < start + width)
+            table[rows[k][own], columns[k][own] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def _links(place: list[dict[int, np.ndarray]], threshold: float) -> list[tuple[int, int, int]]:
+    """(cls, number of links, smallest class connected here) of the linked classes of a place."""
+    sides = [sorted(p.items()) for p in (place if place[1] else place[:1] * 2)]
+    ids = [np.array([c for c, _ in side]) for side in sides]
+    sizes = [np.array([len(x) for _, x in side]) for side in sides]
+    both = shared_grams(*[[x for _, x in side] for side in sides])
+    near = both >= threshold * (sizes[0][:, None] + sizes[1][None] - both)
+    near &= ids[0][:, None] != ids[1][None]
+    roots = [i.copy() for i in ids]
+    far = np.iinfo(np.int64).max
+    while True:
+        left = np.minimum(roots[0], np.where(near, roots[1][None], far).min(1))
+        right = np.minimum(roots[1], np.where(near, left[:, None], far).min(0))
+        if (left == roots[0]).all() and (right == roots[1]).all():
+            break
+        roots = [left, right] if place[1] else [np.minimum(left, right)] * 2
+    counts = [near.sum(1), near.sum(0)]
+    return [(int(c), int(n), int(r)) for k in range(2 if place[1] else 1) for c, n, r in zip(ids[k], counts[k], roots[k]) if n]
+
+
+def _verified(texts: DataFrame, placed: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(cls, n, root) of linked classes, for each place: all pairs of its two blocks, on full sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
-                names=["x", "places", "grams"],
-            )
-
-    found = texts.join(needed, F.col("row") == F.col("cls")).select("cls", "text", "places")
-    found = found.mapInArrow(sets, f"x bigint, places array<{place_type}>, grams binary")
-    rows = found.select(F.explode("places").alias("place"), "x", F.lit(None).cast("bigint").alias("y"), "grams")
-    rows = rows.unionByName(pairs.select("place", "x", "y", F.lit(None).cast("binary").alias("grams")))
-    # sets come before the pairs of their block
-    rows = rows.repartition("place").sortWithinPartitions("place", F.col("y").isNotNull()).select(F.col("place").cast("string").alias("place"), "x", "y", "grams")
+            grams = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), grams], names=["cls", "places", "grams"])
+
+    wanted = placed.withColumnRenamed("cls", "row")
+    found = sieve(texts, wanted, "row").filter("_maybe").join(wanted, "row").select("row", "text", "places")
+    found = found.mapInArrow(sets, "cls bigint, places array<struct<place:string,side:int>>, grams binary")
+    rows = found.select("cls", F.explode("places").alias("at"), "grams").select("at.place", "at.side", "cls", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, {}
+        here, held = None, [{}, {}]
         for batch in batches:
             out = []
-            for place, x, y, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for place, side, cls, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 if place != here:
-                    here, held = place, {}
-                if y is None:
-                    held[x] = np.frombuffer(grams.as_buffer(), np.uint64)
-                    continue
-                a, b = held[x], held[y]
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-                    continue
-                both = np.concatenate([a, b])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if shared >= threshold * (len(both) - shared):
-                    out.append((x, y, shared / (len(both) - shared)))
+                    out += _links(held, threshold) if held[0] else []
+                    here, held = place, [{}, {}]
+                held[side][cls] = np.frombuffer(grams.as_py(), np.uint64)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["x", "y", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["cls", "n", "root"])
+        if out := _links(held, threshold) if held[0] else []:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["cls", "n", "root"])
 
-    return rows.mapInArrow(run, "x bigint, y bigint, jaccard double")
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "cls bigint, n bigint, root bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,7 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of a node, then the smaller ones and itself, on
     the smallest; rounds end when nothing moves.
     """
-    now = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    now = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    now = written(now.filter(F.col("u") != F.col("v")))
     before = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -217,11 +268,11 @@ def similar_documents(
     rows = sketch.select("row", "size", "c1", "c2").join(ids, "row")
     first = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     classes = written(rows.filter("size > 0").groupBy("size", "c1", "c2").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")))
-    heads = classes.select(F.col("first.row").alias("row")).join(sketch, "row").select(F.col("row").alias("cls"), "bands")
-    links = written(_verified(texts, _candidates(heads), n, threshold))
-    degree = links.select(F.col("x").alias("cls")).union(links.select("y")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    heads = classes.select(F.col("first.row").alias("row")).join(sketch, "row").select(F.col("row").alias("cls"), "size", "bands")
+    links = written(_verified(texts, _placed(_labelled(heads)), n, threshold))
+    degree = links.groupBy("cls").agg(F.sum("n").alias("n_links"))
     # a component is headed by its first document, not by its smallest row
-    member = components(links)
+    member = components(links.select(F.col("cls").alias("x"), F.col("root").alias("y")))
     named = member.join(classes.select(F.col("first.row").alias("node"), "first"), "node")
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     groups = named.join(heads, "root").select(F.col("node").alias("cls"), "head")
