@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaintide.llm.common import fresh, written
+from plaintide.llm.common import fresh, sieve, written
 
 MIN_CHARS = 30
 THRESHOLD = 2
-#: Rows of the table that is broadcast to find the texts of candidates: 2**18 integers at most.
-SIEVE_BITS = 18
+BLOCK = 64  # lines that are compared with as many others at a time
 #: Blanks that are cut from both ends of a line.
 BLANKS = "\t\v\f\r "
 
@@ -66,45 +65,68 @@ def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
     return index, probe
 
 
-def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of h1 that share a segment, each once.
+def shared_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2, own, probe): keys that a line shares with another, as index and as probe.
 
     Equal lines are merged in the tasks before anything is moved, their keys with them.
-    Keys with a single line or without an indexed line are dropped before the join.
+    Keys with a single line or without an indexed line are dropped.
     """
     index, probe = _keys(threshold)
     names = [f"k{i}" for i in range(len(index) + len(probe))]
     keyed = lines.select("h1", "h2", *[k.alias(n) for n, k in zip(names, [*index, *probe])])
     distinct = keyed.groupBy("h1", "h2").agg(*[F.min(n).alias(n) for n in names])
-    entries = distinct.select("h1", F.posexplode(F.array(*names)).alias("kind", "key")).select("h1", "key", (F.col("kind") < len(index)).alias("own"))
-    same = Window.partitionBy("key")
-    shared = (
-        entries.withColumns({"low": F.min("h1").over(same), "high": F.max("h1").over(same), "any_own": F.max("own").over(same)})
-        .filter((F.col("low") < F.col("high")) & F.col("any_own"))
-        .select("h1", "key", "own")
+    entries = distinct.select("h1", "h2", F.posexplode(F.array(*names)).alias("kind", "key"))
+    entries = entries.select("h1", "h2", "key", (F.col("kind") < len(index)).alias("is_own"))
+    same, line = Window.partitionBy("key"), F.struct("h1", "h2")
+    shared = entries.withColumns({"low": F.min(line).over(same), "high": F.max(line).over(same), "any_own": F.max("is_own").over(same)})
+    shared = shared.filter((F.col("low") != F.col("high")) & F.col("any_own"))
+    keys = shared.groupBy("h1", "h2").agg(
+        F.collect_set(F.when(F.col("is_own"), F.col("key"))).alias("own"), F.collect_set(F.when(~F.col("is_own"), F.col("key"))).alias("probe")
     )
-    shared = written(shared)
-    left, right = shared.alias("p"), shared.filter("own").alias("i")
-    meets = (F.col("p.key") == F.col("i.key")) & (F.col("p.h1") != F.col("i.h1")) & (~F.col("p.own") | (F.col("p.h1") < F.col("i.h1")))
-    pairs = left.join(right, meets).select(F.least("p.h1", "i.h1").alias("a"), F.greatest("p.h1", "i.h1").alias("b"))
-    return pairs.distinct()
+    return keys.withColumn("probe", F.array_except("probe", "own"))
+
+
+def _compared(block: Column, other: Column, key: Column, threshold: int) -> Column:
+    """Of each line of ``block`` the number of linked lines in ``other`` and the first place of one.
+
+    A pair can share several keys; it counts under the smallest.
+    """
+
+    def linked(p: Column, x: Column) -> Column:
+        meets = F.array_union(
+            F.array_intersect(p["own"], x["own"]),
+            F.array_union(F.array_intersect(p["probe"], x["own"]), F.array_intersect(p["own"], x["probe"])),
+        )
+        different = (p["h1"] != x["h1"]) | (p["h2"] != x["h2"])
+        return different & (F.array_min(meets) == key) & (F.levenshtein(p["line"], x["line"], threshold) >= 0)
+
+    def of(p: Column) -> Column:
+        near = F.filter(other, lambda x: linked(p, x))
+        places = F.transform(near, lambda x: x["first"])
+        return F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), F.size(near).alias("n"), F.array_min(places).alias("nearest"))
+
+    return F.transform(block, of)
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(h1, h2, first of the other, both ways) for all pairs of different lines within the threshold."""
-    pairs = written(candidates(lines, threshold))
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    bucket = F.pmod("h1", F.lit(1 << SIEVE_BITS)).cast("int")
-    sieve = F.broadcast(wanted.select(bucket.alias("bucket")).distinct())  # at most 2**SIEVE_BITS integers
-    sifted = lines.withColumn("bucket", bucket).join(sieve, "bucket", "left_semi")
-    texts = sifted.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("place").alias("first"))
-    texts = written(texts)
-    side = lambda name: texts.select(*[F.col(c).alias(f"{name}_{c}") for c in texts.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_h1")).join(side("b"), F.col("b") == F.col("b_h1"))
-    near = both.filter(F.levenshtein("a_line", "b_line", threshold) >= 0)
-    one = near.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2"), F.col("a_first").alias("first"), F.col("b_first").alias("other"))
-    two = near.select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"), F.col("b_first").alias("first"), F.col("a_first").alias("other"))
-    return one.union(two)
+    """(h1, h2, n_links, nearest) of lines with a different line within the threshold.
+
+    ``nearest`` is the first place of such a line.  The lines of a key are dealt into blocks
+    of about BLOCK, and blocks are compared as a whole: no table holds the pairs of a key.
+    """
+    keys = written(shared_keys(lines, threshold))
+    sifted = sieve(lines, keys, "h1").filter("_maybe")
+    texts = sifted.join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("place").alias("first"))
+    texts = written(texts.join(keys, ["h1", "h2"]))
+    spread = keys.select("h1", "h2", F.explode(F.concat("own", "probe")).alias("key"))
+    sizes = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = texts.withColumn("key", F.explode(F.concat("own", "probe"))).join(sizes, "key")
+    part = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).alias("part")
+    blocks = dealt.groupBy("key", part).agg(F.collect_list(F.struct("h1", "h2", "line", "first", "own", "probe")).alias("block"))
+    one, two = blocks.alias("one"), blocks.alias("two")
+    pairs = one.join(two, F.col("one.key") == F.col("two.key"))
+    found = pairs.select(F.inline(_compared(F.col("one.block"), F.col("two.block"), F.col("one.key"), threshold)))
+    return found.filter("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n_links"), F.min("nearest").alias("nearest"))
 
 
 def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -117,8 +139,7 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     first.  A line goes when an equal line or a linked line comes before it.
     """
     lines = lines_of(docs, id_col, text, min_chars)
-    near = written(links(lines, threshold))
-    near = near.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("nearest"))
+    near = links(lines, threshold)
     narrow = lines.select("place", "h1", "h2")
     classes = narrow.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(near, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("n_links").isNotNull())
