@@ -26,23 +26,36 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 NONE = np.int32(2**31 - 1)
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 3_000_000
 # The white space of the pattern.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The rank of each token, by its bytes."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in a row, and where each starts and how long it is."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 class Merges:
-    """Token bytes by rank, and the rank of the token that two neighbours make."""
+    """Ranks of tokens, and the rank of the token that two neighbours make."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(path)
         self.size = max(self.ranks.values()) + 1
-        self.tokens = [b""] * self.size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -55,8 +68,6 @@ class Merges:
         self.keys = np.append(self.keys, np.iinfo(np.int64).max)
         square = np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)
         self.of_bytes = self.rank_of(*square).reshape(256, 256)
-        lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.flat, self.starts, self.lengths = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair; NONE where there is none or a side is -1."""
@@ -298,19 +309,19 @@ def token_lengths(
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str = BYTE_BPE) -> DataFrame:
     """Add the bytes that the packed tokens in ``ids`` stand for; null stays null.
 
-    Bytes, not text: tokens may end inside a character.  An unknown token is an error.
+    Bytes, not text: tokens may end inside a character.  An unknown token is an error.  A
+    column called ``out`` is replaced.
     """
+    rows = encoded.drop(out)
+    schema = StructType([*rows.schema.fields, StructField(out, BinaryType())])
 
-    @F.pandas_udf("binary")
-    def run(column):
-        table = merges(ranks)
-
-        def text(packed):
-            if packed is None:
-                return None
-            k = np.frombuffer(packed, "<u4")
-            return table.flat[gather(table.starts[k], table.lengths[k])].tobytes()
-
-        return column.map(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, starts, lengths = token_bytes(ranks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                numbers = (None if x is None else np.frombuffer(x, "<u4") for x in part.column(ids).to_pylist())
+                texts = [None if k is None else tokens[gather(starts[k], lengths[k])].tobytes() for k in numbers]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return encoded.withColumn(out, run(ids))
+    return rows.mapInArrow(run, schema)
