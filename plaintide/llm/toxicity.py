@@ -74,7 +74,7 @@ class Model:
         share = base
         for b in _buckets(word, len(self.toxic) - 1):
             share = (self.toxic[b] + self.weight * share) / (self.toxic[b] + self.clean[b] + self.weight)
-        return math.log(share / (1 - share)) - math.log(base / (1 - base)) - DRIFT
+        return math.log(share / (1 - share)) - math.log(base / (1 - base))
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of this score a clean text of ``n`` words has on average."""
@@ -109,8 +109,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(start, end, float(high - low)) for low, high, start, end, _ in held]
 
 
+def damped(scores: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Positive scores divided by how often the word has come up in the text so far.
+
+    One odd word that fills a text is weak evidence, however often it stands there.
+    """
+    high = np.flatnonzero(scores > 0)
+    order = high[np.argsort(numbers[high], kind="stable")]
+    new = np.concatenate([np.ones(min(len(order), 1), bool), numbers[order][1:] != numbers[order][:-1]])
+    place = np.arange(len(order))
+    out = scores.copy()
+    out[order] /= place - np.maximum.accumulate(np.where(new, place, 0)) + 1
+    return out
+
+
 class Scorer:
-    """Texts to word scores; the scores of words are kept while there is room."""
+    """Texts to token scores, the log-odds less DRIFT; the scores of words are kept while there is room."""
 
     def __init__(self, model: Model, room: int = 250_000):
         self.model, self.room = model, room
@@ -123,7 +137,7 @@ class Scorer:
         if len(self.words.known) > len(self.scores):
             new = list(self.words.known)[len(self.scores) :] if len(self.words.known) - len(self.scores) > len(self.scores) else _last(self.words.known, len(self.scores))
             self.scores = np.concatenate([self.scores, [self.model.word_score(w) for w in new]])
-        return self.scores[numbers]
+        return damped(self.scores[numbers], numbers) - DRIFT
 
 
 def _last(known: dict, since: int) -> list[str]:

@@ -217,3 +217,12 @@ def test_components_of_chains(spark):
 def test_banding():
     bands, rows = jaccard.bands_for(0.8)
     assert bands * rows <= jaccard.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= jaccard.RECALL
+
+
+def test_sieve_loses_no_partner(spark):
+    from plaintide.llm.common import sieve
+
+    rows, keys = spark.range(2000).withColumnRenamed("id", "k"), spark.range(0, 2000, 7).withColumnRenamed("id", "k")
+    got = {r.k: r._maybe for r in sieve(rows, keys, "k").collect()}
+    assert len(got) == 2000 and all(got[k] for k in range(0, 2000, 7)) and sum(got.values()) < 320
+    assert not any(r._maybe for r in sieve(rows, keys.filter("k < 0"), "k").collect())
