@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +25,8 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 STOPS = (".", "!", "?", "\n", "。", "！", "？", "…")
+MARKS = tuple(",.;:!?")
+BETWEEN = "|"  # one token, which comes of no other text
 SENTENCE_END, HARD_CUT, WINDOW = 8.0, 64.0, 16.0  # costs in tokens of padding
 
 
@@ -37,34 +40,76 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _numbers() -> defaultdict:
+    """Numbers keys in the order in which they are first asked for."""
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
+def _pieces(chunk: str) -> tuple[str, ...]:
+    """A chunk in parts that the tokenizer would part as well: letters, and a mark behind them."""
+    chunk = chunk.rstrip("\n")
+    body, tail = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk, "")
+    if body.isascii():  # it folds case; this saves encoding both forms
+        body = body.lower()
+    if not (body if body.isascii() else unicodedata.normalize("NFC", body).lower()).isalpha():
+        return (chunk,)
+    return (body, tail) if tail else (body,)
+
+
 class Chunks:
-    """Token ids of runs between blanks, each encoded once while there is room.
+    """Token ids of runs between blanks; each part of one is encoded once while there is room.
 
-    The tokenizer drops white space and nothing it does reaches over white space.
+    The tokenizer drops white space and nothing it does reaches over white space.  Parts are
+    encoded many at a time, with a token between them that none of them has.
     """
 
-    def __init__(self, path: str, room: int = 250_000):
-        self.encode, self.room = _tokenizer(path).encode_batch_fast, room
+    def __init__(self, path: str, room: int = 500_000):
+        self.tokenizer, self.room = _tokenizer(path), room
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: defaultdict = defaultdict()
-        self.known.default_factory = self.known.__len__
-        self.ids, self.sizes, self.ends = [np.zeros(0, np.uint32)], np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known, self.parts = _numbers(), _numbers()
+        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.sizes, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def numbers(self, text: str) -> np.ndarray:
         pieces = text.replace("\n", "\n ").split(" ")
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and how many each has."""
+        alone = [BETWEEN in p for p in parts]
+        plain = [p for p, odd in zip(parts, alone) if not odd]
+        joined = [f" {BETWEEN} ".join(plain[i : i + 200]) + f" {BETWEEN}" for i in range(0, len(plain), 200)]
+        stream = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint32)
+        mark = stream == self.between[0]
+        sizes = np.diff(np.flatnonzero(mark), prepend=-1) - 1
+        stream = stream[~mark]
+        if not any(alone):
+            return stream, sizes
+        rows = iter(np.split(stream, np.cumsum(sizes)[:-1]))
+        ids = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) if odd else next(rows) for p, odd in zip(parts, alone)]
+        return np.concatenate(ids), np.array([len(i) for i in ids])
+
     def look_up(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks, and of each its first place, its length, whether a sentence ends."""
         new = list(islice(self.known, len(self.sizes), None))
         if new:
-            ids = [e.ids for e in self.encode(new, add_special_tokens=False)]
-            self.ids = [np.concatenate([*self.ids, np.fromiter((i for e in ids for i in e), np.uint32)])]
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            split = list(map(_pieces, new))
+            counts = np.fromiter(map(len, split), np.int64, len(split))
+            parts = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+            if len(self.parts) > len(self.part_sizes):
+                ids, sizes = self._encode(list(islice(self.parts, len(self.part_sizes), None)))
+                self.part_ids, self.part_sizes = np.concatenate([self.part_ids, ids]), np.concatenate([self.part_sizes, sizes])
+            first = np.cumsum(self.part_sizes) - self.part_sizes
+            ids = self.part_ids[_spans(first[parts], self.part_sizes[parts])]
+            ends = np.concatenate([[0], np.cumsum(self.part_sizes[parts])])[np.concatenate([[0], np.cumsum(counts)])]
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, np.diff(ends)])
             self.ends = np.concatenate([self.ends, np.fromiter((c.endswith(STOPS) for c in new), bool, len(new))])
-        return self.ids[0], np.cumsum(self.sizes) - self.sizes, self.sizes, self.ends
+        return self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, self.ends
 
 
 def best_cuts(cuts: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
