@@ -31,6 +31,8 @@ PIECE = 1 << 20  # starts of one text that are parsed at a time
 GATHER_BYTES = 24 << 20
 PART_ROWS = 1 << 20  # suffixes that are put in order together, about
 ENTRY = np.dtype([("row", "<i8"), ("start", "<u4"), ("more", "u1")])
+SUFFIX = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("row", "<i8"), ("start", "<u4")])
+PLACE = np.dtype([("row", "<i8"), ("start", "<u4")])
 FULL, EDGE, MODEL = 0, 1, 2
 
 
@@ -234,35 +236,56 @@ def _suffixes(passage: int, parts: int):
     return run
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, starts) of the repeated suffixes, part by part; the rows of a part come together."""
-
-    def judge(known: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
-        columns = [[np.frombuffer(b, t, len(b) // 24, o * (len(b) // 24)) for b in blobs] for t, o in (("<u8", 0), ("<u4", 8), ("<i8", 12), ("<u4", 20))]
-        rows, starts = [np.frombuffer(b, "<i8", len(b) // 12) for b in known], [np.frombuffer(b, "<u4", len(b) // 12, 8 * (len(b) // 12)) for b in known]
-        if blobs:
-            w1, w2, row, start = (np.concatenate(c) for c in columns)
-            order, run, repeated = _runs(w1, w2, row)
-            members = order[repeated[run] & (row[order] >= 0)]
-            rows.append(row[members])
-            starts.append(start[members])
-        row, start = np.concatenate(rows), np.concatenate(starts).astype(np.int64)
-        order = np.argsort(row, kind="stable")
-        row, start = row[order], start[order]
-        new = np.flatnonzero(np.concatenate([np.ones(min(len(row), 1), bool), row[1:] != row[:-1]]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(start))
-        return pa.RecordBatch.from_arrays([pa.array(row[new]), lists], names=["row", "starts"])
-
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+    """(part, known blobs, other blobs) of rows that come sorted by part."""
     here, known, blobs = None, [], []
     for batch in batches:
         for part, is_known, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if part != here and here is not None:
-                yield judge(known, blobs)
+                yield here, known, blobs
                 known, blobs = [], []
             here = part
             (known if is_known else blobs).append(blob)
     if here is not None:
-        yield judge(known, blobs)
+        yield here, known, blobs
+
+
+def _columns(blobs: list[bytes], kind: np.dtype) -> list[np.ndarray]:
+    """The columns of packed records, each over all blobs."""
+    out = []
+    for name in kind.names:
+        field, at = kind.fields[name]
+        out.append(np.concatenate([np.frombuffer(b, field, len(b) // kind.itemsize, at * (len(b) // kind.itemsize)) for b in blobs]))
+    return out
+
+
+def _judged(parts: int):
+    """(part, known, blob) of the repeated suffixes: all suffixes of a name are in one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, known, blobs in _by_part(batches):
+            found = [(part, True, b) for b in known]
+            if blobs:
+                w1, w2, row, start = _columns(blobs, SUFFIX)
+                order, run, repeated = _runs(w1, w2, row)
+                members = order[repeated[run] & (row[order] >= 0)]
+                found += _packed(row[members] % parts, True, [row[members], start[members]])
+            if found:
+                at, is_known, blob = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(is_known), pa.array(blob, pa.binary())], names=["part", "known", "blob"])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, starts): the repeated suffixes of each text, all of which are in one part."""
+    for _, known, _ in _by_part(batches):
+        row, start = _columns(known, PLACE)
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], start[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate([np.ones(min(len(row), 1), bool), row[1:] != row[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(start))
+        yield pa.RecordBatch.from_arrays([pa.array(row[new]), lists], names=["row", "starts"])
 
 
 def _repeats(spans: np.ndarray, starts: np.ndarray, passage: int) -> np.ndarray:
@@ -298,8 +321,8 @@ def repeated_passages(texts: DataFrame, passage: int = PASSAGE, span: int = SPAN
     parts = (edges.agg(F.sum("n")).first()[0] or 0) // PART_ROWS + 1
     found = sieve(texts, edges, "row").filter("_maybe").join(edges, "row").select("row", "text", "spans")
     suffixes = found.mapInArrow(_suffixes(passage, parts), "part bigint, known boolean, blob binary")
-    judged = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_judged, "row bigint, starts array<bigint>")
-    return spans, written(judged.groupBy("row").agg(F.collect_list("starts").alias("starts")))
+    judged = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_judged(parts), suffixes.schema)
+    return spans, written(judged.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, "row bigint, starts array<bigint>"))
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None, passage: int = PASSAGE, span: int = SPAN, as_text: bool = False) -> DataFrame:
@@ -334,7 +357,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] | None
                 data = (value.as_py() or "").encode()
                 runs = np.zeros((0, 2), np.int64)
                 if spans.is_valid:
-                    flat = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in v.as_py() or [])]) for v in (spans, more)]
+                    flat = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in v.as_py() or [])]) for v in (spans, pa.scalar([more.as_py() or []]))]
                     runs = _repeats(*flat, passage)
                 cut.append([{"start": a, "end": b} for a, b in runs.tolist()])
                 ends = [0, *runs.ravel().tolist(), len(data)]
