@@ -135,7 +135,7 @@ class Scorer:
             self.words, self.scores = Words(), np.zeros(0)
         numbers = self.words.numbers(text)
         if len(self.words.known) > len(self.scores):
-            new = list(self.words.known)[len(self.scores) :] if len(self.words.known) - len(self.scores) > len(self.scores) else _last(self.words.known, len(self.scores))
+            new = _last(self.words.known, len(self.scores))
             self.scores = np.concatenate([self.scores, [self.model.word_score(w) for w in new]])
         return damped(self.scores[numbers], numbers) - DRIFT
 
