@@ -70,10 +70,11 @@ class Model:
     shift: float = -8.0
 
     def word_score(self, word: str) -> float:
-        base = (self.toxic[-1] + 1) / (self.toxic[-1] + self.clean[-1] + 2)
+        base = (float(self.toxic[-1]) + 1) / (float(self.toxic[-1]) + float(self.clean[-1]) + 2)
         share = base
         for b in _buckets(word, len(self.toxic) - 1):
-            share = (self.toxic[b] + self.weight * share) / (self.toxic[b] + self.clean[b] + self.weight)
+            toxic, clean = float(self.toxic[b]), float(self.clean[b])
+            share = (toxic + self.weight * share) / (toxic + clean + self.weight)
         return math.log(share / (1 - share)) - math.log(base / (1 - base))
 
     def expected(self, score: float, n: int) -> float:
@@ -173,7 +174,7 @@ def _count(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"bucket": at, "toxic": toxic[at], "clean": clean[at]})
 
     sums = rows.mapInArrow(run, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    toxic, clean = np.zeros(size + 1), np.zeros(size + 1)
+    toxic, clean = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
     got = sums.toPandas()  # at most size + 1 rows
     toxic[got["bucket"]], clean[got["bucket"]] = got["toxic"], got["clean"]
     return toxic, clean
@@ -209,7 +210,7 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_labelled: int = 50_000, features: int = 1 << 20, weight: float = 2.0,
+    max_labelled: int = 50_000, features: int = 1 << 19, weight: float = 2.0,
 ) -> Model:
     """Learn from labelled rows that aren't held out.
 
