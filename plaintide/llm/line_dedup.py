@@ -5,6 +5,10 @@ nearly the same place.  Each distinct line is indexed by the hashes of its own s
 and probes with the substrings that could be a segment of a line of its length or up to
 ``threshold`` shorter.  Pairs that meet under a key are verified by Spark's banded edit
 distance.  A line goes when an equal or linked line stands earlier.
+
+Short lines take part as well, with fewer edits: a pair may differ by one edit for every
+EDIT_CHARS characters of its shorter line, up to ``threshold``.  Below EDIT_CHARS only equal
+lines belong together.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from plaintide.llm.common import fresh, sieve, written
 
 MIN_CHARS = 30
 THRESHOLD = 2
+EDIT_CHARS = 10
 BLOCK = 64  # lines that are compared with as many others at a time
 #: Blanks that are cut from both ends of a line.
 BLANKS = "\t\v\f\r "
@@ -49,6 +54,8 @@ def _segment(i: int, length: Column, parts: int) -> tuple[Column, Column]:
 def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
     """Hashes of a line's own segments, and of the substrings with which it probes.
 
+    The length of the shorter line of a pair gives its edits and with them the number of
+    segments; keys that a length doesn't use are null.
     With i segments to the left and threshold - i to the right of segment i, more edits than
     there are segments on one side leave a segment intact on that side, which finds the
     pair as well; so only small shifts need to be probed.
@@ -57,10 +64,16 @@ def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
     for less in range(threshold + 1):
         length = F.col("n") - less
         for i in range(threshold + 1):
-            start, size = _segment(i, length, threshold + 1)
             for shift in range(-i, i + 1):
-                if abs(shift - less) <= threshold - i:
-                    key = F.xxhash64(length, F.lit(i), F.substr(F.col("line"), start + shift + 1, size))
+                key = None
+                for edits in range(threshold, 0, -1):
+                    if max(i, less) <= edits and abs(shift - less) <= edits - i:
+                        start, size = _segment(i, length, edits + 1)
+                        here = F.xxhash64(length, F.lit(i), F.substr(F.col("line"), start + shift + 1, size))
+                        long_enough, top = length >= edits * EDIT_CHARS, length < (edits + 1) * EDIT_CHARS
+                        long_enough = long_enough if edits == threshold else long_enough & top
+                        key = F.when(long_enough, here) if key is None else key.when(long_enough, here)
+                if key is not None:
                     (index if less == shift == 0 else probe).append(key)
     return index, probe
 
@@ -73,10 +86,10 @@ def shared_keys(lines: DataFrame, threshold: int) -> DataFrame:
     """
     index, probe = _keys(threshold)
     names = [f"k{i}" for i in range(len(index) + len(probe))]
-    keyed = lines.select("h1", "h2", *[k.alias(n) for n, k in zip(names, [*index, *probe])])
+    keyed = lines.filter(F.col("n") >= EDIT_CHARS).select("h1", "h2", *[k.alias(n) for n, k in zip(names, [*index, *probe])])
     distinct = keyed.groupBy("h1", "h2").agg(*[F.min(n).alias(n) for n in names])
     entries = distinct.select("h1", "h2", F.posexplode(F.array(*names)).alias("kind", "key"))
-    entries = entries.select("h1", "h2", "key", (F.col("kind") < len(index)).alias("is_own"))
+    entries = entries.filter(F.col("key").isNotNull()).select("h1", "h2", "key", (F.col("kind") < len(index)).alias("is_own"))
     same, line = Window.partitionBy("key"), F.struct("h1", "h2")
     shared = entries.withColumns({"low": F.min(line).over(same), "high": F.max(line).over(same), "any_own": F.max("is_own").over(same)})
     shared = shared.filter((F.col("low") != F.col("high")) & F.col("any_own"))
@@ -98,7 +111,11 @@ def _compared(block: Column, other: Column, key: Column, threshold: int) -> Colu
             F.array_union(F.array_intersect(p["probe"], x["own"]), F.array_intersect(p["own"], x["probe"])),
         )
         different = (p["h1"] != x["h1"]) | (p["h2"] != x["h2"])
-        return different & (F.array_min(meets) == key) & (F.levenshtein(p["line"], x["line"], threshold) >= 0)
+        close = F.levenshtein(p["line"], x["line"], threshold) >= 0
+        for edits in range(threshold - 1, 0, -1):
+            short = F.least(F.char_length(p["line"]), F.char_length(x["line"])) < (edits + 1) * EDIT_CHARS
+            close = close & (~short | (F.levenshtein(p["line"], x["line"], edits) >= 0))
+        return different & (F.array_min(meets) == key) & close
 
     def of(p: Column) -> Column:
         near = F.filter(other, lambda x: linked(p, x))
@@ -109,7 +126,7 @@ def _compared(block: Column, other: Column, key: Column, threshold: int) -> Colu
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(h1, h2, n_links, nearest) of lines with a different line within the threshold.
+    """(h1, h2, n_links, nearest) of lines with a different line within the allowed edits.
 
     ``nearest`` is the first place of such a line.  The lines of a key are dealt into blocks
     of about BLOCK, and blocks are compared as a whole: no table holds the pairs of a key.
@@ -133,7 +150,7 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     """One row per line of at least ``min_chars`` characters: where it stands, its class, its links, whether it stays.
 
     Columns: place, first (place of the first equal line: the class), copies, n_links (different
-    lines within ``threshold`` edits), kept.  Lines are compared without blanks at both ends;
+    lines within the allowed edits), kept.  Lines are compared without blanks at both ends;
     shorter lines, empty lines and null texts give no row and always stay.  Lines come in
     order of document id, null ids last, then row, then number, so one of repeated rows is the
     first.  A line goes when an equal line or a linked line comes before it.
@@ -152,13 +169,13 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     )
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1, **options) -> DataFrame:
     """``docs`` without the lines that ``judged_lines`` lets go, all columns as they were.
 
-    A document left without any text goes, unless it had none before.  ``docs`` must be a table.
+    Every line that isn't blank takes part.  A document left without any text goes, unless it had none before.  ``docs`` must be a table.
     """
     row, gone, kept_text = fresh(docs, "_row", "_gone", "_kept")
-    dropped = judged_lines(docs, id_col, text, **options).filter(~F.col("kept"))
+    dropped = judged_lines(docs, id_col, text, min_chars=min_chars, **options).filter(~F.col("kept"))
     dropped = dropped.groupBy(F.col("place.row").alias(row)).agg(F.collect_list("place.line_no").alias(gone))
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))

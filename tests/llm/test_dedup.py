@@ -110,6 +110,47 @@ def test_lines_odd(odd, nothing):
     assert line_dedup.drop_lines(nothing).collect() == [] == line_dedup.judged_lines(nothing).collect()
 
 
+def short_line_truth(rows):
+    """Every line that isn't blank; an edit for each ten characters of the shorter line, two at most."""
+    lines = [((i is None, i, row, no), raw.strip("\t\v\f\r ")) for row, (i, text) in enumerate(ordered(rows)) for no, raw in enumerate((text or "").split("\n"))]
+    lines = [(place, line) for place, line in lines if line]
+    first = {}
+    for place, line in lines:
+        first.setdefault(line, place)
+    out = []
+    for place, line in lines:
+        near = [x for x in first if x != line and abs(len(x) - len(line)) <= 2 and edits(x, line) <= min(2, min(len(x), len(line)) // 10)]
+        kept = first[line] == place and all(first[x] > place for x in near)
+        out.append((place[1], place[3], first[line][1], first[line][3], sum(x == line for _, x in lines), len(near), kept))
+    return out
+
+
+def test_short_lines(spark, tmp_path):
+    rng = random.Random(12)
+    base = [words(rng, 9)[:n] for n in range(1, 34) for _ in range(2)]
+
+    def touched(line):
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(line) + 1)
+            line = rng.choice([line[:at] + line[at + 1 :], line[:at] + "é" + line[at:], line[:at] + "z" + line[at + 1 :]])
+        return line
+
+    rows = [(i, "\n".join(rng.choice([touched(rng.choice(base)), rng.choice(base), "}", " \t", ""]) for _ in range(8))) for i in range(90)]
+    rows += [(None, rows[3][1]), (100, None), (101, ""), (102, "}"), (7, rows[7][1])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = line_dedup.judged_lines(docs, min_chars=1).select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
+    want = short_line_truth(rows)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    for low, high in ((10, 20), (20, 30)):
+        near = [w for w, line in zip(want, [x.strip("\t\v\f\r ") for _, t in ordered(rows) for x in (t or "").split("\n") if x.strip("\t\v\f\r ")]) if low <= len(line) < high and w[5]]
+        assert near and not all(w[6] for w in near)
+    left = line_dedup.drop_lines(docs).collect()
+    stays = [x.strip("\t\v\f\r ") for r in left for x in (r.text or "").split("\n")]
+    assert sum(bool(x) for x in stays) == sum(w[6] for w in want) and stays.count("}") == 1
+    assert {100, 101} <= {r.doc_id for r in left} and 102 not in {r.doc_id for r in left}
+
+
 def passage_truth(texts, size):
     seen = defaultdict(int)
     for t in texts:
