@@ -111,10 +111,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def damped(scores: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Positive scores divided by how often the word has come up in the text so far.
-
-    One odd word that fills a text is weak evidence, however often it stands there.
-    """
+    """Positive scores divided by how often the word has come up so far."""
     high = np.flatnonzero(scores > 0)
     order = high[np.argsort(numbers[high], kind="stable")]
     new = np.concatenate([np.ones(min(len(order), 1), bool), numbers[order][1:] != numbers[order][:-1]])
@@ -124,21 +121,43 @@ def damped(scores: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return out
 
 
+def judged(found: list[tuple[int, int, float]], scores: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """The segments with the scores by which their significance is judged, and their strongest words.
+
+    One odd word that fills a passage is weak evidence, however often it stands there: its
+    repeats within the segment are damped, and the best run that is left counts.  Nothing outside
+    the segment matters, and what a segment begins with is never worth less for being repeated.
+    """
+    out = []
+    for a, b, s in found:
+        inside = numbers[a:b]
+        if b - a > 1 and len(np.unique(inside)) < b - a:
+            total = np.concatenate([[0.0], np.cumsum(damped(scores[a:b] + DRIFT, inside) - DRIFT)])
+            s = float((total - np.minimum.accumulate(total)).max())
+        out.append((a, b, s, int(inside[np.argmax(scores[a:b])])))
+    return out
+
+
 class Scorer:
-    """Texts to token scores, the log-odds less DRIFT; the scores of words are kept while there is room."""
+    """Texts to token scores and words; the score is the log-odds less DRIFT, kept by word while there is room."""
 
     def __init__(self, model: Model, room: int = 250_000):
         self.model, self.room = model, room
         self.words, self.scores = Words(), np.zeros(0)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words.known) > self.room:
             self.words, self.scores = Words(), np.zeros(0)
         numbers = self.words.numbers(text)
         if len(self.words.known) > len(self.scores):
             new = _last(self.words.known, len(self.scores))
             self.scores = np.concatenate([self.scores, [self.model.word_score(w) for w in new]])
-        return damped(self.scores[numbers], numbers) - DRIFT
+        return self.scores[numbers] - DRIFT, numbers
+
+    def passages(self, text: str) -> tuple[list[tuple[int, int, float, int]], int]:
+        """All maximal segments as they are judged, and the number of words."""
+        scores, numbers = self(text)
+        return judged(segments(scores), scores, numbers), len(scores)
 
 
 def _last(known: dict, since: int) -> list[str]:
@@ -147,10 +166,18 @@ def _last(known: dict, since: int) -> list[str]:
     return [next(back) for _ in range(len(known) - since)][::-1]
 
 
-def _evidence(model: Model, found: list[tuple[int, int, float]], n: int) -> tuple[float, list]:
-    """Sum of -ln(expected) over segments expected less than once, and these segments."""
-    kept = [(a, b, s, e) for a, b, s in found if (e := model.expected(s, n)) < 1]
-    return sum(-math.log(max(e, 1e-300)) for *_, e in kept), kept
+def _evidence(model: Model, found: list[tuple[int, int, float, int]], n: int) -> tuple[float, list]:
+    """Sum of -ln(expected) over segments expected less than once, and these segments.
+
+    Of segments with the same strongest word the best counts in full, the next a half, then a third:
+    a further passage adds to the evidence, wherever it stands, and never takes from it.
+    """
+    kept, by_word = [], defaultdict(list)
+    for a, b, s, word in found:
+        if (e := model.expected(s, n)) < 1:
+            kept.append((a, b, s, e))
+            by_word[word].append(-math.log(max(e, 1e-300)))
+    return sum(x / k for same in by_word.values() for k, x in enumerate(sorted(same, reverse=True), 1)), kept
 
 
 def _count(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +266,7 @@ def fit(
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not y:
-                    for b, c in zip(*np.unique(np.floor(scorer(t) / STEP + 0.5).astype(int), return_counts=True)):
+                    for b, c in zip(*np.unique(np.floor(scorer(t)[0] / STEP + 0.5).astype(int), return_counts=True)):
                         counts[int(b)] += int(c)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
 
@@ -252,9 +279,9 @@ def fit(
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not y:
-                    scores = scorer(t)
-                    top = max((s for *_, s in segments(scores)), default=0.0)
-                    sums = [sums[0] + max(len(scores), 1) * math.exp(-rate * top), sums[1] + 1]
+                    found, n = scorer.passages(t)
+                    top = max((s for _, _, s, _ in found), default=0.0)
+                    sums = [sums[0] + max(n, 1) * math.exp(-rate * top), sums[1] + 1]
         yield pa.RecordBatch.from_pydict({"mass": [sums[0]], "n": [sums[1]]})
 
     mass, clean_docs = held.mapInArrow(best, "mass double, n bigint").agg(F.sum("mass"), F.sum("n")).first()
@@ -267,8 +294,7 @@ def fit(
         scorer, counts = Scorer(mine), defaultdict(int)
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                scores = scorer(t)
-                x, _ = _evidence(mine, segments(scores), len(scores))
+                x, _ = _evidence(mine, *scorer.passages(t))
                 counts[(min(int(x * 4), 400), y)] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_pydict({"x": pa.array([k[0] for k in keys], pa.int64()), "y": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array(counts.values(), pa.int64())})
@@ -300,8 +326,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
         for batch in batches:
             out, found = [], []
             for t in batch.column(text):
-                scores = scorer(t.as_py() or "")
-                evidence, kept = _evidence(scorer.model, segments(scores), len(scores))
+                evidence, kept = _evidence(scorer.model, *scorer.passages(t.as_py() or ""))
                 out.append(scorer.model.probability(evidence))
                 found.append([{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in kept])
             results = [pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32()), pa.array(found, pa.list_(passage))]

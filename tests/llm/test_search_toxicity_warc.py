@@ -129,6 +129,31 @@ def test_toxicity_learns_only_from_its_rows(labelled):
     assert (model.toxic == again.toxic).all() and (model.slope, model.shift, model.rate) == (again.slope, again.shift, again.rate)
 
 
+def test_passages_score_the_same_wherever_they_stand(spark):
+    size, rng = 1 << 12, random.Random(1)
+    toxic, clean = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
+    toxic[-1], clean[-1] = 1000, 9000
+    for word in ("bad", "vil", "ugh"):
+        toxic[zlib.crc32(word.encode()) % size] = 60
+    for word in ("the", "and", "dog", "cat"):
+        clean[zlib.crc32(word.encode()) % size] = 500
+    model = toxicity.Model(toxic, clean, 2.0, scale=0.01)
+    passage = "bad vil ugh bad"
+    filler = lambda: " ".join(rng.choice(["the", "and", "dog", "cat"]) for _ in range(40))
+    early = " ".join(f"{filler()} {w}" for w in passage.split() * 5)
+    texts = [f"{filler()} {passage} {filler()}", f"{early} {filler()} {passage} {filler()}", " ".join(f"{filler()} {passage}" for _ in range(6)), "bad " * 400, early]
+    got = sorted(toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect())
+    found = [{(p.start, p.end): p.score for p in r.passages} for r in got]
+    (alone,) = found[0].values()
+    late = texts[1].split()
+    at = [i for i in range(len(late)) if late[i : i + 4] == passage.split()]
+    assert [found[1][i, i + 4] for i in at] == pytest.approx([alone] * len(at)) and at
+    assert len(found[2]) == 6 and list(found[2].values()) == pytest.approx([alone] * 6)
+    assert got[1].predicted == got[0].predicted and got[1].score >= 0.5 * got[0].score
+    assert all(s < 2 * alone for s in found[3].values()) and len(found[3]) <= 1
+    assert got[1].score >= got[4].score
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels.filter("doc_id = -1"))
