@@ -201,9 +201,17 @@ def _count(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"bucket": at, "toxic": toxic[at], "clean": clean[at]})
 
     sums = rows.mapInArrow(run, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, *counts = (column.to_numpy() for column in batch.columns)
+            arrays = [at.astype(np.int32), *(c.astype(np.float32) for c in counts)]
+            yield pa.RecordBatch.from_pydict({n: [x.tobytes()] for n, x in zip(("bucket", "toxic", "clean"), arrays)})
+
     toxic, clean = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
-    got = sums.toPandas()  # at most size + 1 rows
-    toxic[got["bucket"]], clean[got["bucket"]] = got["toxic"], got["clean"]
+    for row in sums.mapInArrow(packed, "bucket binary, toxic binary, clean binary").collect():  # 12 bytes a feature met
+        at = np.frombuffer(row["bucket"], np.int32)
+        toxic[at], clean[at] = np.frombuffer(row["toxic"], np.float32), np.frombuffer(row["clean"], np.float32)
     return toxic, clean
 
 
@@ -237,7 +245,7 @@ def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_labelled: int = 50_000, features: int = 1 << 19, weight: float = 2.0,
+    max_labelled: int = 50_000, features: int = 1 << 20, weight: float = 2.0,
 ) -> Model:
     """Learn from labelled rows that aren't held out.
 

@@ -154,6 +154,19 @@ def test_passages_score_the_same_wherever_they_stand(spark):
     assert got[1].score >= got[4].score
 
 
+def test_toxicity_counts_by_feature(labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    assert len(model.toxic) == len(model.clean) == (1 << 20) + 1 and model.toxic.dtype == np.float32
+    rows = docs.filter("doc_id < 300").select("text", (F.col("doc_id") % 6 == 0).cast("int"))
+    want = np.zeros((2, 1025))
+    for text, label in rows.collect():
+        for word in set(text.lower().split()):
+            np.add.at(want[label], [*toxicity._buckets(word, 1024), 1024], 1)
+    toxic, clean = toxicity._count(rows, 1024)
+    assert (toxic == want[1]).all() and (clean == want[0]).all()
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels.filter("doc_id = -1"))
