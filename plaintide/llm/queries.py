@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintide.llm import ann, bpe, exact_dedup, jaccard, line_dedup, packing, suffix_dedup, token_counts, toxicity, warc
+from plaintide.llm import alignment, ann, bpe, exact_dedup, jaccard, lexical, line_dedup, packing, sharding, suffix_dedup, token_counts, toxicity, warc
 from plaintide.llm.common import work_folder
 
 
@@ -79,12 +79,75 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of one weight in two regions of three racks; the grown tree has one shard more."""
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.Tree.even(24, regions=2, racks=3))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_ann": op2_ann, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard": op6_jaccard, "op7_token_counts": op7_token_counts, "op8_packing": op8_packing, "op9_warc": op9_warc, "op10_line_dedup": op10_line_dedup,
+    "op11_lexical": op11_lexical, "op12_alignment": op12_alignment, "op13_sharding": op13_sharding,
 }
 
+def _draw(name: str, weight: int) -> str:
+    return f"-ln((('0x' || substr(md5(key || '/' || {name}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / {weight}.0"
+
+
+def _least(children: dict[int, str], weight: int) -> str:
+    return "list_min([" + ", ".join(f"{{'draw': {_draw(name, weight)}, 'child': {c}}}" for c, name in children.items()) + "])"
+
+
 ORACLE = {
+    "op11_lexical": r"""
+        WITH t AS (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM documents
+        ),
+        q AS (
+          SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM benchmark
+        ),
+        i AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM s),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY term),
+        x AS (
+          SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+          FROM f JOIN w USING (term) JOIN i USING (term) JOIN s USING (doc_id), c GROUP BY ALL
+        ),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20
+    """,
+    "op13_sharding": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS digits, coalesce('=' || doc_id::VARCHAR, 'null') AS key FROM documents),
+        a AS (SELECT *, {_least({0: "'region 0'", 1: "'region 1'"}, 12)} AS region, {_draw("'growth 0'", 1)} AS growth FROM d),
+        b AS (SELECT *, {_least({k: f"'rack ' || region.child || '.{k}'" for k in range(3)}, 4)}.child + region.child * 3 AS rack FROM a),
+        c AS (SELECT *, {_least({s: f"'shard ' || (rack * 4 + {s})" for s in range(4)}, 1)}.child + rack * 4 AS shard FROM b),
+        tab AS (
+          SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+        ),
+        e AS (
+          SELECT c.*, strlen(text) + 8 AS size,
+                 xor(4294967295, list_reduce(
+                   list_concat([4294967295], list_transform(range(strlen(text)), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+                   lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1]))) AS text_crc32
+          FROM c, tab
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, region.child::INT AS region, (rack % 3)::INT AS rack, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot,
+               CASE WHEN growth < region.draw THEN 24 ELSE shard END::INT AS grown_shard
+        FROM e
+    """,
     "op9_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
         k AS (SELECT *, regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://|#.*$', '', 'g'), '^[^/?]*@|^www[0-9]*\.', '') AS bare FROM p),
