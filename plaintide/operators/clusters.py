@@ -68,7 +68,7 @@ def nearest_center(
 
     All centres are needed for every row, as in any k-means step: they travel as one
     value of k * dimensions numbers, taken from a scalar subquery.  More than
-    ``MAX_CENTER_NUMBERS`` are an error.
+    ``MAX_CENTER_NUMBERS`` are an error here; ``plans.assignment`` takes any number.
     """
     table = centers.select(F.col(cluster).alias("id"), "center")
     numbers = table.agg(F.sum(F.size("center")).alias("n")).scalar()
@@ -124,6 +124,29 @@ def _seams(words: DataFrame, cluster: str, order: str) -> DataFrame:
     return seams.select(cluster, F.concat("_last", F.lit(" "), "_next").alias("term"))
 
 
+def cluster_words(
+    df: DataFrame, text_col: str = "review_text", cluster: str = "cluster_id",
+    stop_words: Sequence[str] = tuple(rules.ENGLISH_STOP_WORDS), order: str = "review_id",
+) -> DataFrame:
+    """(cluster, order, ``_words``): the words of each review without stop words."""
+    words = text.without_stop_words(text.tokens(F.col(text_col)), stop_words)
+    return once(df.select(cluster, order, text_col), {"_words": words}).drop(text_col)
+
+
+def term_occurrences(words: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """A row per word and per pair of neighbouring words of a review."""
+    return words.select(cluster, F.explode(F.concat("_words", text.bigrams(F.col("_words")))).alias("term"))
+
+
+def seams(words: DataFrame, cluster: str = "cluster_id", order: str = "review_id") -> DataFrame:
+    """A row per pair made of the last word of a review and the first word of the next one in the cluster."""
+    return _seams(words, cluster, order)
+
+
+def count_terms(occurrences: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    return occurrences.groupBy(cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def cluster_term_counts(
     df: DataFrame,
     text_col: str = "review_text",
@@ -138,14 +161,9 @@ def cluster_term_counts(
     are read and the counts are merged.  ``across_reviews`` adds the pair made of the
     last word of a review and the first word of the next one in the cluster.
     """
-    words = once(
-        df.select(cluster, order, text_col),
-        {"_words": text.without_stop_words(text.tokens(F.col(text_col)), stop_words)},
-    )
-    both = words.select(cluster, F.explode(F.concat("_words", text.bigrams(F.col("_words")))).alias("term"))
-    if across_reviews:
-        both = both.unionByName(_seams(words, cluster, order))
-    return both.groupBy(cluster, "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = cluster_words(df, text_col, cluster, stop_words, order)
+    both = term_occurrences(words, cluster)
+    return count_terms(both.unionByName(_seams(words, cluster, order)) if across_reviews else both, cluster)
 
 
 def cluster_keyword_scores(
@@ -164,17 +182,28 @@ def cluster_keyword_scores(
 
     The vocabulary is the ``max_features`` most frequent terms found in ``min_df``
     clusters, or all of these with ``None``.  It is a cut: a cluster whose words are rare
-    overall gets fewer keywords.  The term counts are shuffled once and read by both sides of the join.
-    ``df`` should be a table: its clusters are counted in a scan of their own.
+    overall gets fewer keywords.  As one lazy plan this counts all terms anew for each of its
+    readers; ``plans.keywords`` has the job that reads the texts once.
     """
     counts = cluster_term_counts(df, text_col, cluster, stop_words, across_reviews, order)
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
-    vocabulary = most_frequent(terms.filter(F.col("df") >= min_df), max_features, "_total", "term").select("term", "df")
-    wanted = vocabulary.filter(
+    vocabulary = most_frequent(term_totals(counts, min_df), max_features, "total", "term")
+    return score_terms(counts, vocabulary, df.agg(F.count_distinct(cluster)).scalar(), cluster, n, domain_words)
+
+
+def term_totals(counts: DataFrame, min_df: int = 2) -> DataFrame:
+    """(term, df, total) of the terms found in ``min_df`` clusters: clusters and occurrences."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+
+
+def score_terms(
+    counts: DataFrame, vocabulary: DataFrame, clusters: Column, cluster: str = "cluster_id", n: int = 8,
+    domain_words: Sequence[str] = tuple(rules.DOMAIN_STOP_WORDS),
+) -> DataFrame:
+    """The ``n`` best terms of the vocabulary per cluster, without short terms and those with a domain word."""
+    wanted = vocabulary.select("term", "df").filter(
         (F.length("term") > 2)
         & ~F.arrays_overlap(F.split("term", " "), F.array(*[F.lit(w) for w in domain_words]))
     )
-    clusters = df.agg(F.count_distinct(cluster)).scalar()
     score = F.col("tf") * (F.log((1 + F.col("_clusters")) / (1 + F.col("df"))) + 1)
     best = Window.partitionBy(cluster).orderBy(F.desc("score"), "term")
     return (
@@ -189,9 +218,12 @@ def cluster_keyword_scores(
 
 def cluster_keywords(df: DataFrame, cluster: str = "cluster_id", **options) -> DataFrame:
     """One row per cluster with its keywords, best first, joined with ', '."""
+    return joined_keywords(cluster_keyword_scores(df, cluster=cluster, **options), cluster)
+
+
+def joined_keywords(scores: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     return (
-        cluster_keyword_scores(df, cluster=cluster, **options)
-        .groupBy(cluster)
+        scores.groupBy(cluster)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_terms"))
         .select(cluster, F.array_join(F.col("_terms.term"), ", ").alias("top_keywords"))
     )
@@ -264,12 +296,14 @@ def representative_reviews(
 
 
 def cluster_summary(
-    df: DataFrame, silhouette_score: float | None = None, n_keywords: int = 8, n_reviews: int = 3, **keyword_options
+    df: DataFrame, silhouette_score: float | None = None, n_keywords: int = 8, n_reviews: int = 3,
+    keywords: DataFrame | None = None, **keyword_options,
 ) -> DataFrame:
-    """One row per cluster: profile, keywords, representative reviews."""
+    """One row per cluster: profile, keywords (counted here unless given), representative reviews."""
     require_columns(df, ["review_id", "review_text", "cluster_id", "distance_to_cluster_center"])
     profile = cluster_profile(df)
-    keywords = cluster_keywords(df, n=n_keywords, **keyword_options)
+    if keywords is None:
+        keywords = cluster_keywords(df, n=n_keywords, **keyword_options)
     reviews = representative_reviews(df, n_reviews)
     score = F.lit(silhouette_score).cast("double")
     return (

@@ -15,7 +15,7 @@ from plaintide import rules
 from plaintide.functions import text
 from plaintide.operators import clusters, priority, sampling, scoring, themes
 from plaintide.operators.cleaning import by_sentiment, usable_reviews
-from plaintide.plans import reports
+from plaintide.plans import keywords, reports
 from plaintide.schema import require_columns
 from plaintide.session import written
 from plaintide.sources.writers import write_lines, write_table
@@ -94,7 +94,7 @@ def cluster_reviews(
     measured = clusters.with_distance(assigned, centers)
     value = clusters.silhouette(measured)
     reviews = clusters.review_clusters(measured)
-    return Clustering(reviews, value, clusters.cluster_summary(reviews, value))
+    return Clustering(reviews, value, keywords.cluster_summary(reviews, value))
 
 
 def keyword_issues(df: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def insight_job(clean: DataFrame, out: str, top_n: int = 10, **options) -> DataF
     spark = clean.sparkSession
     write_table(found.reviews, f"{out}/review_clusters")
     reviews = spark.read.parquet(f"{out}/review_clusters")
-    write_table(clusters.cluster_summary(reviews, found.silhouette), f"{out}/cluster_summary")
+    write_table(keywords.cluster_summary(reviews, found.silhouette), f"{out}/cluster_summary")
     labeled = themes.label_themes(spark.read.parquet(f"{out}/cluster_summary"))
     write_table(labeled, f"{out}/cluster_summary_labeled")
     labeled = spark.read.parquet(f"{out}/cluster_summary_labeled")

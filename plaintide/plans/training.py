@@ -20,6 +20,7 @@ from plaintide.functions.text import TOKEN
 from plaintide.operators import metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
+from plaintide.operators.frequent import frequent_terms
 from plaintide.operators.ids import most_frequent
 from plaintide.operators.once import once
 from plaintide.plans.reports import classification_report_text
@@ -50,12 +51,8 @@ class Trained:
         return metrics.confusion_matrix(self.predictions, self.labels)
 
 
-def tfidf_vocabulary(docs: DataFrame, min_df: float = 3.0, max_df: float = 0.9, max_features: int | None = 50_000) -> DataFrame:
-    """(term, tf, df, idf) of the ``max_features`` most frequent terms of the ``_terms`` arrays.
-
-    One pass and one shuffle: every occurrence counts for the frequency of a term, the
-    first one in the sorted terms of a row also for the number of rows that have it.
-    """
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(term, first): every occurrence, the first one in the sorted terms of a row marked with 1."""
     sorted_terms = once(docs.select("_terms"), {"_sorted": F.sort_array("_terms")})
     occurrences = F.transform(
         "_sorted",
@@ -63,15 +60,39 @@ def tfidf_vocabulary(docs: DataFrame, min_df: float = 3.0, max_df: float = 0.9,
             t.alias("term"), F.when(t == F.get("_sorted", i - 1), 0).otherwise(1).alias("first")
         ),
     )
-    terms = (
-        sorted_terms.select(F.inline(occurrences))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
-        .withColumn("_rows", docs.agg(F.count(F.lit(1))).scalar())
-        .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_rows")))
-    )
-    best = most_frequent(terms, max_features, "tf", "term")
-    return best.select("term", "tf", "df", (F.log((1 + F.col("_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return sorted_terms.select(F.inline(occurrences))
+
+
+def _count_terms(occurrences: DataFrame) -> DataFrame:
+    """Occurrences of each term, and rows that have it."""
+    return occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("df"))
+
+
+def _allowed(counts: DataFrame, docs: DataFrame, min_df: float, max_df: float) -> DataFrame:
+    rows = counts.withColumn("_rows", docs.agg(F.count(F.lit(1))).scalar())
+    return rows.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_rows")))
+
+
+def _with_idf(terms: DataFrame) -> DataFrame:
+    return terms.select("term", "tf", "df", (F.log((1 + F.col("_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_vocabulary(docs: DataFrame, min_df: float = 3.0, max_df: float = 0.9, max_features: int | None = 50_000) -> DataFrame:
+    """(term, tf, df, idf) of the ``max_features`` most frequent terms of the ``_terms`` arrays.
+
+    As one lazy plan it counts the terms anew for each of its readers;
+    ``counted_vocabulary`` is the job that writes the counts.
+    """
+    terms = _allowed(_count_terms(_occurrences(docs)), docs, min_df, max_df)
+    return _with_idf(most_frequent(terms, max_features, "tf", "term"))
+
+
+def counted_vocabulary(
+    docs: DataFrame, min_df: float = 3.0, max_df: float = 0.9, max_features: int | None = 50_000, bits: int = 22
+) -> DataFrame:
+    """``tfidf_vocabulary`` as a job on a table: only terms that can get in are counted by themselves."""
+    allowed = lambda counts: _allowed(counts, docs, min_df, max_df)
+    return _with_idf(frequent_terms(_occurrences(docs), _count_terms, allowed, max_features, "tf", bits)[1])
 
 
 def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, ident: str = "review_id") -> DataFrame:
@@ -132,7 +153,7 @@ def fit_text_classifier(
     stages = term_stages(text_col, stop_words)
     # Terms are read to count them, to weigh them and to count rows: tokenise once.
     prepared = written(PipelineModel(stages).transform(rows).select("_terms", "_label", "_weight"))
-    vectorize = tfidf_stages(_collected(tfidf_vocabulary(prepared, min_df, max_df, max_features)))
+    vectorize = tfidf_stages(_collected(counted_vocabulary(prepared, min_df, max_df, max_features)))
     weighted = PipelineModel(vectorize).transform(prepared)
     features = written(weighted.select("_features", "_label", "_weight"))
     regression = LogisticRegression(

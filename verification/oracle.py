@@ -550,6 +550,13 @@ add("nearest_center", "vecs centers", """
     SELECT v.vec_id, c.cluster_id, sqrt(sum((v.x - c.value) * (v.x - c.value))) AS d
     FROM vecs v JOIN centers c ON c.dim = v.dim GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1""")
+CTES["assigned_distance"] = """
+  SELECT vec_id, cluster_id, d FROM (
+    SELECT v.vec_id, c.cluster_id, sqrt(sum((v.x - c.value) * (v.x - c.value))) AS d
+    FROM vecs v JOIN centers c ON c.dim = v.dim GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1"""
+add("nearest_center_blocks", "assigned_distance", """
+  SELECT vec_id, cluster_id, round(d, 6) AS distance_to_cluster_center FROM assigned_distance""")
 add("silhouette", "sil", "SELECT round(silhouette, 6) AS silhouette FROM sil")
 add("cluster_keywords", "keywords", "SELECT * FROM keywords")
 add("issue_keywords", "x_terms", """

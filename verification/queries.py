@@ -18,7 +18,7 @@ from plaintide.operators import (
     annotate, cleaning, clusters, distributions as dist, metrics, priority, sampling, scoring, themes,
 )
 from plaintide.operators.ids import dense_id
-from plaintide.plans import insight, reports, training
+from plaintide.plans import assignment, insight, keywords, reports, training
 from plaintide.schema import id_label, label_id
 from plaintide.session import shared_folder, written
 from verification import views
@@ -461,6 +461,15 @@ def nearest_center(spark, sf):
     return rounded(assigned, "distance_to_cluster_center")
 
 
+@query
+def nearest_center_blocks(spark, sf):
+    """As ``nearest_center``, with three centres at most in a value."""
+    rows = written(views.embeddings(spark, sf))
+    centers = clusters.cluster_centers(rows)
+    assigned = assignment.assign_to_centers(rows.drop("cluster_id"), centers, "vec_id", max_numbers=3 * 64)
+    return rounded(assigned.drop("embedding"), "distance_to_cluster_center")
+
+
 @query
 def silhouette(spark, sf):
     value = clusters.silhouette(views.embeddings(spark, sf))
@@ -469,13 +478,12 @@ def silhouette(spark, sf):
 
 @query
 def cluster_keywords(spark, sf):
-    return clusters.cluster_keywords(written(views.pointed(spark, sf).select("review_id", "review_text", "cluster_id")))
+    return keywords.keywords(views.pointed(spark, sf))
 
 
 @query
 def issue_keywords(spark, sf):
-    rows = written(views.labeled(spark, sf).select("review_id", "review_text", "issue_label"))
-    scores = clusters.cluster_keyword_scores(views.spread(rows, "review_id"), cluster="issue_label", n=12)
+    scores = keywords.keyword_scores(views.labeled(spark, sf), cluster="issue_label", n=12)
     return rounded(scores, "score")
 
 
@@ -495,7 +503,7 @@ def _review_clusters(spark, sf) -> DataFrame:
 
 
 def _summary(spark, sf) -> DataFrame:
-    return clusters.cluster_summary(_review_clusters(spark, sf))
+    return keywords.cluster_summary(_review_clusters(spark, sf))
 
 
 @query
@@ -573,7 +581,7 @@ def priority_listing(spark, sf):
 @query
 def clustering_report_lines(spark, sf):
     value = clusters.silhouette(views.embeddings(spark, sf))
-    summary = clusters.cluster_summary(_review_clusters(spark, sf), value)
+    summary = keywords.cluster_summary(_review_clusters(spark, sf), value)
     return reports.clustering_report(written(themes.label_themes(summary)), top_n=7, sentiment="all")
 
 
@@ -680,13 +688,13 @@ def _terms(spark, sf) -> DataFrame:
 
 @query
 def tfidf_vocabulary(spark, sf):
-    return rounded(training.tfidf_vocabulary(_terms(spark, sf)), "idf")
+    return rounded(training.counted_vocabulary(written(_terms(spark, sf))), "idf")
 
 
 @query
 def tfidf_vectors(spark, sf):
-    rows = _terms(spark, sf)
-    return rounded(training.tfidf_vectors(rows, training.tfidf_vocabulary(rows)), "weight")
+    rows = written(_terms(spark, sf))
+    return rounded(training.tfidf_vectors(rows, training.counted_vocabulary(rows)), "weight")
 
 
 @query
