@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,11 +14,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plaintide import rules
 from plaintide.functions.text import TOKEN
-from plaintide.operators import metrics, sampling, scoring
+from plaintide.operators import linear, metrics, sampling, scoring
 from plaintide.operators.annotate import with_first_match
 from plaintide.operators.cleaning import labeled_rows, usable_reviews
 from plaintide.operators.frequent import frequent_terms
@@ -129,7 +130,15 @@ def tfidf_stages(vocabulary: Sequence[tuple[str, float]]) -> list:
     return [counter, weigh, Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")]
 
 
-def fit_text_classifier(
+@dataclass
+class Features:
+    """Labelled rows as one written table of TF-IDF vectors, with the stages that make them."""
+
+    stages: list
+    table: DataFrame
+
+
+def text_features(
     train: DataFrame,
     label: str,
     labels: Sequence[str],
@@ -137,16 +146,9 @@ def fit_text_classifier(
     max_features: int = 50_000,
     min_df: float = 3.0,
     max_df: float = 0.9,
-    max_iter: int = 1000,
-    c: float = 1.0,
     stop_words: Sequence[str] = tuple(rules.ENGLISH_STOP_WORDS),
-) -> PipelineModel:
-    """TF-IDF over words and word pairs, then weighted logistic regression.
-
-    idf is ln((1 + n) / (1 + df)) + 1 and vectors have length 1.  The penalty is that
-    of a loss summed over rows with strength ``c``: balanced weights sum to the number
-    of rows, so the mean loss takes 1 / (c * rows).
-    """
+) -> Features:
+    """TF-IDF over words and word pairs with balanced class weights; idf is ln((1 + n) / (1 + df)) + 1, vectors have length 1."""
     rows = metrics.with_class_weights(train, label, labels, "_weight").select(
         text_col, label_id(F.col(label), labels).cast("double").alias("_label"), "_weight"
     )
@@ -155,13 +157,103 @@ def fit_text_classifier(
     prepared = written(PipelineModel(stages).transform(rows).select("_terms", "_label", "_weight"))
     vectorize = tfidf_stages(_collected(counted_vocabulary(prepared, min_df, max_df, max_features)))
     weighted = PipelineModel(vectorize).transform(prepared)
-    features = written(weighted.select("_features", "_label", "_weight"))
+    return Features([*stages, *vectorize], written(weighted.select("_features", "_label", "_weight")))
+
+
+def fit_regression(features: Features, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
+    """Weighted logistic regression on written features.
+
+    The penalty is that of a loss summed over rows with strength ``c``: balanced weights sum to
+    the number of rows, so the mean loss takes 1 / (c * rows).
+    """
     regression = LogisticRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", family="multinomial",
-        maxIter=max_iter, regParam=1.0 / (c * features.count()), standardization=False, tol=1e-4,
+        maxIter=max_iter, regParam=1.0 / (c * features.table.count()), standardization=False, tol=1e-4,
         predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="probability",
-    ).fit(features)
-    return PipelineModel([*stages, *vectorize, regression])
+    ).fit(features.table)
+    return PipelineModel([*features.stages, regression])
+
+
+def fit_text_classifier(
+    train: DataFrame, label: str, labels: Sequence[str], text_col: str = "review_text", max_iter: int = 1000, c: float = 1.0, **features
+) -> PipelineModel:
+    """TF-IDF over words and word pairs, then weighted logistic regression."""
+    return fit_regression(text_features(train, label, labels, text_col, **features), c, max_iter)
+
+
+def linear_tables(model: PipelineModel) -> tuple[DataFrame, DataFrame]:
+    """A fitted classifier as the tables (term, idf) and (term, weights) that ``linear.class_scores`` reads."""
+    counter, weigh, _, regression = model.stages[-4:]
+    spark = SparkSession.active()
+    terms = [(t, float(w)) for t, w in zip(counter.vocabulary, weigh.getScalingVec())]
+    matrix, intercepts = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+    weights = [(t, w) for (t, _), w in zip(terms, matrix.T.tolist())]
+    return (
+        spark.createDataFrame(terms, "term STRING, idf DOUBLE"),
+        spark.createDataFrame([*weights, (None, intercepts.tolist())], "term STRING, weights ARRAY<DOUBLE>"),
+    )
+
+
+def train_path(
+    rows: DataFrame, label: str, labels: Sequence[str], strengths: Sequence[float] = (0.1, 1.0, 10.0),
+    test: float = 0.2, validation: float = 0.15, seed: int = 42, max_iter: int = 1000, **features,
+) -> tuple[Trained, DataFrame]:
+    """The classifier whose penalty does best on the validation rows, and the table (penalty, accuracy, macro_f1, rows, chosen).
+
+    All penalties (1 / strength) are fitted on one feature table and judged on the validation
+    part; the test part is scored by the chosen one only.
+    """
+    parts = written(sampling.stratified_split(rows, label, labels, test, validation, seed=seed))
+    table = text_features(parts.filter("split = 'train'"), label, labels, **features)
+    models = {1.0 / c: fit_regression(table, c, max_iter) for c in strengths}
+
+    def predictions(model: PipelineModel, split: str) -> DataFrame:
+        scored = score_classes(parts.filter(F.col("split") == split), model, "_probs")
+        return scoring.prediction_table(scored, label, "_probs", labels, keep=["review_id"])
+
+    judged = [predictions(m, "validation").select(F.lit(p).alias("penalty"), "true_label", "pred_label") for p, m in models.items()]
+    path = written(linear.best_fit(functools.reduce(DataFrame.unionByName, judged), "penalty"))
+    best = models[path.filter("chosen").first().penalty]
+    return Trained(best, list(labels), predictions(best, "test"), predictions(best, "validation")), path
+
+
+def fit_term_model(
+    docs: DataFrame, label: str, labels: Sequence[str], smoothing: Sequence[float] = (1.0,), max_features: int | None = 50_000
+) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, model) as written tables: naive Bayes weights of the ``_terms`` of labelled rows.
+
+    Needs counts only, so it grows with a cluster where an iterative fit doesn't.
+    """
+    vocabulary = written(counted_vocabulary(docs.select("_terms"), max_features=max_features))
+    counts = written(linear.class_term_counts(docs, vocabulary, label))
+    sizes = docs.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    n_terms = vocabulary.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return vocabulary, written(linear.naive_bayes(counts, sizes, labels, n_terms, smoothing))
+
+
+def score_by_table(
+    docs: DataFrame, vocabulary: DataFrame, model: DataFrame, labels: Sequence[str], name: str, ident: str = "review_id", by: str | None = None
+) -> DataFrame:
+    """``docs`` without ``_terms``, with the class probabilities of a model that is a table."""
+    vectors = tfidf_vectors(docs, vocabulary, ident)
+    return linear.class_scores(docs.drop("_terms"), vectors, model, labels, name, ident, by)
+
+
+def smoothing_path(
+    docs: DataFrame, label: str, labels: Sequence[str], smoothing: Sequence[float], test: float = 0.2, validation: float = 0.15, seed: int = 42,
+    ident: str = "review_id",
+) -> DataFrame:
+    """(smoothing, accuracy, macro_f1, rows, chosen): naive Bayes fitted on the training part, chosen on the validation part.
+
+    One table of counts gives the weights for all values, and one pass scores them all.
+    """
+    split = sampling.stratified_split(docs.select(ident, label), label, labels, test, validation, seed=seed)
+    parts = written(docs.join(split.select(ident, "split"), ident))
+    vocabulary, model = fit_term_model(parts.filter("split = 'train'"), label, labels, smoothing)
+    judged = parts.filter("split = 'validation'").select(ident, F.col(label).alias("true_label"), "_terms")
+    scored = score_by_table(judged, vocabulary, model, labels, "_probs", ident, "smoothing")
+    best = scoring.with_best_label(scored, "_probs", labels, "pred_label", "confidence")
+    return linear.best_fit(best, "smoothing")
 
 
 def score_classes(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:

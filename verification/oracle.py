@@ -431,8 +431,8 @@ add("cap_per_class", "pool", f"""
 add("sample_n", "sentences", f"""
   SELECT review_id, rating, review_text FROM sentences WHERE sentiment_label = 'negative'
   ORDER BY {key('review_id')} LIMIT {q.DRAWN}""")
-add("stratified_split", "pool", f"""
-  , c AS (SELECT rule_issue_label AS label, count(*) AS n FROM pool GROUP BY 1),
+SPLIT = f"""
+  c AS (SELECT rule_issue_label AS label, count(*) AS n FROM pool GROUP BY 1),
   t AS (SELECT sum(n) AS total, sum(n) - ceil(0.2::DOUBLE * sum(n)) AS draws FROM c),
   e1 AS (SELECT label, n, n / total * draws AS exact, draws FROM c, t),
   k1 AS (SELECT label, n, floor(exact) + (row_number() OVER (ORDER BY exact - floor(exact) DESC, label)
@@ -444,7 +444,9 @@ add("stratified_split", "pool", f"""
   SELECT review_id, rule_issue_label, CASE WHEN nth <= n_test THEN 'test' WHEN nth <= n_test + n_validation
       THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY rule_issue_label ORDER BY {key('review_id')}) AS nth FROM pool) p
-  JOIN k2 ON k2.label = p.rule_issue_label""")
+  JOIN k2 ON k2.label = p.rule_issue_label"""
+CTES["parts"] = f"WITH {SPLIT} "
+add("stratified_split", "pool", f", {SPLIT}")
 add("class_weights", "pool", """
   SELECT rule_issue_label, count(*) AS class_count, round(sum(count(*)) OVER () / (11 * count(*)), 6) AS class_weight
   FROM pool GROUP BY rule_issue_label""")
@@ -575,6 +577,20 @@ CTES["assigned"] = """
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1"""
 add("lloyd_step", "assigned vecs", """
   SELECT a.cluster_id, v.dim::INT AS dim, round(avg(v.x), 6) AS value FROM assigned a JOIN vecs v ON v.vec_id = a.vec_id GROUP BY ALL""")
+CTES["moved_0"] = "SELECT cluster_id, dim, value, 0 AS n FROM centers "
+for step in (1, 2, 3):
+    CTES[f"drawn_{step}"] = f"SELECT * FROM vecs WHERE md5('42:{step}:' || vec_id) < '8'"
+    CTES[f"joined_{step}"] = f"""
+      SELECT vec_id, cluster_id FROM (
+        SELECT v.vec_id, c.cluster_id, sqrt(sum((v.x - c.value) * (v.x - c.value))) AS d
+        FROM drawn_{step} v JOIN moved_{step - 1} c ON c.dim = v.dim GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1"""
+    CTES[f"moved_{step}"] = f"""
+      SELECT c.cluster_id, c.dim, c.value + coalesce((m.mean - c.value) * m.b / (c.n + m.b), 0) AS value, c.n + coalesce(m.b, 0) AS n
+      FROM moved_{step - 1} c LEFT JOIN (
+        SELECT j.cluster_id, v.dim, avg(v.x) AS mean, count(*) AS b FROM joined_{step} j JOIN drawn_{step} v ON v.vec_id = j.vec_id GROUP BY ALL) m
+      ON m.cluster_id = c.cluster_id AND m.dim = c.dim"""
+add("minibatch_steps", "moved_3", "SELECT cluster_id, n, dim::INT AS dim, round(value, 6) AS value FROM moved_3")
 add("embed_norms", "bag", "SELECT review_id, 512 AS n_dims, CASE WHEN len(w) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM bag")
 CTES["bag_terms"] = """
   SELECT review_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM bag """
@@ -588,6 +604,60 @@ add("tfidf_vocabulary", "idfs", "SELECT term, tf, df, round(idf, 6) AS idf FROM
 add("tfidf_vectors", "bag_terms idfs", """
   SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS weight
   FROM (SELECT t.review_id, t.term, count(*) * any_value(i.idf) AS w FROM bag_terms t JOIN idfs i ON i.term = t.term GROUP BY ALL)""")
+
+
+def term_model(tag: str, docs: str, label: str, labels, train: str, judged: str, smoothing) -> None:
+    """Naive Bayes weights from the rows of ``docs`` that are ``train``, scores of those that are ``judged``."""
+    n_labels = len(labels)
+    CTES[f"{tag}_idfs"] = f"""
+      SELECT term, count(DISTINCT t.review_id) AS df, count(*) AS tf,
+        ln((1 + (SELECT count(*) FROM {docs} WHERE {train})) / (1 + count(DISTINCT t.review_id))) + 1 AS idf
+      FROM bag_terms t JOIN {docs} d ON d.review_id = t.review_id WHERE {train} GROUP BY term
+      HAVING count(DISTINCT t.review_id) >= 3 AND count(DISTINCT t.review_id) <= 0.9 * (SELECT count(*) FROM {docs} WHERE {train})
+      ORDER BY tf DESC, term LIMIT 50000"""
+    CTES[f"{tag}_counts"] = f"""
+      SELECT {label} AS label, t.term, count(*) AS n FROM bag_terms t JOIN {docs} d ON d.review_id = t.review_id
+      JOIN {tag}_idfs i ON i.term = t.term WHERE {train} GROUP BY ALL"""
+    CTES[f"{tag}_vectors"] = f"""
+      SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS weight
+      FROM (SELECT t.review_id, t.term, count(*) * any_value(i.idf) AS w FROM bag_terms t JOIN {tag}_idfs i ON i.term = t.term GROUP BY ALL)"""
+    CTES[f"{tag}_classes"] = f"""
+      SELECT l.label_id, l.label, ln(((SELECT count(*) FROM {docs} WHERE {train} AND {label} = l.label) + 1)
+          / ((SELECT count(*) FROM {docs} WHERE {train}) + {n_labels})) AS base,
+        coalesce((SELECT sum(n) FROM {tag}_counts c WHERE c.label = l.label), 0)::DOUBLE AS total,
+        (SELECT count(*) FROM {tag}_idfs )::DOUBLE AS terms FROM {label_rows(labels)}"""
+    CTES[f"{tag}_weights"] = f"""
+      SELECT s.smoothing, i.term, c.label_id, ln((coalesce(n.n, 0) + s.smoothing) / (c.total + s.smoothing * c.terms)) AS w
+      FROM {tag}_idfs i, {tag}_classes c, (SELECT unnest({list(smoothing)}::DOUBLE[]) AS smoothing) s
+      LEFT JOIN {tag}_counts n ON n.term = i.term AND n.label = c.label"""
+    CTES[f"{tag}_sums"] = f"""
+      SELECT v.review_id, w.smoothing, w.label_id, sum(v.weight * w.w) AS z FROM {tag}_vectors v JOIN {tag}_weights w ON w.term = v.term GROUP BY ALL"""
+    CTES[f"{tag}_logits"] = f"""
+      SELECT d.review_id, s.smoothing, c.label_id, c.label, c.base + coalesce(z.z, 0) AS z, {label} AS true_label
+      FROM {docs} d, {tag}_classes c, (SELECT unnest({list(smoothing)}::DOUBLE[]) AS smoothing) s
+      LEFT JOIN {tag}_sums z ON z.review_id = d.review_id AND z.smoothing = s.smoothing AND z.label_id = c.label_id WHERE {judged}"""
+    CTES[f"{tag}_ranked"] = f"""
+      SELECT *, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p, row_number() OVER (w ORDER BY z DESC, label_id) AS rank
+      FROM {tag}_logits WINDOW w AS (PARTITION BY review_id, smoothing)"""
+
+
+term_model("ti", "labeled", "issue_label", rules.ISSUES, "true", "true", [1.0])
+term_model("ts", "sentences", "sentiment_label", rules.SENTIMENTS, "true", "true", [1.0])
+term_model("tp", "parts", "rule_issue_label", rules.ISSUES, "split = 'train'", "split = 'validation'", q.SMOOTHING)
+add("score_issues_table", "ti_ranked", """
+  SELECT review_id, label AS predicted_issue_label, round(p, 6) AS predicted_issue_confidence FROM ti_ranked WHERE rank = 1""")
+add("score_sentiment_table", "ts_ranked", """
+  SELECT review_id, max(label) FILTER (rank = 1) AS sentiment_label, round(max(p), 6) AS sentiment_confidence,
+    string_agg(label, ',' ORDER BY rank) AS ranking FROM ts_ranked GROUP BY review_id""")
+add("issue_smoothing_path", "tp_ranked", """
+  , best AS (SELECT smoothing, true_label, label AS pred_label FROM tp_ranked WHERE rank = 1),
+  sides AS (
+    SELECT smoothing, true_label AS label, 1 AS support, 0 AS drawn, (true_label = pred_label)::INT AS hit FROM best
+    UNION ALL SELECT smoothing, pred_label, 0, 1, 0 FROM best),
+  f AS (SELECT smoothing, label, sum(support) AS support, sum(hit) AS hit, 2 * sum(hit) / (sum(support) + sum(drawn)) AS f1 FROM sides GROUP BY ALL),
+  m AS (SELECT smoothing, sum(hit) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(support)::BIGINT AS rows FROM f GROUP BY smoothing)
+  SELECT smoothing, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, rows,
+    row_number() OVER (ORDER BY macro_f1 DESC, smoothing DESC) = 1 AS chosen FROM m""")
 add("sentiment_test_rows", "clean_reviews", """
   , c AS (SELECT sentiment_label, count(*) AS n FROM clean_reviews GROUP BY 1),
   t AS (SELECT sum(n) AS total, sum(n) - ceil(0.2::DOUBLE * sum(n)) AS draws FROM c),

@@ -30,6 +30,7 @@ SAMPLE = 400
 STRATIFIED = 200
 CAP = 150
 DRAWN = 250
+SMOOTHING = [0.01, 0.1, 1.0, 10.0]
 
 
 def query(function: Query) -> Query:
@@ -672,6 +673,15 @@ def lloyd_step(spark, sf):
     return rounded(moved.select("cluster_id", F.posexplode("center").alias("dim", "value")), "value")
 
 
+@query
+def minibatch_steps(spark, sf):
+    """Three mini-batches of half the rows move the centres of the labels; the state is a table."""
+    rows = written(views.embeddings(spark, sf))
+    start = clusters.cluster_centers(rows).withColumn("n", F.lit(0).cast("bigint"))
+    state = assignment.minibatch_kmeans(rows.drop("cluster_id"), start, "vec_id", share=0.5, steps=3, patience=None)
+    return rounded(state.select("cluster_id", "n", F.posexplode("center").alias("dim", "value")), "value")
+
+
 @query
 def embed_norms(spark, sf):
     """Length of every hashed vector: 1, or 0 without a term."""
@@ -697,6 +707,52 @@ def tfidf_vectors(spark, sf):
     return rounded(training.tfidf_vectors(rows, training.counted_vocabulary(rows)), "weight")
 
 
+def _labelled_terms(spark, sf, label: str) -> DataFrame:
+    """(id, ``_terms``, label) of every review."""
+    rows = views.labeled(spark, sf).select("review_id", "review_text", label)
+    return written(PipelineModel(training.term_stages()).transform(rows).select("review_id", "_terms", label))
+
+
+def _scored_by_table(spark, sf, label: str, names: list[str]) -> DataFrame:
+    docs = _labelled_terms(spark, sf, label)
+    vocabulary, model = training.fit_term_model(docs, label, names)
+    return training.score_by_table(docs, vocabulary, model.drop("smoothing"), names, "probs")
+
+
+@query
+def score_issues_table(spark, sf):
+    """Issue and confidence of every review from a written table of weights."""
+    scored = _scored_by_table(spark, sf, "issue_label", rules.ISSUES)
+    best = scoring.with_best_label(scored, "probs", rules.ISSUES, "predicted_issue_label", "predicted_issue_confidence")
+    return rounded(best.select("review_id", "predicted_issue_label", "predicted_issue_confidence"), "predicted_issue_confidence")
+
+
+@query
+def score_sentiment_table(spark, sf):
+    scored = _scored_by_table(spark, sf, "sentiment_label", rules.SENTIMENTS).drop("sentiment_label")
+    best = scoring.sentiment_scores(scored, "probs")
+    return rounded(
+        best.select("review_id", "sentiment_label", "sentiment_confidence", F.array_join("ranked_sentiments.label", ",").alias("ranking")), "sentiment_confidence"
+    )
+
+
+@query
+def issue_smoothing_path(spark, sf):
+    """Models judged on the validation part; the best by macro-F1 is chosen."""
+    rows = views.annotated(spark, sf).select("review_id", "review_text", "rule_issue_label")
+    docs = PipelineModel(training.term_stages()).transform(rows).select("review_id", "_terms", "rule_issue_label")
+    path = training.smoothing_path(written(docs), "rule_issue_label", rules.ISSUES, SMOOTHING)
+    return rounded(path, "accuracy", "macro_f1")
+
+
+@query
+def capped_penalty_path(spark, sf):
+    """Logistic regression for several penalties on one feature table, chosen on validation rows."""
+    rows = cleaning.usable_reviews(written(views.clean_reviews(spark, sf))).select("review_id", "review_text", "sentiment_label")
+    capped = sampling.cap_per_class(rows, CAP, "sentiment_label", rules.SENTIMENTS)
+    return training.train_path(capped, "sentiment_label", rules.SENTIMENTS)[1]
+
+
 @query
 def sentiment_test_rows(spark, sf):
     """Test rows per class of the baseline's split."""
