@@ -4,7 +4,8 @@ Lines within ``threshold`` edits share one of threshold + 1 segments of the shor
 nearly the same place.  Each distinct line is indexed by the hashes of its own segments
 and probes with the substrings that could be a segment of a line of its length or up to
 ``threshold`` shorter.  Pairs that meet under a key are verified by Spark's banded edit
-distance.  A line goes when an equal or linked line stands earlier.
+distance, as DataFrame functions offer no bit-parallel one.  A line goes when an equal or linked
+line stands earlier.
 
 Short lines take part as well, with fewer edits: a pair may differ by one edit for every
 EDIT_CHARS characters of its shorter line, up to ``threshold``.  Below EDIT_CHARS only equal
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaintide.llm.common import fresh, sieve, written
 
-MIN_CHARS = 30
 THRESHOLD = 2
 EDIT_CHARS = 10
 BLOCK = 64  # lines that are compared with as many others at a time
@@ -44,85 +44,85 @@ def lines_of(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFra
     )
 
 
-def _segment(i: int, length: Column, parts: int) -> tuple[Column, Column]:
-    """Start and length of segment ``i`` of a line; the last segments take what is left over."""
-    base = F.floor(length / parts).cast("int")
-    short = parts - F.pmod(length, F.lit(parts))
-    return i * base + F.greatest(i - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
+def _slots(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of the substrings that a line looks up, in order; a line's own segments are those with 0, i, 0.
 
-
-def _keys(threshold: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of a line's own segments, and of the substrings with which it probes.
-
-    The length of the shorter line of a pair gives its edits and with them the number of
-    segments; keys that a length doesn't use are null.
     With i segments to the left and threshold - i to the right of segment i, more edits than
     there are segments on one side leave a segment intact on that side, which finds the
     pair as well; so only small shifts need to be probed.
     """
-    index, probe = [], []
-    for less in range(threshold + 1):
-        length = F.col("n") - less
-        for i in range(threshold + 1):
-            for shift in range(-i, i + 1):
-                key = None
-                for edits in range(threshold, 0, -1):
-                    if max(i, less) <= edits and abs(shift - less) <= edits - i:
-                        start, size = _segment(i, length, edits + 1)
-                        here = F.xxhash64(length, F.lit(i), F.substr(F.col("line"), start + shift + 1, size))
-                        long_enough, top = length >= edits * EDIT_CHARS, length < (edits + 1) * EDIT_CHARS
-                        long_enough = long_enough if edits == threshold else long_enough & top
-                        key = F.when(long_enough, here) if key is None else key.when(long_enough, here)
-                if key is not None:
-                    (index if less == shift == 0 else probe).append(key)
-    return index, probe
+    return [
+        (less, i, shift)
+        for less in range(threshold + 1) for i in range(threshold + 1) for shift in range(-i, i + 1) if abs(shift - less) <= threshold - i
+    ]
+
+
+def entries(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2, key, slot, own): a row per substring that a line looks up; its own segments are also the index.
+
+    The length of the shorter line of a pair gives its edits and with them the number of
+    segments.  One expression serves all slots, so it stays small enough to be compiled, and
+    lines of ASCII are cut by bytes, where no characters need to be counted.
+    """
+    slots = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip((k, *slot), ("slot", "less", "segment", "shift"))]) for k, slot in enumerate(_slots(threshold))])
+    plain = F.when(F.octet_length("line") == F.col("n"), F.col("line").cast("binary")).alias("bytes")
+    rows = lines.filter(F.col("n") >= EDIT_CHARS).select("h1", "h2", "n", "line", plain, F.inline(slots))
+    rows = rows.withColumn("length", F.col("n") - F.col("less"))
+    rows = rows.withColumn("edits", F.least(F.lit(threshold), F.floor(F.col("length") / EDIT_CHARS)).cast("int"))
+    rows = rows.filter((F.greatest("segment", "less") <= F.col("edits")) & (F.abs(F.col("shift") - F.col("less")) <= F.col("edits") - F.col("segment")))
+    # the last segments take what is left over
+    base = F.floor(F.col("length") / (F.col("edits") + 1)).cast("int")
+    short = F.col("edits") + 1 - F.pmod(F.col("length"), F.col("edits") + 1)
+    rows = rows.withColumns({
+        "start": F.col("segment") * base + F.greatest(F.col("segment") - short, F.lit(0)) + F.col("shift") + 1,
+        "size": base + (F.col("segment") >= short).cast("int"),
+    })
+    cut = F.when(F.col("bytes").isNotNull(), F.substr("bytes", "start", "size")).otherwise(F.substr("line", "start", "size").cast("binary"))
+    own = (F.col("less") == 0) & (F.col("shift") == 0)
+    return rows.select("h1", "h2", F.xxhash64("length", "segment", cut).alias("key"), "slot", own.alias("own"))
 
 
 def shared_keys(lines: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2, own, probe): keys that a line shares with another, as index and as probe.
+    """(h1, h2, slots): the (slot, key, own) that a line shares with another line, in the order of slots.
 
-    Equal lines are merged in the tasks before anything is moved, their keys with them.
-    Keys with a single line or without an indexed line are dropped.
+    Keys are counted in the tasks first, so a hot one is a number; keys with a single line or
+    without an indexed line are dropped, and only the other entries are moved.
     """
-    index, probe = _keys(threshold)
-    names = [f"k{i}" for i in range(len(index) + len(probe))]
-    keyed = lines.filter(F.col("n") >= EDIT_CHARS).select("h1", "h2", *[k.alias(n) for n, k in zip(names, [*index, *probe])])
-    distinct = keyed.groupBy("h1", "h2").agg(*[F.min(n).alias(n) for n in names])
-    entries = distinct.select("h1", "h2", F.posexplode(F.array(*names)).alias("kind", "key"))
-    entries = entries.filter(F.col("key").isNotNull()).select("h1", "h2", "key", (F.col("kind") < len(index)).alias("is_own"))
-    same, line = Window.partitionBy("key"), F.struct("h1", "h2")
-    shared = entries.withColumns({"low": F.min(line).over(same), "high": F.max(line).over(same), "any_own": F.max("is_own").over(same)})
-    shared = shared.filter((F.col("low") != F.col("high")) & F.col("any_own"))
-    keys = shared.groupBy("h1", "h2").agg(
-        F.collect_set(F.when(F.col("is_own"), F.col("key"))).alias("own"), F.collect_set(F.when(~F.col("is_own"), F.col("key"))).alias("probe")
-    )
-    return keys.withColumn("probe", F.array_except("probe", "own"))
+    found = entries(lines, threshold)
+    counts = found.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(F.col("own").cast("int")).alias("owned"))
+    keys = written(counts.filter((F.col("low") != F.col("high")) & (F.col("owned") == 1)).select("key"))
+    held = sieve(found, keys, "key").filter("_maybe").drop("_maybe").distinct().join(keys, "key", "left_semi")
+    return held.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("slot", "key", "own"))).alias("slots"))
 
 
-def _compared(block: Column, other: Column, key: Column, threshold: int) -> Column:
-    """Of each line of ``block`` the number of linked lines in ``other`` and the first place of one.
+def _bind(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    A pair can share several keys; it counts under the smallest.
+
+def _compared(probes: Column, owners: Column, key: Column, threshold: int) -> Column:
+    """Of each line of both blocks the number of linked lines in the other and the first place of one.
+
+    The longer line of a pair probes, of equally long ones the one with the larger name.  A pair that
+    shares several keys counts under the first that the probing line looks up.
     """
 
     def linked(p: Column, x: Column) -> Column:
-        meets = F.array_union(
-            F.array_intersect(p["own"], x["own"]),
-            F.array_union(F.array_intersect(p["probe"], x["own"]), F.array_intersect(p["own"], x["probe"])),
-        )
-        different = (p["h1"] != x["h1"]) | (p["h2"] != x["h2"])
-        close = F.levenshtein(p["line"], x["line"], threshold) >= 0
-        for edits in range(threshold - 1, 0, -1):
-            short = F.least(F.char_length(p["line"]), F.char_length(x["line"])) < (edits + 1) * EDIT_CHARS
-            close = close & (~short | (F.levenshtein(p["line"], x["line"], edits) >= 0))
-        return different & (F.array_min(meets) == key) & close
+        longer = (p["n"] > x["n"]) | (p["n"] == x["n"]) & ((p["h1"] > x["h1"]) | (p["h1"] == x["h1"]) & (p["h2"] > x["h2"]))
+        first = F.filter(p["keys"], lambda k: F.array_contains(x["own"], k))
+        allowed = F.least(F.lit(threshold), F.floor(x["n"] / EDIT_CHARS)).cast("int")
+        close = F.levenshtein(p["line"], x["line"], threshold)
+        return longer & (p["n"] - x["n"] <= allowed) & (F.get(first, F.lit(0)) == key) & (close >= 0) & (close <= allowed)
+
+    def summed(line: Column, near: Column) -> Column:
+        return F.struct(line["h1"].alias("h1"), line["h2"].alias("h2"), F.size(near).alias("n"), F.array_min(near).alias("nearest"))
 
-    def of(p: Column) -> Column:
-        near = F.filter(other, lambda x: linked(p, x))
-        places = F.transform(near, lambda x: x["first"])
-        return F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), F.size(near).alias("n"), F.array_min(places).alias("nearest"))
+    def both(table: Column) -> Column:
+        there = F.transform(probes, lambda p, i: summed(p, F.transform(F.filter(F.get(table, i), lambda y: y >= 0), lambda y: F.get(owners, y)["first"])))
+        back = F.transform(owners, lambda x, j: summed(x, F.filter(F.transform(probes, lambda p, i: F.when(F.get(F.get(table, i), j) >= 0, p["first"])), lambda f: f.isNotNull())))
+        return F.concat(there, back)
 
-    return F.transform(block, of)
+    return _bind(F.transform(probes, lambda p: F.transform(owners, lambda x, j: F.when(linked(p, x), j).otherwise(-1))), both)
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -134,19 +134,21 @@ def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     keys = written(shared_keys(lines, threshold))
     sifted = sieve(lines, keys, "h1").filter("_maybe")
     texts = sifted.join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), F.min("place").alias("first"))
-    texts = written(texts.join(keys, ["h1", "h2"]))
-    spread = keys.select("h1", "h2", F.explode(F.concat("own", "probe")).alias("key"))
+    texts = written(texts.join(keys, ["h1", "h2"]).withColumn("n", F.char_length("line")))
+    spread = keys.select("h1", "h2", F.inline("slots")).groupBy("h1", "h2", "key").agg(F.max("own").alias("own"))
     sizes = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = texts.withColumn("key", F.explode(F.concat("own", "probe"))).join(sizes, "key")
+    every = texts.withColumn("key", F.explode(F.array_distinct("slots.key"))).join(sizes, "key")
     part = F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).alias("part")
-    blocks = dealt.groupBy("key", part).agg(F.collect_list(F.struct("h1", "h2", "line", "first", "own", "probe")).alias("block"))
-    one, two = blocks.alias("one"), blocks.alias("two")
-    pairs = one.join(two, F.col("one.key") == F.col("two.key"))
-    found = pairs.select(F.inline(_compared(F.col("one.block"), F.col("two.block"), F.col("one.key"), threshold)))
+    own = F.transform(F.filter("slots", lambda s: s["own"]), lambda s: s["key"])
+    line = ["h1", "h2", "n", "line", "first"]
+    probes = every.groupBy("key", part).agg(F.collect_list(F.struct(*line, F.col("slots.key").alias("keys"))).alias("probes"))
+    owners = every.filter(F.array_contains(own, F.col("key"))).groupBy("key", part).agg(F.collect_list(F.struct(*line, own.alias("own"))).alias("owners"))
+    pairs = probes.drop("part").join(owners.drop("part"), "key")
+    found = pairs.select(F.inline(_compared(F.col("probes"), F.col("owners"), F.col("key"), threshold)))
     return found.filter("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("n_links"), F.min("nearest").alias("nearest"))
 
 
-def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = 1) -> DataFrame:
     """One row per line of at least ``min_chars`` characters: where it stands, its class, its links, whether it stays.
 
     Columns: place, first (place of the first equal line: the class), copies, n_links (different
@@ -178,7 +180,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     dropped = judged_lines(docs, id_col, text, min_chars=min_chars, **options).filter(~F.col("kept"))
     dropped = dropped.groupBy(F.col("place.row").alias(row)).agg(F.collect_list("place.line_no").alias(gone))
     joined = docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    stays_at = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = _bind(F.split(F.col(text), "\n"), lambda lines: F.transform(stays_at(lines), lambda i: F.get(lines, i)))
     changed = F.col(gone).isNotNull()
     joined = joined.withColumn(kept_text, F.when(changed, F.array_join(left, "\n")).otherwise(F.col(text)))
     stays = ~changed | (F.btrim(kept_text, F.lit(BLANKS + "\n")) != "")

@@ -71,7 +71,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line that takes part, with the first equal line as its class."""
+    """One row per line that isn't blank, with the first equal line as its class."""
     lines = line_dedup.judged_lines(table(spark, sf_dir, "documents"))
     return lines.select(
         F.col("place.id").alias("doc_id"), F.col("place.line_no").alias("line_no"), F.col("first.id").alias("class_doc_id"),
@@ -169,21 +169,21 @@ ORACLE = {
                  trim(unnest(string_split(text, chr(10))), chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS line
           FROM documents
         ),
-        e AS (SELECT * FROM l WHERE length(line) >= 30),
+        e AS (SELECT * FROM l WHERE line <> ''),
         d AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS first, count(*) AS copies FROM e GROUP BY line),
-        third AS (
-          SELECT line, n, i, substr(line, i * (n // 3) + 1, CASE i WHEN 2 THEN n - 2 * (n // 3) ELSE n // 3 END) AS piece
-          FROM d, range(3) r(i)
+        own AS (
+          SELECT line, n, i, substr(line, i * base + 1, CASE WHEN i = k THEN n - i * base ELSE base END) AS piece
+          FROM (SELECT line, n, least(2, n // 10) AS k, n // (least(2, n // 10) + 1) AS base FROM d WHERE n >= 10), range(3) r(i) WHERE i <= k
         ),
         probe AS (
-          SELECT line, n + more AS m, i,
-                 substr(line, i * ((n + more) // 3) + shift + 1, CASE i WHEN 2 THEN n + more - 2 * ((n + more) // 3) ELSE (n + more) // 3 END) AS piece
-          FROM d, range(-2, 3) a(more), range(3) r(i), range(-2, 3) s(shift)
-          WHERE i * ((n + more) // 3) + shift >= 0
+          SELECT line, m, i, substr(line, i * base + shift + 1, CASE WHEN i = k THEN m - i * base ELSE base END) AS piece
+          FROM (SELECT line, n + more AS m, least(2, (n + more) // 10) AS k, (n + more) // (least(2, (n + more) // 10) + 1) AS base
+                FROM d, range(-2, 3) a(more) WHERE n >= 10 AND n + more >= 10), range(3) r(i), range(-2, 3) s(shift)
+          WHERE i <= k AND i * base + shift >= 0
         ),
         near AS (
-          SELECT DISTINCT t.line AS x, p.line AS y FROM third t JOIN probe p ON t.n = p.m AND t.i = p.i AND t.piece = p.piece
-          WHERE t.line <> p.line AND levenshtein(t.line, p.line) <= 2
+          SELECT DISTINCT t.line AS x, p.line AS y FROM own t JOIN probe p ON t.n = p.m AND t.i = p.i AND t.piece = p.piece
+          WHERE t.line <> p.line AND levenshtein(t.line, p.line) <= least(2, least(length(t.line), length(p.line)) // 10)
         ),
         links AS (SELECT x AS line, count(*) AS n_links, min(o.first) AS nearest FROM near JOIN d o ON o.line = y GROUP BY x)
         SELECT e.doc_id, e.line_no::INT AS line_no, d.first[1] AS class_doc_id, d.first[2]::INT AS class_line_no, d.copies,

@@ -91,7 +91,7 @@ def test_lines(spark, tmp_path):
     rows += [(None, rows[3][1]), (100, None), (101, ""), (7, rows[7][1]), (7, rows[7][1])]
     spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    got = line_dedup.judged_lines(docs).select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
+    got = line_dedup.judged_lines(docs, min_chars=30).select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
     want = line_truth(rows)
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert any(0 < w[5] for w in want) and not all(w[6] for w in want)
@@ -104,7 +104,7 @@ def test_lines(spark, tmp_path):
 def test_lines_odd(odd, nothing):
     got = line_dedup.judged_lines(odd).select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
     rows = [(r.doc_id, r.text) for r in odd.collect() if len(r.text or "") < 20_000]
-    want = line_truth(rows)
+    want = short_line_truth(rows)
     assert sorted([tuple(r) for r in got if r[0] not in (9, 10)], key=repr) == sorted(want, key=repr)
     assert line_dedup.drop_lines(odd).columns == odd.columns
     assert line_dedup.drop_lines(nothing).collect() == [] == line_dedup.judged_lines(nothing).collect()
@@ -151,6 +151,25 @@ def test_short_lines(spark, tmp_path):
     assert {100, 101} <= {r.doc_id for r in left} and 102 not in {r.doc_id for r in left}
 
 
+def test_hot_segment(spark, tmp_path):
+    """Hundreds of lines share a segment; pairs are also found where only probes meet the index."""
+    rng = random.Random(4)
+    head = words(rng, 6)[:24]
+    rows = [(i, "\n".join(head + f"{rng.randrange(10**6):06d}" + "q" * 14 for _ in range(10))) for i in range(40)]
+    rows += [(200 + i, t) for i, t in enumerate(["ab" + head + "xyz" * 6, "b" + head + "xyz" * 6, "a" + head + "xyz" * 6 + "é", head + "xyz" * 6])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = line_dedup.judged_lines(spark.read.parquet(str(tmp_path / "d")))
+    got = got.select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(short_line_truth(rows), key=repr)
+
+
+def test_many_lines_in_a_document(spark, tmp_path):
+    lines = [hashlib.md5(str(i % 20_000).encode()).hexdigest() for i in range(40_000)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    left = line_dedup.drop_lines(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert [r.text for r in left] == ["\n".join(lines[:20_000])]
+
+
 def passage_truth(texts, size):
     seen = defaultdict(int)
     for t in texts:
