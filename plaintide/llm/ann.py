@@ -3,7 +3,8 @@
 Vectors are dealt by hash into shards of bounded size.  Each shard gets a directed graph:
 a greedy search proposes neighbours of a vector, and pruning keeps a neighbour only if no
 kept one is closer to it by the factor ``alpha``, so edges point in different directions.
-Queries travel in blocks to every shard, a beam search answers them there, and the best
+Equal directions are one node of the graph, with the list of their rows.  Queries travel in
+blocks to every shard and stream past its graph, a beam search answers them there, and the best
 answers of all shards are merged.
 """
 
@@ -24,7 +25,9 @@ ALPHA = 1.2
 BUILD_BEAM = 64
 SEARCH_BEAM = 96
 SHARD_ROWS = 6000
+SHARD_BYTES = 24_000_000  # of the numbers of a shard
 QUERY_BLOCK = 256
+BLOCKS_AT_ONCE = 64  # blocks of queries that follow one copy of a graph
 
 
 def beam_search(units: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,18 +138,27 @@ def _packed(**arrays: np.ndarray) -> bytes:
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM) -> DataFrame:
     """(dim, shard, graph): the packed graph and vectors of each shard of (row, id, vec).
 
-    Every row is indexed.  A shard holds about ``shard_rows`` rows, whatever their values.
+    Every row is indexed.  A shard holds about ``shard_rows`` rows, fewer of long vectors, whatever
+    their values.  Rows of one direction are one node; those of a node are kept by vector, then by id.
     """
-    shards = max(1, -(-vectors.count() // shard_rows))
+    n, widest = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    shards = max(1, -(-n // max(1, min(shard_rows, SHARD_BYTES // (12 * max(1, widest))))))
     dealt = vectors.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "id", "vec")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
-        vec = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+        rows = rows.sort_values(["id", "row"])
+        vec, same = np.unique(np.stack(rows["vec"].to_numpy()).astype(np.float64), axis=0, return_inverse=True)
         units = (vec / np.abs(vec).max(1, keepdims=True))
-        units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+        units, node = np.unique((units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32), axis=0, return_inverse=True)
         graph, entry = build(units, degree, alpha, beam)
-        packed = _packed(row=rows["row"].to_numpy(), id=rows["id"].to_numpy(), vec=vec, units=units, graph=graph, entry=np.array(entry))
+        by_node = np.argsort(node.ravel(), kind="stable")  # vectors by node
+        place = np.empty(len(vec), np.int64)
+        place[by_node] = np.arange(len(vec))
+        by_vector = np.argsort(place[same.ravel()], kind="stable")  # rows by vector, then by id
+        packed = _packed(
+            row=rows["row"].to_numpy()[by_vector], id=rows["id"].to_numpy()[by_vector], rows=np.bincount(place[same.ravel()]),
+            vec=vec[by_node], vectors=np.bincount(node.ravel()), units=units, graph=graph, entry=np.array(entry),
+        )
         return pd.DataFrame({"dim": rows["dim"].iloc[:1].to_numpy(), "shard": rows["shard"].iloc[:1].to_numpy(), "graph": [packed]})
 
     return dealt.groupBy("dim", "shard").applyInPandas(one, "dim int, shard bigint, graph binary")
@@ -158,40 +170,81 @@ def _cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (q * v).sum(-1) / (np.sqrt((q * q).sum(-1)) * np.sqrt((v * v).sum(-1)))
 
 
+def _runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(first - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Shard:
+    """A packed shard, ready for searches."""
+
+    def __init__(self, blob: bytes):
+        parts = np.load(io.BytesIO(blob))
+        self.units, self.graph, self.entry, self.vec = parts["units"], parts["graph"], int(parts["entry"]), parts["vec"]
+        self.vectors, self.rows, self.row, self.id = parts["vectors"], parts["rows"], parts["row"], parts["id"]
+        self.first_vector, self.first_row = (np.cumsum(x) - x for x in (self.vectors, self.rows))
+
+    def answers(self, queries: list[dict], k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the ``k`` nearest rows of each query, but for its own row.
+
+        Of the rows of one vector the k + 1 smallest ids are enough; the query may be one of them.
+        """
+        vec = np.array([q["vec"] for q in queries], np.float64)
+        units = vec / np.abs(vec).max(1, keepdims=True)
+        units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+        found, _ = beam_search(self.units, self.graph, self.entry, units, max(beam, k + 1))
+        for q, nodes, v in zip(queries, found, vec):
+            nodes = nodes[nodes >= 0]
+            near = _runs(self.first_vector[nodes], self.vectors[nodes])
+            score = _cosine(v[None], self.vec[near])
+            good = score >= np.sort(score)[::-1][min(k, len(score) - 1)]
+            near, score = near[good], score[good]
+            counts = np.minimum(self.rows[near], k + 1)
+            rows, score = _runs(self.first_row[near], counts), np.repeat(score, counts)
+            others = self.row[rows] != q["row"]
+            rows, score = rows[others], score[others]
+            best = np.lexsort((self.id[rows], -score))[:k]
+            yield self.id[rows][best], score[best]
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_row, query_id, rank, id, score): the ``k`` nearest others of each of (row, id, vec).
 
-    Queries are packed into blocks of about ``block``; a task holds one block and one shard.
-    A query meets only vectors of its own length.
+    Queries are packed into blocks of about ``block``.  A graph travels once for every
+    BLOCKS_AT_ONCE blocks, which follow it through a task one by one.  A query meets only
+    vectors of its own length.
     """
     sized = queries.withColumn("dim", F.size("vec"))
     blocks = max(1, -(-queries.count() // block))
-    dealt = sized.groupBy("dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("row", "id", "vec")).alias("queries"))
-    pairs = dealt.join(graphs.select("dim", "shard"), "dim").join(graphs, ["dim", "shard"]).select("queries", "graph")
+    slices = -(-blocks // BLOCKS_AT_ONCE)
+    number = F.pmod(F.xxhash64("row"), F.lit(blocks))
+    dealt = sized.groupBy("dim", number.alias("block")).agg(F.collect_list(F.struct("row", "id", "vec")).alias("queries"))
+    known = graphs.select("dim", "shard")
+    asked = dealt.join(known, "dim").select("dim", "shard", F.pmod("block", F.lit(slices)).alias("slice"), "queries", F.lit(None).cast("binary").alias("graph"))
+    copies = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(
+        "dim", "shard", F.col("slice").cast("bigint").alias("slice"), F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"), "graph"
+    )
+    groups = max(1, known.count()) * slices
+    rows = copies.unionByName(asked).repartition(groups, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", F.col("graph").isNull())
     out = "query_row bigint, query_id bigint, id bigint, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
             for asked, blob in zip(batch.column(0), batch.column(1)):
-                shard = np.load(io.BytesIO(blob.as_py()))
+                if blob.is_valid:
+                    shard = Shard(blob.as_py())
+                    continue
                 asked = asked.as_py()
-                vec = np.array([q["vec"] for q in asked], np.float64)
-                units = vec / np.abs(vec).max(1, keepdims=True)
-                units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
-                own_row, own_id, vectors, indexed, graph = (shard[n] for n in ("row", "id", "vec", "units", "graph"))
-                found, _ = beam_search(indexed, graph, int(shard["entry"]), units, max(beam, k + 1))
-                rows = [[], [], [], []]
-                for q, near, v in zip(asked, found, vec):
-                    near = near[near >= 0]
-                    near = near[own_row[near] != q["row"]]
-                    score = _cosine(v[None], vectors[near])
-                    best = np.lexsort((own_id[near], -score))[:k]
-                    for column, values in zip(rows, ([q["row"]] * len(best), [q["id"]] * len(best), own_id[near][best].tolist(), score[best].tolist())):
+                columns = [[], [], [], []]
+                for q, (ids, scores) in zip(asked, shard.answers(asked, k, beam)):
+                    for column, values in zip(columns, ([q["row"]] * len(ids), [q["id"]] * len(ids), ids.tolist(), scores.tolist())):
                         column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_row", "query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_row", "query_id", "id", "score"])
 
     nearest = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
-    merged = pairs.mapInArrow(run, out).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    merged = rows.select("queries", "graph").mapInArrow(run, out).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return merged.select("query_row", "query_id", "rank", "id", "score")
 
 
@@ -202,7 +255,8 @@ def nearest(
 
     Score is the cosine in double precision on the original vectors, ties to the smaller
     id.  Rows whose vector is null, zero or has null or non-finite components, and rows without
-    an id, take no part.  Repeated rows are each other's neighbours.  Vectors of different
+    an id, take no part.  Repeated rows are each other's neighbours: equal vectors are one node of a shard's
+    graph, and a node answers with its smallest ids.  Vectors of different
     length never meet.  An empty table gives no rows; extra columns don't matter.  ``table``
     must be a table, as its rows are numbered by position.
     """

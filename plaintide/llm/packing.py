@@ -10,7 +10,9 @@ of a window is the front of a monotone queue over the last ``width`` tokens.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import unicodedata
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
@@ -27,6 +29,8 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 STOPS = (".", "!", "?", "\n", "。", "！", "？", "…")
 MARKS = tuple(",.;:!?")
 BETWEEN = "|"  # one token, which comes of no other text
+LATIN = re.compile("[a-z\xdf-\xf6\xf8-\u024f]+").fullmatch  # letters that the tokenizer takes as they are, once folded
+ROOM_CHUNKS, ROOM_PARTS = 600_000, 900_000  # distinct ones that a Python worker remembers
 SENTENCE_END, HARD_CUT, WINDOW = 8.0, 64.0, 16.0  # costs in tokens of padding
 
 
@@ -40,6 +44,33 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@functools.lru_cache(maxsize=2)
+def _word_tokenizer(path: str):
+    """The tokenizer without its folding and splitting, for folded words between blanks, and which ids end a word.
+
+    None where the file is of another kind.
+    """
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    suffix = parts["model"].get("end_of_word_suffix")
+    if parts["model"].get("type") != "BPE" or not suffix:
+        return None
+    parts |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]}}
+    ends = np.zeros(max(parts["model"]["vocab"].values()) + 1, bool)
+    ends[[i for t, i in parts["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    return Tokenizer.from_str(json.dumps(parts)), ends
+
+
+@functools.lru_cache(maxsize=1)
+def worker_chunks(path: str) -> Chunks:
+    """The chunks of this Python worker, which the tasks that it runs one after the other share."""
+    return Chunks(path)
+
+
 def _numbers() -> defaultdict:
     """Numbers keys in the order in which they are first asked for."""
     numbers: defaultdict = defaultdict()
@@ -51,10 +82,12 @@ def _pieces(chunk: str) -> tuple[str, ...]:
     """A chunk in parts that the tokenizer would part as well: letters, and a mark behind them."""
     chunk = chunk.rstrip("\n")
     body, tail = (chunk[:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk, "")
-    if body.isascii():  # it folds case; this saves encoding both forms
-        body = body.lower()
-    if not (body if body.isascii() else unicodedata.normalize("NFC", body).lower()).isalpha():
+    # it folds case; this saves encoding both forms
+    folded = body.lower() if body.isascii() else unicodedata.normalize("NFC", body).lower()
+    if not folded.isalpha():
         return (chunk,)
+    if LATIN(folded):
+        body = folded
     return (body, tail) if tail else (body,)
 
 
@@ -62,37 +95,66 @@ class Chunks:
     """Token ids of runs between blanks; each part of one is encoded once while there is room.
 
     The tokenizer drops white space and nothing it does reaches over white space.  Parts are
-    encoded many at a time, with a token between them that none of them has.
+    encoded many at a time: folded words by the merges alone, others with a token between them
+    that none of them has.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
-        self.tokenizer, self.room = _tokenizer(path), room
+    def __init__(self, path: str, room: int = ROOM_CHUNKS, room_parts: int = ROOM_PARTS):
+        self.tokenizer, self.words = _tokenizer(path), _word_tokenizer(path)
+        self.room, self.room_parts = room, room_parts
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.clear_parts()
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.parts = _numbers(), _numbers()
-        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.known = _numbers()
         self.ids, self.sizes, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
 
+    def clear_parts(self) -> None:
+        self.parts = _numbers()
+        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def make_room(self) -> None:
+        """Forget what is beyond the bounds; chunk numbers given before are void then."""
+        if len(self.known) > self.room:
+            self.clear()
+        if len(self.parts) > self.room_parts:
+            self.clear_parts()
+
     def numbers(self, text: str) -> np.ndarray:
         pieces = text.replace("\n", "\n ").split(" ")
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Folded words, encoded many at a time; the last id of a word tells its end."""
+        tokenizer, ends = self.words
+        joined = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)]
+        stream = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        return stream, np.diff(np.flatnonzero(ends[stream]), prepend=-1)
+
+    def _encode_plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts without the mark between them."""
+        joined = [f" {BETWEEN} ".join(parts[i : i + 200]) + f" {BETWEEN}" for i in range(0, len(parts), 200)]
+        stream = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+        mark = stream == self.between[0]
+        return stream[~mark], np.diff(np.flatnonzero(mark), prepend=-1) - 1
+
+    def _encode_odd(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in parts]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(i) for i in ids], np.int64)
+
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts in a row, and how many each has."""
-        alone = [BETWEEN in p for p in parts]
-        plain = [p for p, odd in zip(parts, alone) if not odd]
-        joined = [f" {BETWEEN} ".join(plain[i : i + 200]) + f" {BETWEEN}" for i in range(0, len(plain), 200)]
-        stream = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint32)
-        mark = stream == self.between[0]
-        sizes = np.diff(np.flatnonzero(mark), prepend=-1) - 1
-        stream = stream[~mark]
-        if not any(alone):
-            return stream, sizes
-        rows = iter(np.split(stream, np.cumsum(sizes)[:-1]))
-        ids = [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) if odd else next(rows) for p, odd in zip(parts, alone)]
-        return np.concatenate(ids), np.array([len(i) for i in ids])
+        kind = np.array([2 if BETWEEN in p else 0 if self.words and p.islower() and LATIN(p) else 1 for p in parts])
+        ids, sizes, first, at = [], np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
+        for k, encode in enumerate((self._encode_words, self._encode_plain, self._encode_odd)):
+            of = np.flatnonzero(kind == k)
+            if len(of):
+                stream, sizes[of] = encode([parts[i] for i in of.tolist()])
+                first[of] = at + np.cumsum(sizes[of]) - sizes[of]
+                ids.append(stream)
+                at += len(stream)
+        return np.concatenate(ids)[_spans(first, sizes)], sizes
 
     def look_up(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks, and of each its first place, its length, whether a sentence ends."""
@@ -202,7 +264,8 @@ def pack(
     schema = StructType([*rows.schema.fields[:-1], *[StructField(n, t) for n, t in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, held, numbers, chars = Chunks(tokenizer), [], [], 0
+        chunks, held, numbers, chars = worker_chunks(tokenizer), [], [], 0
+        chunks.make_room()
         sequence = TaskContext.get().partitionId() << 36
 
         def emit() -> pa.RecordBatch:
@@ -224,8 +287,7 @@ def pack(
             sequence += len(used)
             held.clear()
             numbers.clear()
-            if len(chunks.known) > chunks.room:
-                chunks.clear()
+            chunks.make_room()
             return pa.RecordBatch.from_arrays([*kept, *[pa.array(c) if isinstance(c, np.ndarray) else c for c in out]], schema=None, names=schema.names)
 
         for batch in batches:

@@ -43,6 +43,23 @@ def test_recall(spark, tmp_path):
         assert [(r.score, -r.vec_id) for r in mine] == sorted(((r.score, -r.vec_id) for r in mine), reverse=True)
 
 
+@pytest.mark.parametrize("groups, copies", [(200, 3), (60, 10), (20, 60)])
+def test_nearest_with_copies(spark, tmp_path, groups, copies):
+    """Groups of equal and of scaled vectors, larger than the degree too: every copy can be found."""
+    rng = np.random.default_rng(copies)
+    base = rng.normal(size=(1800, 24)).round(3)
+    vec = np.concatenate([base, *[base[:groups] * (2.0 if c == 1 else 1.0) for c in range(copies - 1)]])
+    ids = rng.permutation(len(vec))
+    spark.createDataFrame([(int(i), v) for i, v in zip(ids, vec.tolist())], "vec_id bigint, vec array<double>").repartition(3).write.parquet(str(tmp_path / "v"))
+    asked = F.col("vec_id") % 7 == 0
+    got = ann.nearest(spark.read.parquet(str(tmp_path / "v")), asked, shard_rows=900).collect()
+    score = (vec @ vec.T) / np.linalg.norm(vec, axis=1)[:, None] / np.linalg.norm(vec, axis=1)[None]
+    np.fill_diagonal(score, -2)
+    least = {int(ids[q]): np.sort(score[q])[-5] for q in range(len(vec)) if ids[q] % 7 == 0}
+    assert len(got) == 5 * len(least)
+    assert sum(r.score >= least[r.query_id] - 1e-9 for r in got) / len(got) >= 0.95
+
+
 def test_odd_vectors(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]),

@@ -128,3 +128,15 @@ def test_digests(spark):
     for r in pieces:
         used[(r.sequence_id, r.padded)] += r.length
     assert sum(p for _, p in used) - sum(used.values()) < 0.03 * sum(used.values())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="abÀéßİıĳǅσΣς|.,! \n'1", max_size=60)), min_size=1, max_size=6))
+def test_chunk_ids_are_the_library(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    library, chunks = packing._tokenizer(packing.WORD_BPE), packing.Chunks(packing.WORD_BPE, room=3, room_parts=2)
+    for t in texts:
+        of = chunks.numbers(t)
+        ids, first, sizes, _ = chunks.look_up()
+        assert [i for k in of for i in ids[first[k] : first[k] + sizes[k]].tolist()] == library.encode(t, add_special_tokens=False).ids
+        chunks.make_room()
