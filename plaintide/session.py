@@ -24,8 +24,16 @@ def build_session(app: str = "plaintide", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else Spark's warehouse; a cluster shares both."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder named by ``spark.checkpoint.dir``, else Spark's warehouse; a cluster shares both.
+
+    An unset checkpoint folder with a warehouse on local disk is an error on a cluster, whose
+    machines would not see each other's files.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = named or spark.conf.get("spark.sql.warehouse.dir")
+    local = spark.sparkContext.master.startswith("local")
+    if not (named or local) and (folder.startswith(("file:", "/")) or "://" not in folder):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     return folder.rstrip("/")
 
 

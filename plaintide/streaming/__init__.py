@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from plaintide.functions import labels, text
 from plaintide.operators import scoring
@@ -43,3 +46,27 @@ def start_rejects(
 ) -> StreamingQuery:
     """Append the rejects to a table at ``path``; with :func:`start_scoring` no review is lost."""
     return _appended(rejected_reviews(stream, ident), path, checkpoint, available_now)
+
+
+def run_batches(start: Callable[[], StreamingQuery], stop_after: int | None = None) -> None:
+    """Run a query to its end, or stop it once ``stop_after`` batches are done; its checkpoint lets it go on."""
+    query = start()
+    while not query.awaitTermination(1):
+        done = query.lastProgress
+        if stop_after is not None and done and done["batchId"] + 1 >= stop_after:
+            query.stop()
+            return
+
+
+def feedback_stream(
+    spark: SparkSession, source: str, schema: StructType, out: str, ident: str = "ordinal", files_per_batch: int = 1, stop_after: int | None = None
+) -> None:
+    """Score the Parquet files below ``source`` that no earlier run has read, in batches of some files.
+
+    Scored rows go to ``out``/feedback, rejects to ``out``/feedback_rejects.  Sources and sinks keep
+    what they have done below ``out``/checkpoints, so a run that was stopped goes on where
+    it was, and no row is written twice or lost.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    run_batches(lambda: start_scoring(stream, f"{out}/feedback", f"{out}/checkpoints/feedback"), stop_after)
+    run_batches(lambda: start_rejects(stream, f"{out}/feedback_rejects", f"{out}/checkpoints/feedback_rejects", ident), stop_after)

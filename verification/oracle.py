@@ -658,6 +658,11 @@ add("issue_smoothing_path", "tp_ranked", """
   m AS (SELECT smoothing, sum(hit) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(support)::BIGINT AS rows FROM f GROUP BY smoothing)
   SELECT smoothing, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, rows,
     row_number() OVER (ORDER BY macro_f1 DESC, smoothing DESC) = 1 AS chosen FROM m""")
+add("streamed_feedback", "reviews", f"""
+  , c AS (SELECT ordinal, rating, {clean('review_text')} AS t FROM reviews)
+  SELECT ordinal, CASE WHEN coalesce(t, '') = '' THEN 'blank review text' END AS reason,
+    CASE WHEN coalesce(t, '') <> '' THEN {first_match('lower(t)')} END AS issue_label,
+    CASE WHEN coalesce(t, '') <> '' THEN {sentiment('rating')} END AS rating_label, 1::BIGINT AS times FROM c""")
 add("sentiment_test_rows", "clean_reviews", """
   , c AS (SELECT sentiment_label, count(*) AS n FROM clean_reviews GROUP BY 1),
   t AS (SELECT sum(n) AS total, sum(n) - ceil(0.2::DOUBLE * sum(n)) AS draws FROM c),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plaintide import rules
+from plaintide import rules, streaming
 from plaintide.functions import labels, text
 from plaintide.operators import (
     annotate, cleaning, clusters, distributions as dist, metrics, priority, sampling, scoring, themes,
@@ -761,6 +761,20 @@ def sentiment_test_rows(spark, sf):
     return dist.value_counts(split.filter("split = 'test'"), "sentiment_label", "n_rows")
 
 
+@query
+def streamed_feedback(spark, sf):
+    """All reviews scored or rejected by streams that are stopped after a batch and started again; each row once."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = views.reviews(spark, sf)
+    rows.repartition(4).write.parquet(f"{folder}/in")
+    streaming.feedback_stream(spark, f"{folder}/in", rows.schema, folder, stop_after=1)
+    streaming.feedback_stream(spark, f"{folder}/in", rows.schema, folder)
+    scored = spark.read.parquet(f"{folder}/feedback").select("ordinal", F.lit(None).cast("string").alias("reason"), "issue_label", "rating_label")
+    rejected = spark.read.schema("ordinal BIGINT, reason STRING").parquet(f"{folder}/feedback_rejects")
+    rejected = rejected.select("ordinal", "reason", *[F.lit(None).cast("string").alias(c) for c in ("issue_label", "rating_label")])
+    return scored.unionByName(rejected).groupBy("ordinal", "reason", "issue_label", "rating_label").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query
 def feedback_by_saved_models(spark, sf):
     """Both models trained, saved, loaded and applied to reviews of which some are blank."""
