@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from conftest_words import words
 from plaintide.llm import packing
-from test_dedup import line_truth, passage_truth, similar_truth
+from test_dedup import passage_truth, short_line_truth, similar_truth
 
 
 @pytest.fixture(scope="module")
@@ -51,8 +51,8 @@ def test_stages(spark, corpus, tmp_path):
     before, after = (rows_of(x) for x in seen["toxicity"])
     assert {i for i, _ in before} - {i for i, _ in after} == {i for i in range(0, 240, 8)}
     before, after = (rows_of(x) for x in seen["line_dedup"])
-    kept = sum(w[6] for w in line_truth(before))
-    assert sum(len(x.strip()) >= 30 for _, t in after for x in (t or "").split("\n")) == kept
+    kept = sum(w[6] for w in short_line_truth(before))
+    assert sum(bool(x.strip("\t\v\f\r ")) for _, t in after for x in (t or "").split("\n")) == kept
     before, after = (rows_of(x) for x in seen["ngram_jaccard"])
     assert len(after) == sum(w[5] for w in similar_truth(before))
     before, after = (rows_of(x) for x in seen["suffix_dedup"])
