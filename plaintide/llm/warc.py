@@ -1,15 +1,20 @@
 """WARC archives of pages, and one ordered capture index over all of them.
 
 Tasks write their pages as WARC records sorted by URL key and time: every archive file is
-a sorted run.  Reading an archive back gives its index entries in that order.  The runs
-are cut by key ranges, and each range is merged by a loser tree into the global order.
+a sorted run.  Every record is a gzip member of its own, so that it can be read alone from
+its position, and has an id that no other record of any run has; a revisit names the
+record it refers to.  Reading an archive back gives its index entries in that order.  The
+runs are cut by key ranges, and each range is merged by a loser tree into the global order.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plaintide.llm.common import written
 
 REVISIT_MIN_BYTES = 100
+ARCHIVE_BYTES = 1 << 26  # compressed; a longer record is an archive of its own
+BATCH_BYTES, BATCH_RECORDS, FEED = 1 << 24, 1024, 1 << 16
 # Record and header lines of the format.
 VERSION, PROFILE, SEPARATOR = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "\r\n\r\n"
 ENTRY = (
-    "archive string, position bigint, record_type string, page_id string, refers_to string, url string, "
-    "captured string, payload_digest string, payload_bytes bigint, payload binary"
+    "archive string, position bigint, record_type string, record_id string, page_id string, refers_to_record string, refers_to string, "
+    "url string, captured string, payload_digest string, payload_bytes bigint, payload binary"
 )
 
 
@@ -35,7 +42,7 @@ def url_key(url: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, id_col: str, url: str, html: str, captured: str | None) -> DataFrame:
-    """Pages with payload size and digest, and the page that a revisit refers to.
+    """Pages with payload size and digest, and the page and row that a revisit refers to.
 
     Equal payloads are those of equal length and SHA-256.  Copies are counted before the
     shuffle; only payloads that occur twice take part in the join.
@@ -58,53 +65,116 @@ def with_revisits(pages: DataFrame, id_col: str, url: str, html: str, captured:
     again = F.col("row") != F.col("first.row")
     return rows.join(first, ["digest", "n"], "left").select(
         "page_id", "row", "url", "captured", "html", "n", "digest",
-        F.when(again, F.coalesce(F.col("first.id").cast("string"), F.lit(""))).alias("refers_to"),
+        F.when(again, F.col("first.row")).alias("first_row"), F.when(again, F.col("first.id").cast("string")).alias("refers_to"),
     )
 
 
-def records(resolved: DataFrame) -> DataFrame:
-    """(key, captured, row, record): the text of each WARC record without the blank lines that end it."""
+def _urn(run: str, row: Column) -> Column:
+    """Id of the record of a row: the same whenever its task runs, another one in every run."""
+    return F.concat(
+        F.lit("<urn:uuid:"),
+        F.regexp_replace(F.md5(F.concat(F.lit(f"{run}:"), row.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
+        F.lit(">"),
+    )
+
+
+def _escaped(c: Column) -> Column:
+    for char, code in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")):
+        c = F.replace(c, F.lit(char), F.lit(code))
+    return c
+
+
+def records(resolved: DataFrame, run: str) -> DataFrame:
+    """(key, captured, row, record): the text of each WARC record without the blank lines that end it.
+
+    The page numbers travel in two lines of our own, which other readers skip.
+    """
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    revisit = F.col("refers_to").isNotNull()
+    known = lambda name, value: F.coalesce(line(name, value), F.lit(""))
+    revisit = F.col("first_row").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(SEPARATOR)
     )
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    page = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id"), F.lit("")), F.lit(">"))
     head = F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:capture:"), F.col("row").cast("string"), F.lit(">"))),
-        line("WARC-Concurrent-To", page),
+        line("WARC-Record-ID", _urn(run, F.col("row"))),
         line("WARC-Date", F.col("captured")),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", url)).otherwise(F.lit("")),
+        known("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(F.lit("")),
+        known("WARC-Refers-To", _urn(run, F.col("first_row"))),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}\r\n")).otherwise(F.lit("")),
+        known("Page-ID", _escaped(F.col("page_id"))),
+        known("Refers-To-Page-ID", _escaped(F.col("refers_to"))),
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(SEPARATOR),
     )
     return resolved.select(url_key(F.col("url")).alias("key"), "captured", "row", F.concat(head, block).alias("record"))
 
 
+def _closed(members: list[bytes]) -> bytes:
+    """An archive without the zero byte that ends it: the text writer ends each row with that byte.
+
+    The last byte of a member is the high byte of its record's length.  It isn't zero for a
+    record of 16 MiB and more, and then an empty member ends the archive.
+    """
+    if members[-1][-1]:
+        members = [*members, gzip.compress(b"", mtime=0)]
+    return b"".join(members)[:-1]
+
+
 def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html",
-    captured: str | None = None, records_per_file: int = 2000,
+    captured: str | None = None, records_per_file: int = 2000, archive_bytes: int = ARCHIVE_BYTES,
 ) -> str:
-    """Write a record per page, in gzipped files that are each sorted by URL key and time.
-
-    Null html is an empty payload, a null url has no target line.  Of records with equal
-    payloads of at least 100 bytes, the one with the smallest id (then the first row, null
-    ids last) is the response and the others revisit it.  Without a ``captured`` column the
-    id stands in for the time, in seconds.  Repeated rows are records of their own.
+    """Write a record per page, in archives that are each sorted by URL key and time.
+
+    An archive ends at ``records_per_file`` records or ``archive_bytes`` compressed bytes, and
+    a task holds one at a time.  Null html is an empty payload, a null url has no target
+    line, a null id no page line.  Of records with equal payloads of at least 100 bytes, the
+    one with the smallest id (then the first row, null ids last) is the response and the
+    others revisit it.  Without a ``captured`` column the id stands in for the time, in
+    seconds.  Repeated rows are records of their own.
     """
-    runs = records(with_revisits(pages, id_col, url, html, captured)).sortWithinPartitions("key", "captured", "row")
-    runs.select("record").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    run = uuid.uuid4().hex
+    runs = records(with_revisits(pages, id_col, url, html, captured), run).sortWithinPartitions("key", "captured", "row")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                member = gzip.compress(record.as_py().encode() + SEPARATOR.encode(), 6, mtime=0)
+                if held and (len(held) == records_per_file or size + len(member) > archive_bytes):
+                    yield pa.RecordBatch.from_arrays([pa.array([_closed(held)], pa.binary())], names=["content"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_closed(held)], pa.binary())], names=["content"])
+
+    archives = runs.select("record").mapInArrow(pack, "content binary").select(F.col("content").cast("string").alias("value"))
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(position, content) of the gzip members of an archive, one at a time."""
+    at = 0
+    while at < len(data):
+        inflate, parts, end = zlib.decompressobj(wbits=31), [], at
+        while not inflate.eof:
+            if end >= len(data):
+                raise ValueError(f"member at {at} is cut off")
+            parts.append(inflate.decompress(data[end : end + FEED]))
+            end = min(end + FEED, len(data))
+        yield at, b"".join(parts)
+        at = end - len(inflate.unused_data)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one archive, framed by their Content-Length."""
+    """The records of plain bytes, framed by their Content-Length."""
     at = 0
     while at < len(data):
         blank = data.index(b"\r\n\r\n", at)
@@ -122,34 +192,53 @@ def parse(data: bytes) -> Iterator[dict]:
         revisit = head["WARC-Type"] == "revisit"
         if not revisit and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
             raise ValueError(f"payload of the record at {at} is damaged")
-        name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
+        page, first = (head[x] if x in head else None for x in ("Page-ID", "Refers-To-Page-ID"))
         yield {
-            "position": at, "record_type": head["WARC-Type"], "page_id": name(head["WARC-Concurrent-To"]),
-            "refers_to": name(head["WARC-Refers-To"]) if revisit else None, "url": head.get("WARC-Target-URI"),
+            "position": at, "record_type": head["WARC-Type"], "record_id": head["WARC-Record-ID"], "page_id": None if page is None else unquote(page),
+            "refers_to_record": head["WARC-Refers-To"] if revisit else None, "refers_to": None if first is None else unquote(first),
+            "url": head.get("WARC-Target-URI"),
             "captured": head["WARC-Date"], "payload_digest": digest, "payload_bytes": size, "payload": None if revisit else payload,
         }
         at = end + 4
 
 
+def archive_records(data: bytes) -> Iterator[dict]:
+    """The records of an archive; ``position`` is where the gzip member, or the plain record, begins."""
+    if data[:2] != b"\x1f\x8b":
+        yield from parse(data)
+        return
+    for at, content in members(data):
+        for record in parse(content):
+            yield {**record, "position": at}
+
+
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives, in file order, payloads checked against size and digest.
 
-    One task holds one archive file at a time; ``write_archives`` bounds their length.
+    One task holds one archive as it is stored, one decompressed member of it and a batch
+    of entries; ``write_archives`` bounds the bytes of an archive.  Damage raises an error.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = [f.split(" ")[0] for f in ENTRY.split(", ")]
+    fields = [f.split(" ") for f in ENTRY.split(", ")]
+    types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[t]) for n, t in fields], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                data = content.as_py()
-                rows = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                columns = {n: [r[n] for r in rows] for n in names[1:]}
-                if not payloads:
-                    columns["payload"] = [None] * len(rows)
-                types = [pa.string(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
-                columns["archive"] = [path.as_py()] * len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types)], names=names)
+            for archive, content in zip(batch.column(0), batch.column(1)):
+                rows, size = [], 0
+                for record in archive_records(content.as_py()):
+                    if not payloads:
+                        record["payload"] = None
+                    rows.append({**record, "archive": archive.as_py()})
+                    size += len(record["payload"] or b"")
+                    if size >= BATCH_BYTES or len(rows) == BATCH_RECORDS:
+                        yield table(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield table(rows)
 
     return files.mapInArrow(run, ENTRY)
 
