@@ -605,6 +605,31 @@ add("tfidf_vectors", "bag_terms idfs", """
   SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS weight
   FROM (SELECT t.review_id, t.term, count(*) * any_value(i.idf) AS w FROM bag_terms t JOIN idfs i ON i.term = t.term GROUP BY ALL)""")
 
+CTES["lsa_weights"] = """
+  SELECT review_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY review_id)) AS weight
+  FROM (SELECT t.review_id, t.term, count(*) * any_value(i.idf) AS w FROM bag_terms t JOIN idfs i ON i.term = t.term GROUP BY ALL)"""
+CTES["lsa_moved_0"] = """
+  SELECT term, CASE WHEN md5('42:0:' || term) < '8' THEN 1.0::DOUBLE ELSE -1.0 END AS a,
+    CASE WHEN md5('42:1:' || term) < '8' THEN 1.0::DOUBLE ELSE -1.0 END AS b FROM (SELECT DISTINCT term FROM lsa_weights )"""
+for step in (1, 2):
+    CTES[f"lsa_upright_{step}"] = f"""
+      SELECT term, a / na AS a, (b - p * a) / sqrt(sum((b - p * a) * (b - p * a)) OVER ()) AS b
+      FROM (SELECT term, a, b, sqrt(sum(a * a) OVER ()) AS na, sum(a * b) OVER () / sum(a * a) OVER () AS p FROM lsa_moved_{step - 1} )"""
+    CTES[f"lsa_along_{step}"] = f"""
+      SELECT w.review_id, sum(w.weight * u.a) AS a, sum(w.weight * u.b) AS b
+      FROM lsa_weights w JOIN lsa_upright_{step} u ON u.term = w.term GROUP BY ALL"""
+    CTES[f"lsa_moved_{step}"] = f"""
+      SELECT w.term, sum(w.weight * y.a) AS a, sum(w.weight * y.b) AS b
+      FROM lsa_weights w JOIN lsa_along_{step} y ON y.review_id = w.review_id GROUP BY ALL"""
+add("lsa_strength", "lsa_along_2 lsa_weights", """
+  SELECT place, round(sqrt(v), 6) AS singular_value, round(v / total, 6) AS share,
+    (SELECT count(DISTINCT term) FROM lsa_weights) AS n_terms, round(1 - (aa + bb) / total, 6) AS residual
+  FROM (SELECT *, unnest([1, 2])::INT AS place,
+      unnest([(aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab), (aa + bb) / 2 - sqrt((aa - bb) * (aa - bb) / 4 + ab * ab)]) AS v
+    FROM (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, (SELECT sum(weight * weight) FROM lsa_weights) AS total FROM lsa_along_2 ))""")
+add("lsa_lengths", "lsa_along_2", """
+  SELECT review_id, round(sqrt(a * a + b * b), 5) AS length, round(greatest(0, 1 - (a * a + b * b)), 5) AS residual FROM lsa_along_2""")
+
 
 def term_model(tag: str, docs: str, label: str, labels, train: str, judged: str, smoothing) -> None:
     """Naive Bayes weights from the rows of ``docs`` that are ``train``, scores of those that are ``judged``."""

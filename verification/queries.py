@@ -18,7 +18,7 @@ from plaintide.operators import (
     annotate, cleaning, clusters, distributions as dist, metrics, priority, sampling, scoring, themes,
 )
 from plaintide.operators.ids import dense_id
-from plaintide.plans import assignment, insight, keywords, reports, training
+from plaintide.plans import assignment, embedding, insight, keywords, reports, training
 from plaintide.schema import id_label, label_id
 from plaintide.session import shared_folder, written
 from verification import views
@@ -707,6 +707,44 @@ def tfidf_vectors(spark, sf):
     return rounded(training.tfidf_vectors(rows, training.counted_vocabulary(rows)), "weight")
 
 
+def _term_space(spark, sf, rank: int, **options):
+    """TF-IDF table of all reviews, and its leading directions."""
+    docs = written(_terms(spark, sf))
+    vocabulary = written(training.counted_vocabulary(docs))
+    weights = written(training.tfidf_vectors(docs, vocabulary))
+    return weights, embedding.fit_directions(weights, vocabulary, rank, **options)
+
+
+@query
+def lsa_strength(spark, sf):
+    """The two leading singular values after two passes, with what they leave of the table."""
+    weights, space = _term_space(spark, sf, 2, oversample=0, passes=2)
+    rows = [(i, s, s * s / space.total) for i, s in enumerate(space.singular_values, 1)]
+    strength = spark.createDataFrame(rows, "place INT, singular_value DOUBLE, share DOUBLE")
+    n_terms = space.directions.agg(F.count(F.lit(1))).scalar()
+    strength = strength.withColumns({"n_terms": n_terms, "residual": F.lit(1.0 - space.explained)})
+    return rounded(strength, "singular_value", "share", "residual")
+
+
+@query
+def lsa_lengths(spark, sf):
+    """Length of every review along the two leading directions, and of what is left of it."""
+    weights, space = _term_space(spark, sf, 2, oversample=0, passes=2)
+    along = embedding.coordinates(weights, space.directions, 2)
+    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    rest = F.greatest(F.lit(0.0), 1 - F.col("_squared"))
+    measured = along.withColumn("_squared", squared).select("review_id", F.sqrt("_squared").alias("length"), rest.alias("residual"))
+    return measured.select("review_id", F.round("length", 5).alias("length"), F.round("residual", 5).alias("residual"))
+
+
+@query
+def learnt_embedding(spark, sf):
+    """All reviews along the 64 leading directions."""
+    rows = views.sentences(spark, sf).select("review_id", "review_text")
+    vectors = embedding.learnt_embedding(written(rows))
+    return vectors.select("review_id", F.posexplode("embedding").alias("dim", "value"))
+
+
 def _labelled_terms(spark, sf, label: str) -> DataFrame:
     """(id, ``_terms``, label) of every review."""
     rows = views.labeled(spark, sf).select("review_id", "review_text", label)
