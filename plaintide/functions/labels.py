@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -25,7 +26,7 @@ def rating_sentiment(rating: Column, numeric: bool = True) -> Column:
 
 
 def _words(keywords: Sequence[str]) -> Column:
-    return F.array(*[F.lit(k) for k in keywords])
+    return F.array(*[F.lit(k) for k in keywords]).cast("array<string>")
 
 
 def any_keyword(text: Column, keywords: Sequence[str]) -> Column:
@@ -42,6 +43,38 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     return F.size(F.filter(_words(keywords), lambda k: F.contains(text, k)))
 
 
+def phrase(keyword: str) -> str:
+    """The words of a keyword, lower case and one blank apart: 'Wi-Fi' is 'wi fi'."""
+    return " ".join(re.findall(r"\w+", keyword.lower()))
+
+
+def phrases_found(words: Column, keywords: Sequence[str]) -> Column:
+    """The phrases of ``keywords`` that occur in the array ``words`` as whole words, each once.
+
+    One look-up per word in a hash set of all phrases, whatever their number; longer
+    phrases are put together only where their first word stands.
+    """
+    phrases = sorted({phrase(k) for k in keywords} - {""})
+
+    def placed(n: int) -> Column:
+        starts = sorted({p.split(" ")[0] for p in phrases if p.count(" ") + 1 == n})
+        return F.transform(words, lambda w, i: F.when(w.isin(starts), F.concat_ws(" ", F.slice(words, i + 1, n))))
+
+    seen = [words, *[placed(n) for n in sorted({p.count(" ") + 1 for p in phrases} - {1})]]
+    return F.array_intersect(F.concat(*seen), _words(phrases))
+
+
+def first_phrase(found: Column, rules: Mapping[str, Sequence[str]], other: str = "other") -> Column:
+    """Label of the first rule with a keyword among the phrases ``found``."""
+    hits = [F.when(F.arrays_overlap(found, _words([phrase(k) for k in words])), label) for label, words in rules.items()]
+    return F.coalesce(*hits, F.lit(other))
+
+
+def phrase_hits(found: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords are among the phrases ``found``; keywords of the same words count one by one."""
+    return F.size(F.filter(_words([phrase(k) for k in keywords]), lambda k: F.array_contains(found, k)))
+
+
 def first_match(text: Column, rules: Mapping[str, Sequence[str]], other: str = "other") -> Column:
     """Label of the first rule with a keyword in ``text`` (lower case already)."""
     hits = [F.when(any_keyword(text, words), label) for label, words in rules.items()]

@@ -18,6 +18,7 @@ WS = _NARROW + " " + _WIDE
 TAG = r"(?d)<.*?>"
 LINK = rf"http[^{WS}]+|www[^{WS}]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+WORD = r"[\p{L}\p{N}_]+"
 # The same white-space characters, one by one.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Runs of white space that are not already one blank.
@@ -75,6 +76,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def words(c: Column) -> Column:
+    """Lower-case words of any length."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+
+
 def without_stop_words(words: Column, stop: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(stop)))
 

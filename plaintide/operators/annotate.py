@@ -11,6 +11,8 @@ from plaintide.functions import labels, text
 from plaintide.operators.once import once
 from plaintide.schema import BOOTSTRAP_COLUMNS, require_columns
 
+SUBSTRING, WORD = "substring", "word"
+
 
 def with_keyword_label(
     df: DataFrame,
@@ -18,11 +20,12 @@ def with_keyword_label(
     score_col: str,
     rules_table: Mapping[str, Sequence[str]] = rules.ISSUE_KEYWORDS,
     text_col: str = "review_text",
+    mode: str = SUBSTRING,
 ) -> DataFrame:
     """Label with the most keywords in the text, the first one on a tie."""
     names = {label: f"_hits_{label}" for label in rules_table}
     return (
-        with_keyword_hits(df, rules_table, names, text_col)
+        with_keyword_hits(df, rules_table, names, text_col, mode)
         .withColumn(score_col, F.greatest(*names.values()))
         .withColumn(
             label_col,
@@ -36,20 +39,47 @@ def _lowered(df: DataFrame, text_col: str) -> DataFrame:
     return once(df, {"_lower": F.lower(F.coalesce(text_col, F.lit("")))})
 
 
+def _by_words(mode: str) -> bool:
+    if mode not in (SUBSTRING, WORD):
+        raise ValueError(f"mode is {SUBSTRING!r} or {WORD!r}, not {mode!r}")
+    return mode == WORD
+
+
+def _searched(df: DataFrame, rules_table: Mapping[str, Sequence[str]], text_col: str) -> DataFrame:
+    """Rows with ``_found``: the phrases of all rules in the text, which is split once."""
+    keywords = [k for words in rules_table.values() for k in words]
+    split = once(df, {"_words": text.words(F.coalesce(text_col, F.lit("")))})
+    return once(split, {"_found": labels.phrases_found(F.col("_words"), keywords)}).drop("_words")
+
+
 def with_keyword_hits(
     df: DataFrame,
     rules_table: Mapping[str, Sequence[str]],
     names: Mapping[str, str],
     text_col: str = "review_text",
+    mode: str = SUBSTRING,
 ) -> DataFrame:
-    """One count column per label, from a text lowered once."""
+    """One count column per label, from a text lowered once.
+
+    In mode ``word`` 'os' isn't found in 'those': texts are split once and all keywords of
+    all labels looked up together.
+    """
+    if _by_words(mode):
+        counts = {names[label]: labels.phrase_hits(F.col("_found"), words) for label, words in rules_table.items()}
+        return once(_searched(df, rules_table, text_col), counts).drop("_found")
     counts = {names[label]: labels.keyword_hits(F.col("_lower"), words) for label, words in rules_table.items()}
     return once(_lowered(df, text_col), counts).drop("_lower")
 
 
-def with_first_match(df: DataFrame, label_col: str = "issue_label", text_col: str = "review_text") -> DataFrame:
-    """Label of the first rule with any keyword in the text."""
-    label = labels.first_match(F.col("_lower"), rules.FIRST_MATCH_KEYWORDS)
+def with_first_match(
+    df: DataFrame, label_col: str = "issue_label", text_col: str = "review_text", mode: str = SUBSTRING,
+    rules_table: Mapping[str, Sequence[str]] = rules.FIRST_MATCH_KEYWORDS,
+) -> DataFrame:
+    """Label of the first rule with any keyword in the text, as a substring or in mode ``word`` as whole words."""
+    if _by_words(mode):
+        found = _searched(df, rules_table, text_col)
+        return once(found, {label_col: labels.first_phrase(F.col("_found"), rules_table)}).drop("_found")
+    label = labels.first_match(F.col("_lower"), rules_table)
     return once(_lowered(df, text_col), {label_col: label}).drop("_lower")
 
 

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +214,38 @@ def test_sentiment_filter_and_na(spark):
 def test_nothing_is_nan_in_fixed_words():
     assert not any(isinstance(w, float) and math.isnan(w) for w in rules.NA_WORDS)
     assert len(rules.THEME_RULES) == 12 and len(rules.ISSUES) == 11
+
+
+RULES = {
+    "a": ["os", "wi-fi", "not worth it", "Éclair", "!!"],
+    "b": ["those", "wi fi", "worth", "not worth", "a b c"],
+    "c": [],
+    "d": ["wifi", "x_1", "a b", "it"],
+}
+
+
+def _whole_words(value, keywords):
+    line = " " + " ".join(re.findall(r"\w+", (value or "").lower())) + " "
+    return sum(f" {p} " in line for p in (" ".join(re.findall(r"\w+", k.lower())) for k in keywords) if p)
+
+
+def test_keywords_as_whole_words(spark):
+    rng = random.Random(3)
+    pieces = ["os", "those", "wi", "fi", "-", " ", " ", "not", "worth", "it", "éclair", "ÉCLAIR", "a", "b", "c", "x_1", "!!", "\n", "wifi", "."]
+    texts = [None, "", " ", "!!", "those", "OS", "os.", "not worth", "a b", "a b c"] + ["".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, review_text STRING")
+    hit = annotate.with_keyword_hits(rows, RULES, {k: f"n_{k}" for k in RULES}, mode="word")
+    first = annotate.with_first_match(hit, mode="word", rules_table=RULES)
+    best = annotate.with_keyword_label(first, "best", "score", RULES, mode="word")
+    for r in best.collect():
+        want = {k: _whole_words(r.review_text, words) for k, words in RULES.items()}
+        assert {k: r[f"n_{k}"] for k in RULES} == want, r.review_text
+        assert r.issue_label == next((k for k, n in want.items() if n), "other")
+        top = max(want.values())
+        assert (r.best, r.score) == (next(k for k in want if want[k] == top) if top else "other", top)
+
+
+def test_unknown_mode(spark):
+    rows = spark.createDataFrame([("x",)], "review_text STRING")
+    with pytest.raises(ValueError):
+        annotate.with_first_match(rows, mode="words")

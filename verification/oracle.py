@@ -6,6 +6,8 @@ fixed values (labels, keywords, texts) taken from the rule tables.
 
 from __future__ import annotations
 
+import re
+
 from plaintide import rules
 from plaintide.plans import reports
 from verification import queries as q
@@ -61,6 +63,11 @@ def found(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")"
 
 
+def whole(words) -> list[str]:
+    """Keywords as whole words between blanks."""
+    return [" " + " ".join(re.findall(r"\w+", w.lower())) + " " for w in words]
+
+
 def first_match(text: str) -> str:
     whens = " ".join(f"WHEN {found(text, words)} THEN {lit(x)}" for x, words in rules.FIRST_MATCH_KEYWORDS.items())
     return f"CASE {whens} ELSE 'other' END"
@@ -359,6 +366,20 @@ add("token_ngrams", "bag", """
 add("issue_first_match", "labeled", "SELECT review_id, issue_label FROM labeled")
 add("issue_keyword_score", "ruled", """
   SELECT review_id, rule_issue_label AS rule_label, rule_score, keyword_guess_label AS guess_label, guess_score FROM ruled""")
+CTES["word_lines"] = """
+  SELECT review_id, ' ' || array_to_string(regexp_extract_all(lower(review_text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS line FROM sentences """
+CTES["word_hits"] = "SELECT *, " + ", ".join(
+    f"greatest({', '.join(f'{tag}{i}' for i in range(len(table)))}) AS {score}" for tag, score, table in (
+        ("h", "rule_score", rules.ISSUE_KEYWORDS), ("g", "guess_score", rules.GUESS_KEYWORDS))
+) + " FROM (SELECT review_id, line, " + ", ".join(
+    f"{hits('line', whole(words))} AS {tag}{i}"
+    for tag, table in (("h", rules.ISSUE_KEYWORDS), ("g", rules.GUESS_KEYWORDS)) for i, words in enumerate(table.values())
+) + " FROM word_lines )"
+add("issue_word_score", "word_hits", f"""
+  SELECT review_id, CASE {" ".join(f"WHEN {found('line', whole(words))} THEN {lit(x)}" for x, words in rules.FIRST_MATCH_KEYWORDS.items())}
+      ELSE 'other' END AS issue_label,
+    {best('h', rules.ISSUE_KEYWORDS, 'rule_score')} AS rule_label, rule_score,
+    {best('g', rules.GUESS_KEYWORDS, 'guess_score')} AS guess_label, guess_score FROM word_hits""")
 add("fill_issue_label", "ruled", """
   SELECT review_id, CASE WHEN review_id % 4 = 1 THEN 'screen' ELSE rule_issue_label END AS issue_label FROM ruled""")
 add("annotation_bootstrap", "flagged", "SELECT * FROM flagged")

@@ -202,6 +202,15 @@ def issue_keyword_score(spark, sf):
     return both.select("review_id", "rule_label", "rule_score", "guess_label", "guess_score")
 
 
+@query
+def issue_word_score(spark, sf):
+    """Issue labels when keywords match whole words only."""
+    rows = annotate.with_first_match(views.sentences(spark, sf), mode="word")
+    rows = annotate.with_keyword_label(rows, "rule_label", "rule_score", mode="word")
+    both = annotate.with_keyword_label(rows, "guess_label", "guess_score", rules.GUESS_KEYWORDS, mode="word")
+    return both.select("review_id", "issue_label", "rule_label", "rule_score", "guess_label", "guess_score")
+
+
 @query
 def fill_issue_label(spark, sf):
     kind = F.col("review_id") % 4
