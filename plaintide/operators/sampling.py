@@ -111,16 +111,23 @@ def sentiment_targets(total: int) -> dict[str, int]:
     return dict(zip(rules.SENTIMENTS, [negative, neutral, total - negative - neutral]))
 
 
-def annotation_sample(df: DataFrame, total: int = 2000, seed: int = 42, ident: str = "review_id") -> DataFrame:
+def annotation_candidates(df: DataFrame, ident: str = "review_id") -> DataFrame:
+    """(id, sentiment, issue) of every row that may be annotated; missing issues come from keywords."""
+    require_columns(df, [ident, "review_text", "rating", "sentiment_label", "issue_label"])
+    usable = fill_issue_label(usable_reviews(df)).withColumnRenamed("issue_label", "rule_issue_label")
+    return usable.filter(F.col("sentiment_label").isin(rules.SENTIMENTS)).select(ident, "sentiment_label", "rule_issue_label")
+
+
+def annotation_sample(
+    df: DataFrame, total: int = 2000, seed: int = 42, ident: str = "review_id", candidates: DataFrame | None = None
+) -> DataFrame:
     """Sample for annotators: sentiment quotas, issues spread evenly, ids in random order.
 
     At most ``total`` rows per (sentiment, issue) can be drawn, so the ranking steps see a
-    table whose size the parameters fix.  Labels are read twice, to count and to rank.
+    table whose size the parameters fix.  The candidates are read twice, to count and to
+    rank: a job gives them as a table, so that texts are searched for keywords once.
     """
-    require_columns(df, [ident, "review_text", "rating", "sentiment_label", "issue_label"])
-    usable = fill_issue_label(usable_reviews(df)).withColumnRenamed("issue_label", "rule_issue_label")
-    usable = usable.filter(F.col("sentiment_label").isin(rules.SENTIMENTS))
-    narrow = usable.select(ident, "sentiment_label", "rule_issue_label")
+    narrow = annotation_candidates(df, ident) if candidates is None else candidates
 
     groups = ["sentiment_label", "rule_issue_label"]
     drawn = first_by_hash(narrow, ident, total, groups, seed)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from plaintide import rules
 from plaintide.operators import annotate, distributions as dist, metrics, sampling
+from plaintide.session import written
 from plaintide.sources.writers import write_table
 
 
@@ -30,10 +31,15 @@ def distribution_job(clean: DataFrame, out: str) -> DataFrame:
     return labeled
 
 
+def annotation_sample(clean: DataFrame, total: int = 2000, seed: int = 42) -> DataFrame:
+    """The sample of ``sampling.annotation_sample``, with the labels of all rows written once."""
+    return sampling.annotation_sample(clean, total, seed, candidates=written(sampling.annotation_candidates(clean)))
+
+
 def annotation_job(clean: DataFrame, out: str, total: int = 2000, seed: int = 42) -> DataFrame:
     """Draw the annotation sample, give it starting labels and flag what to look at."""
     spark = clean.sparkSession
-    write_table(sampling.annotation_sample(clean, total, seed), f"{out}/annotation_sample")
+    write_table(annotation_sample(clean, total, seed), f"{out}/annotation_sample")
     sample = spark.read.parquet(f"{out}/annotation_sample")
     write_table(annotate.flag_for_review(sample), f"{out}/annotation_bootstrap")
     flagged = spark.read.parquet(f"{out}/annotation_bootstrap")

@@ -18,7 +18,7 @@ from plaintide.operators import (
     annotate, cleaning, clusters, distributions as dist, metrics, priority, sampling, scoring, themes,
 )
 from plaintide.operators.ids import dense_id
-from plaintide.plans import assignment, embedding, insight, keywords, reports, training
+from plaintide.plans import annotation, assignment, embedding, insight, keywords, reports, training
 from plaintide.schema import id_label, label_id
 from plaintide.session import shared_folder, written
 from verification import views
@@ -300,7 +300,7 @@ def stratified_sample(spark, sf):
 
 @query
 def annotation_sample(spark, sf):
-    return sampling.annotation_sample(written(views.clean_reviews(spark, sf)), SAMPLE)
+    return annotation.annotation_sample(written(views.clean_reviews(spark, sf)), SAMPLE)
 
 
 @query
