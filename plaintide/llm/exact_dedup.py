@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plaintide.llm.common import row_texts, written
 
@@ -54,14 +54,16 @@ def _blocks(size: int):
 
 
 def _named_blocks(texts: DataFrame, size: int) -> DataFrame:
-    """(row, place, name): equal blocks sort together; the first of a run names it."""
+    """(row, place, name): distinct blocks are sorted and named, then names go back to where the blocks stand.
+
+    A block is one row when it gets its name, however many texts share it; the lists of
+    places of a common block meet that row in a join, which Spark can split.
+    """
     blocks = texts.mapInArrow(_blocks(size), BLOCKS)
-    run = Window.partitionBy("block")
+    # Names differ from run to run of a task, so they are fixed by a table before use.
+    known = written(blocks.select("block").distinct().sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id()))
     return (
-        blocks.repartition("block")
-        .sortWithinPartitions("block")
-        .withColumn("at", F.monotonically_increasing_id())
-        .withColumn("name", F.min("at").over(run))
+        blocks.join(known, "block")
         .select("name", F.explode(F.arrays_zip("rows", "places")).alias("o"))
         .select(F.col("o.rows").alias("row"), F.col("o.places").alias("place"), "name")
     )
