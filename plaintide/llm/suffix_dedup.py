@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plaintide.llm.common import fresh, row_texts, sieve, written
 
@@ -299,17 +299,17 @@ def _repeats(spans: np.ndarray, starts: np.ndarray, passage: int) -> np.ndarray:
 
 def repeated_passages(texts: DataFrame, passage: int = PASSAGE, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """For (row, text): (row, spans) of phrases that repeat or may, and (row, starts) of the repeated suffixes of the latter."""
-    by_context, by_trigger = Window.partitionBy("g", "k"), Window.partitionBy("g")
-    ordered = (
-        _parsed(texts, passage, span)
-        .withColumns({"nk": F.sum("n").over(by_context), "model": F.min("entries").over(by_context)})
-        .withColumns({"ng": F.sum("n").over(by_trigger), "low": F.min("k").over(by_trigger), "high": F.max("k").over(by_trigger)})
-        .filter(F.col("ng") > 1)
-    )
-    mixed = F.col("low") != F.col("high")
+    parsed = written(_parsed(texts, passage, span))
+    # contexts and triggers are counted as numbers; only entries that may repeat are moved, by a join that Spark can split
+    mark = F.xxhash64("entries")
+    contexts = parsed.groupBy("g", "k").agg(F.sum("n").alias("nk"), F.min(mark).alias("model"))
+    triggers = contexts.groupBy("g").agg(F.sum("nk").alias("ng"), (F.min("k") != F.max("k")).alias("mixed")).filter(F.col("ng") > 1)
+    shared = written(contexts.join(triggers.select("g", "mixed"), "g"))
+    ordered = sieve(parsed, shared, "g").filter("_maybe").drop("_maybe").join(shared, ["g", "k"])
+    mixed = F.col("mixed")
     states = F.array_compact(F.array(
         F.when(F.col("nk") > 1, FULL).otherwise(EDGE),
-        F.when((F.col("nk") > 1) & mixed & (F.col("entries") == F.col("model")), MODEL),
+        F.when((F.col("nk") > 1) & mixed & (mark == F.col("model")), MODEL),
     ))
     flagged = ordered.select(F.explode(states).alias("state"), "entries")
     # of a context's occurrences, one entry of one task's suffices as the model
