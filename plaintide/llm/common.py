@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plaintide.session import shared_folder
+
 SIEVE_WORD_BITS = 20
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else Spark's warehouse; the cluster shares both."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``, else Spark's warehouse; an error where no machine but the driver's has it."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame) -> DataFrame:
