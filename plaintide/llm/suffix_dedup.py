@@ -300,16 +300,18 @@ def _repeats(spans: np.ndarray, starts: np.ndarray, passage: int) -> np.ndarray:
 def repeated_passages(texts: DataFrame, passage: int = PASSAGE, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """For (row, text): (row, spans) of phrases that repeat or may, and (row, starts) of the repeated suffixes of the latter."""
     parsed = written(_parsed(texts, passage, span))
-    # contexts and triggers are counted as numbers; only entries that may repeat are moved, by a join that Spark can split
+    # triggers are counted as numbers, contexts only of triggers with several; only entries that may repeat are moved, by a join that Spark can split
     mark = F.xxhash64("entries")
-    contexts = parsed.groupBy("g", "k").agg(F.sum("n").alias("nk"), F.min(mark).alias("model"))
-    triggers = contexts.groupBy("g").agg(F.sum("nk").alias("ng"), (F.min("k") != F.max("k")).alias("mixed")).filter(F.col("ng") > 1)
-    shared = written(contexts.join(triggers.select("g", "mixed"), "g"))
+    triggers = parsed.groupBy("g").agg(F.sum("n").alias("ng"), F.min("k").alias("low"), F.max("k").alias("high"))
+    triggers = written(triggers.filter(F.col("ng") > 1))
+    single = triggers.filter("low = high").select("g", F.col("low").alias("k"), F.col("ng").alias("nk"), F.lit(None).cast("bigint").alias("model"))
+    several = triggers.filter("low != high").select("g")
+    contexts = sieve(parsed, several, "g").filter("_maybe").groupBy("g", "k").agg(F.sum("n").alias("nk"), F.min(mark).alias("model"))
+    shared = written(single.unionByName(contexts.join(several, "g", "left_semi")))
     ordered = sieve(parsed, shared, "g").filter("_maybe").drop("_maybe").join(shared, ["g", "k"])
-    mixed = F.col("mixed")
     states = F.array_compact(F.array(
         F.when(F.col("nk") > 1, FULL).otherwise(EDGE),
-        F.when((F.col("nk") > 1) & mixed & (mark == F.col("model")), MODEL),
+        F.when((F.col("nk") > 1) & (mark == F.col("model")), MODEL),
     ))
     flagged = ordered.select(F.explode(states).alias("state"), "entries")
     # of a context's occurrences, one entry of one task's suffices as the model
