@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from plaintide import rules
 from plaintide.functions.text import parse_double
 from plaintide.operators.cleaning import normalize_na
+from plaintide.sources.quoted_csv import read_quoted
 
 BOM = "﻿"
 FILE_BITS = 40
@@ -22,12 +23,14 @@ def read_reviews(
     schema: str | T.StructType | None = None,
     multi_line: bool = True,
     ordinal: str | None = None,
+    split: bool = False,
 ) -> DataFrame:
     """CSV with a header; cells may hold quoted line ends, columns are found by name.
 
     Missing-value words become null and the columns named in ``schema`` get its
-    types (null where a cell does not fit).  A file with line ends inside cells
-    cannot be split, so large inputs should come as many files.  ``ordinal`` names a
+    types (null where a cell does not fit).  Spark's reader takes a file with line ends inside cells as
+    one task; with ``split`` a file is read by many tasks, if its quotes enclose whole cells
+    and its columns are those of the first file.  ``ordinal`` names a
     column that is unique and ascends by file name and position, with gaps.
     """
     raw = (
@@ -38,9 +41,11 @@ def read_reviews(
         .csv(path)
     )
     names = [c.removeprefix(BOM) for c in raw.columns]
-    if ordinal:
+    if split:
+        raw = read_quoted(spark, path, names, ordinal, FILE_BITS)
+    elif ordinal:
         raw = _numbered(raw, ordinal)
-        names.append(ordinal)
+    names += [ordinal] if ordinal else []
     typed = normalize_na(raw.toDF(*names), [c for c in names if c != ordinal])
     if schema is None:
         return typed

@@ -709,6 +709,8 @@ add("streamed_feedback", "reviews", f"""
   SELECT ordinal, CASE WHEN coalesce(t, '') = '' THEN 'blank review text' END AS reason,
     CASE WHEN coalesce(t, '') <> '' THEN {first_match('lower(t)')} END AS issue_label,
     CASE WHEN coalesce(t, '') <> '' THEN {sentiment('rating')} END AS rating_label, 1::BIGINT AS times FROM c""")
+add("split_csv", "", """
+  SELECT doc_id, source, length(coalesce(text, ''))::INT AS n_chars, md5(coalesce(text, '')) AS digest, 1::BIGINT AS same_ordinal FROM documents""")
 add("sentiment_test_rows", "clean_reviews", """
   , c AS (SELECT sentiment_label, count(*) AS n FROM clean_reviews GROUP BY 1),
   t AS (SELECT sum(n) AS total, sum(n) - ceil(0.2::DOUBLE * sum(n)) AS draws FROM c),

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plaintide import rules, streaming
 from plaintide.functions import labels, text
@@ -21,6 +21,7 @@ from plaintide.operators.ids import dense_id
 from plaintide.plans import annotation, assignment, embedding, insight, keywords, reports, training
 from plaintide.schema import id_label, label_id
 from plaintide.session import shared_folder, written
+from plaintide.sources.readers import read_reviews
 from verification import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -822,6 +823,18 @@ def streamed_feedback(spark, sf):
     return scored.unionByName(rejected).groupBy("ordinal", "reason", "issue_label", "rating_label").agg(F.count(F.lit(1)).alias("times"))
 
 
+@query
+def split_csv(spark, sf):
+    """Documents written as CSV with line ends in their cells, read back by many tasks for each file."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = views.table(spark, sf, "documents").select("doc_id", "source", "text")
+    rows.coalesce(2).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    back = read_reviews(spark, folder, "doc_id BIGINT", ordinal="ordinal", split=True)
+    body = F.coalesce("text", F.lit(""))
+    same = F.count(F.lit(1)).over(Window.partitionBy("ordinal")).alias("same_ordinal")
+    return back.select("doc_id", "source", F.length(body).alias("n_chars"), F.md5(body.cast("binary")).alias("digest"), same)
+
+
 @query
 def feedback_by_saved_models(spark, sf):
     """Both models trained, saved, loaded and applied to reviews of which some are blank."""
