@@ -15,8 +15,8 @@ from plaintide.operators.scoring import with_softmax
 
 def class_term_counts(docs: DataFrame, vocabulary: DataFrame, label: str) -> DataFrame:
     """(label, term, n): occurrences of each term of the vocabulary in the ``_terms`` of each class."""
-    terms = docs.select(F.col(label).alias("label"), F.explode("_terms").alias("term"))
-    return terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n")).join(vocabulary.select("term"), "term")
+    terms = docs.select(F.col(label).alias("label"), F.explode("_terms").alias("term")).join(vocabulary.select("term"), "term")
+    return terms.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _of_labels(labels: Sequence[str], value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -144,3 +145,22 @@ def test_reseed(spark, points):
     assert got[1].center == values[first].tolist() and got[1].n == 80
     assert got[0].n == 500 and got[2].center == [4.0, 4.0, 4.0]
     assert assignment.reseed(state.filter("cluster_id <> 1"), rows, assignment._key(42, 7, "vec_id"), "vec_id").count() == 2
+
+
+def shuffles(df):
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rare_terms_stay(spark):
+    """Vectors are shuffled once, by id, and class counts after the vocabulary has dropped the other terms."""
+    docs = written(spark.createDataFrame([(1, ["a", "a", "b", "x"], "p"), (1, ["a"], "q"), (None, ["b"], "p"), (2, ["x"], None), (3, None, "q")], "review_id bigint, _terms array<string>, label string"))
+    vocabulary = written(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, idf double"))
+    vectors = training.tfidf_vectors(docs, vocabulary)
+    assert len(shuffles(vectors)) == 1
+    got = {(r.review_id, r.term): r.weight for r in vectors.collect()}
+    assert got == pytest.approx({(1, "a"): 3 / 13**0.5, (1, "b"): 2 / 13**0.5, (None, "b"): 1.0})
+    counts = linear.class_term_counts(docs, vocabulary, "label")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")
+    assert {(r.label, r.term): r.n for r in counts.collect()} == {("p", "a"): 2, ("p", "b"): 2, ("q", "a"): 1}
+    assert {(r.term, r.tf, r.df) for r in training._count_terms(training._occurrences(docs)).collect()} == {("a", 3, 2), ("b", 2, 2), ("x", 2, 2)}
