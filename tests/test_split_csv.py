@@ -66,3 +66,20 @@ def test_records_stay_where_they_are(spark, tmp_path, small_blocks):
     write(tmp_path / "a.csv", [(str(i), "x\n" * (i % 7), "y") for i in range(300)])
     numbers = [r.record_no for r in quoted_csv.records(spark, str(tmp_path)).select("record_no").collect()]
     assert sorted(numbers) == list(range(1, 302))
+
+
+def test_large_tables_in_more_parts(spark):
+    """Rows are dealt into parts by their size, not only one for each core."""
+    from verification import views
+
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for key, value in zip(keys, ["100000", "10000", "40"]):
+            spark.conf.set(key, value)
+        rows = views.spread(spark.range(20_000).selectExpr("id", "repeat(md5(string(id)), 4) AS text"), "id")
+        assert rows.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+        assert rows.count() == 20_000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

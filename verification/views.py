@@ -25,8 +25,8 @@ KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The fixtures are single files: deal their rows to the cores."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    """The fixtures are single files: deal their rows to the cores, of large ones in more parts than there are cores."""
+    return df.repartition(*keys) if keys else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
