@@ -814,8 +814,9 @@ def streamed_feedback(spark, sf):
     """All reviews scored or rejected by streams that are stopped after a batch and started again; each row once."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = views.reviews(spark, sf)
-    rows.write.parquet(f"{folder}/in")
-    batch = max(1, len(spark.read.parquet(f"{folder}/in").inputFiles()) // 4)
+    files = max(4, views.text_bytes(spark, sf) >> 26)
+    rows.repartition(files).write.parquet(f"{folder}/in")
+    batch = -(-files // 4)
     streaming.feedback_stream(spark, f"{folder}/in", rows.schema, folder, files_per_batch=batch, stop_after=1)
     streaming.feedback_stream(spark, f"{folder}/in", rows.schema, folder, files_per_batch=batch)
     scored = spark.read.parquet(f"{folder}/feedback").select("ordinal", F.lit(None).cast("string").alias("reason"), "issue_label", "rating_label")
@@ -828,9 +829,8 @@ def streamed_feedback(spark, sf):
 def split_csv(spark, sf):
     """Documents written as CSV with line ends in their cells, read back by many tasks for each file."""
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    rows = views.table(spark, sf, "documents").select("doc_id", "source", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows.coalesce(max(2, size >> 28)).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    rows = views.read_table(spark, f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    rows.repartition(max(2, views.text_bytes(spark, sf) >> 28)).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
     back = read_reviews(spark, folder, "doc_id BIGINT", ordinal="ordinal", split=True)
     body = F.coalesce("text", F.lit(""))
     same = F.count(F.lit(1)).over(Window.partitionBy("ordinal")).alias("same_ordinal")

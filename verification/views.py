@@ -39,6 +39,11 @@ def counted(spark: SparkSession, sf_dir: str, name: str):
     return read_table(spark, f"{sf_dir}/{name}.parquet").agg(F.count(F.lit(1))).scalar()
 
 
+def text_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of all texts of ``documents``, to choose a number of files."""
+    return read_table(spark, f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per document, of the products in turn."""
     documents = table(spark, sf_dir, "documents").withColumn("_part", F.col("doc_id") % counted(spark, sf_dir, "part"))
