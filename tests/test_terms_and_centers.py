@@ -91,3 +91,20 @@ def test_more_centers_than_one_value_holds(spark):
     table = centers.orderBy("cluster_id").toPandas()
     known = np.stack(table.center.to_numpy())
     assert got == {i: int(np.argmin(((known - v) ** 2).sum(1))) for i, v in enumerate(values)}
+
+
+def test_terms_of_reviews(spark):
+    """Words and pairs of neighbours, put together without a lambda that Spark interprets."""
+    rows = [(0, ["a", "b", "a", "b"]), (0, ["b"]), (1, []), (1, None), (2, ["x", "y"])]
+    terms = clusters.term_occurrences(spark.createDataFrame(rows, "cluster_id int, _words array<string>"))
+    want = [(c, t) for c, w in rows for t in [*(w or []), *map(" ".join, zip(w or [], (w or [])[1:]))]]
+    assert sorted(tuple(r) for r in terms.collect()) == sorted(want)
+    assert "lambda" not in terms._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corrections_read_the_flagged_table(spark):
+    """Texts are cleaned and searched once, not for the labels and again for the corrections."""
+    from verification import queries
+
+    files = queries.QUERIES["apply_corrections"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "documents" in f]

@@ -232,7 +232,8 @@ def review_queue_summary(spark, sf):
 
 @query
 def apply_corrections(spark, sf):
-    flagged = annotate.flag_for_review(views.annotated(spark, sf))
+    columns = ["review_id", "manual_issue_label", "keyword_guess_label", "review_reason"]
+    flagged = written(annotate.flag_for_review(views.annotated(spark, sf)).select(*columns))  # read as labels and as corrections
     corrections = flagged.filter(F.col("review_reason") == rules.REASON_CONFLICT).select(
         "review_id", F.col("keyword_guess_label").alias("corrected_label")
     )
