@@ -157,7 +157,8 @@ def judged_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     order of document id, null ids last, then row, then number, so one of repeated rows is the
     first.  A line goes when an equal line or a linked line comes before it.
     """
-    lines = lines_of(docs, id_col, text, min_chars)
+    # five passes read the lines: texts are split and hashed once
+    lines = written(lines_of(docs, id_col, text, min_chars))
     near = links(lines, threshold)
     narrow = lines.select("place", "h1", "h2")
     classes = narrow.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies"))
