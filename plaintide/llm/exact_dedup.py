@@ -14,11 +14,12 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plaintide.llm.common import row_texts, written
+from plaintide.llm.common import row_texts, sieve, written
 
 #: The characters that don't count.
 BLANKS = r"[\x20\x09-\x0D]+"
 GATHER_BYTES = 16 << 20
+NONE = -1  # the name that stands for no neighbour
 BLOCKS = "block binary, rows array<bigint>, places array<int>"
 
 
@@ -57,24 +58,31 @@ def _named_blocks(texts: DataFrame, size: int) -> DataFrame:
     """(row, place, name): distinct blocks are sorted and named, then names go back to where the blocks stand.
 
     A block is one row when it gets its name, however many texts share it; the lists of
-    places of a common block meet that row in a join, which Spark can split.
+    places of a common block meet that row in a join, which Spark can split.  A block whose
+    hash no other has equals no other, so it gets a name where it is read and doesn't move.
     """
-    blocks = texts.mapInArrow(_blocks(size), BLOCKS)
+    blocks = texts.mapInArrow(_blocks(size), BLOCKS).withColumn("hash", F.xxhash64("block"))
+    shared = written(blocks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    # below zero, so that they differ from the names of blocks that are sorted and from NONE
+    own = NONE - 1 - F.monotonically_increasing_id()
+    held = written(sieve(blocks, shared, "hash").select(F.when(F.col("_maybe"), F.col("block")).alias("block"), "rows", "places", own.alias("name")))
     # Names differ from run to run of a task, so they are fixed by a table before use.
-    known = written(blocks.select("block").distinct().sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id()))
+    common, alone = held.filter(F.col("block").isNotNull()).drop("name"), held.filter(F.col("block").isNull()).select("name", "rows", "places")
+    known = written(common.select("block").distinct().sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id()))
+    named = common.join(known, "block").select("name", "rows", "places")
     return (
-        blocks.join(known, "block")
+        named.unionByName(alone)
         .select("name", F.explode(F.arrays_zip("rows", "places")).alias("o"))
         .select(F.col("o.rows").alias("row"), F.col("o.places").alias("place"), "name")
     )
 
 
 def _named_pairs(names: DataFrame) -> DataFrame:
-    """(row, place, name) one level up.  A last name without a neighbour pairs with none (-1)."""
+    """(row, place, name) one level up.  A last name without a neighbour pairs with NONE."""
     half = F.shiftright("place", 1)
     pairs = names.groupBy("row", half.alias("place")).agg(
         F.min(F.when(F.col("place") % 2 == 0, F.col("name"))).alias("a"),
-        F.coalesce(F.min(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
+        F.coalesce(F.min(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(NONE)).alias("b"),
     )
     known = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b")
     # Names differ from run to run of a task, so they are fixed by a table before use.
