@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,6 +45,21 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+_remembered: dict = {}
+
+
+def worker_memory(owner: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task; it goes when another owner's tasks ask for theirs.
+
+    Spark hands a worker from one job to the next, so without this the memory of an operator that has
+    ended would stay in the executor as long as the worker lives.
+    """
+    if owner not in _remembered:
+        _remembered.clear()
+        _remembered[owner] = make()
+    return _remembered[owner]
+
+
 def _bit(key: str) -> tuple[Column, Column]:
     """Word and mask of a key's bit among 2**26."""
     h = F.xxhash64(key)

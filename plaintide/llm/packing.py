@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from plaintide.llm.common import worker_memory
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 STOPS = (".", "!", "?", "\n", "。", "！", "？", "…")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"  # a run of them behind letters is parted from these; an apostrophe needn't be
@@ -65,10 +67,9 @@ def _word_tokenizer(path: str):
     return Tokenizer.from_str(json.dumps(parts)), ends
 
 
-@functools.lru_cache(maxsize=1)
 def worker_chunks(path: str) -> Chunks:
     """The chunks of this Python worker, which the tasks that it runs one after the other share."""
-    return Chunks(path)
+    return worker_memory(("packing", path), lambda: Chunks(path))
 
 
 def _numbers() -> defaultdict:

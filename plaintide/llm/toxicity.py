@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from plaintide.llm.common import worker_memory
+
 EDGES = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 0xBF, 0xA1, 0xAB, 0xBB, *range(0x2010, 0x2027)]))
 PREFIXES = (3, 4, 5, 6)
 DRIFT = 1.0  # taken off each token's score, so that segments in clean text stay short
@@ -184,6 +186,7 @@ def _count(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents by class and feature.  Tasks send one row per feature they met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(("toxicity",), dict)  # what another operator left in this worker goes
         toxic, clean = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
         for batch in batches:
             words, seen = Words(), {0: [], 1: []}
@@ -330,6 +333,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(("toxicity",), dict)
         scorer = Scorer(sent.value)
         for batch in batches:
             out, found = [], []

@@ -40,6 +40,18 @@ def test_exact_hot_group(spark, tmp_path):
     assert sum(r.kept for r in got) == 201
 
 
+def test_blocks_without_a_partner_stay(spark, tmp_path, monkeypatch):
+    """Only blocks whose hash occurs twice are sorted and named; names differ exactly where blocks do."""
+    rows = [(i, f"own text {i} " * 9) for i in range(40)] + [(50 + i, "shared " * 20) for i in range(3)] + [(60, ""), (61, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    tables, keep = [], exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df: tables.append(keep(df)) or tables[-1])
+    got = exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert [t.filter("block IS NOT NULL").select("block").distinct().count() for t in tables if "block" in t.columns] == [2, 2]
+    sizes = {r.doc_id: r.group_size for r in got}
+    assert sizes == {i: 1 if i < 40 else 3 if i < 60 else 2 for i, _ in rows}
+
+
 def edits(a, b):
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
@@ -101,6 +113,17 @@ def test_lines(spark, tmp_path):
     assert {100, 101} <= {r.doc_id for r in left}
 
 
+def test_lines_are_split_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"one line that all share\nline of document number {i}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    tables, keep = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df: tables.append(keep(df)) or tables[-1])
+    got = line_dedup.judged_lines(spark.read.parquet(str(tmp_path / "d")))
+    assert not [f for f in got.inputFiles() if f"{tmp_path}/" in f]
+    assert sum("line" in t.columns and t.count() == 40 for t in tables) == 1
+    assert sorted(r.copies for r in got.collect()) == [1] * 20 + [20] * 20
+
+
 def test_lines_odd(odd, nothing):
     got = line_dedup.judged_lines(odd).select("place.id", "place.line_no", "first.id", "first.line_no", "copies", "n_links", "kept").collect()
     rows = [(r.doc_id, r.text) for r in odd.collect() if len(r.text or "") < 20_000]
@@ -290,3 +313,13 @@ def test_sieve_loses_no_partner(spark):
     got = {r.k: r._maybe for r in sieve(rows, keys, "k").collect()}
     assert len(got) == 2000 and all(got[k] for k in range(0, 2000, 7)) and sum(got.values()) < 320
     assert not any(r._maybe for r in sieve(rows, keys.filter("k < 0"), "k").collect())
+
+
+def test_a_worker_remembers_for_one_operator(monkeypatch):
+    from plaintide.llm import common
+
+    monkeypatch.setattr(common, "_remembered", {})
+    first = common.worker_memory(("packing", "a"), dict)
+    assert common.worker_memory(("packing", "a"), list) is first
+    common.worker_memory(("toxicity",), dict)
+    assert list(common._remembered) == [("toxicity",)] and common.worker_memory(("packing", "a"), list) is not first
