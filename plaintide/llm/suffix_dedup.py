@@ -29,7 +29,8 @@ SPAN = 96  # starts that share a trigger, at most; a phrase's length must fit a
 GRAM = 8
 PIECE = 1 << 20  # starts of one text that are parsed at a time
 GATHER_BYTES = 24 << 20
-PART_ROWS = 1 << 20  # suffixes that are put in order together, about
+PART_ROWS = 1 << 18  # suffixes that are put in order together, about
+EMIT_ROWS = 1 << 19  # suffixes that a task holds before it sends them on, about
 ENTRY = np.dtype([("row", "<i8"), ("start", "<u4"), ("more", "u1")])
 SUFFIX = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("row", "<i8"), ("start", "<u4")])
 PLACE = np.dtype([("row", "<i8"), ("start", "<u4")])
@@ -227,7 +228,7 @@ def _suffixes(passage: int, parts: int):
                 out[2].append(np.where(model, -1, row))
                 out[3].append(start)
                 held += len(start)
-                if held >= PART_ROWS:
+                if held >= EMIT_ROWS:
                     yield emit(out)
                     out, held = [[], [], [], []], 0
         if held:
@@ -236,11 +237,19 @@ def _suffixes(passage: int, parts: int):
     return run
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-    """(part, known blobs, other blobs) of rows that come sorted by part."""
+def _views(column: pa.Array) -> Iterator[pa.Buffer]:
+    """The bytes of each row without a copy; Arrow's scalars copy theirs."""
+    _, offsets, data = column.buffers()
+    width = "<i8" if pa.types.is_large_binary(column.type) else "<i4"
+    ends = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].tolist()
+    return (data.slice(a, b - a) for a, b in zip(ends, ends[1:]))
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Buffer], list[pa.Buffer]]]:
+    """(part, known blobs, other blobs) of rows that come sorted by part; blobs are views of the batch, not copies."""
     here, known, blobs = None, [], []
     for batch in batches:
-        for part, is_known, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for part, is_known, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2))):
             if part != here and here is not None:
                 yield here, known, blobs
                 known, blobs = [], []
@@ -250,12 +259,12 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
         yield here, known, blobs
 
 
-def _columns(blobs: list[bytes], kind: np.dtype) -> list[np.ndarray]:
+def _columns(blobs: list[pa.Buffer], kind: np.dtype) -> list[np.ndarray]:
     """The columns of packed records, each over all blobs."""
     out = []
     for name in kind.names:
         field, at = kind.fields[name]
-        out.append(np.concatenate([np.frombuffer(b, field, len(b) // kind.itemsize, at * (len(b) // kind.itemsize)) for b in blobs]))
+        out.append(np.concatenate([np.frombuffer(b, field, b.size // kind.itemsize, at * (b.size // kind.itemsize)) for b in blobs]))
     return out
 
 
@@ -264,7 +273,7 @@ def _judged(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, known, blobs in _by_part(batches):
-            found = [(part, True, b) for b in known]
+            found = [(part, True, b.to_pybytes()) for b in known]
             if blobs:
                 w1, w2, row, start = _columns(blobs, SUFFIX)
                 order, run, repeated = _runs(w1, w2, row)

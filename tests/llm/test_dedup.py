@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest_words import words
@@ -235,6 +237,22 @@ def test_passages_spliced(spark, tmp_path, seed):
     assert {r.doc_id: (bytes(r.kept), len(r.spans)) for r in got} == dict(enumerate(want))
 
 
+def test_parts_of_suffixes_are_small():
+    """A part's suffixes are a few MB, and its blobs are views of the batch they came in."""
+    assert suffix_dedup.PART_ROWS * suffix_dedup.SUFFIX.itemsize <= 8 << 20
+    values = np.zeros(50_000, suffix_dedup.SUFFIX)
+    values["w1"] = np.arange(50_000) // 2 * 7
+    values["row"], values["start"] = np.arange(50_000) % 11, np.arange(50_000)
+    half = lambda v: b"".join(v[c].tobytes() for c in v.dtype.names)
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3, 4]), pa.array([False, False, False]), pa.array([half(values[:25_000]), half(values[25_000:49_999]), half(values[49_999:])], pa.binary())], names=["part", "known", "blob"])
+    data = batch.column(2).buffers()[2]
+    parts = list(suffix_dedup._by_part(iter([batch])))
+    assert [(p, len(k), len(b)) for p, k, b in parts] == [(3, 0, 2), (4, 0, 1)]
+    assert all(data.address <= b.address and b.address + b.size <= data.address + data.size for _, _, blobs in parts for b in blobs)
+    found = [b for out in suffix_dedup._judged(5)(iter([batch])) for b in out.column(2).to_pylist()]
+    assert sum(len(b) for b in found) == 49_998 * suffix_dedup.PLACE.itemsize
+
+
 def test_passages_of_long_texts(spark, tmp_path):
     rng = random.Random(9)
     long = words(rng, 3000)
