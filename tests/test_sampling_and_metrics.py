@@ -126,6 +126,22 @@ def test_stratified_split(spark, bucket_digits, test, validation):
         assert [parts[issue, i] for i in ids] == want
 
 
+def test_rows_stay_where_they_are(spark):
+    """Quotas and weights, a row per class, travel to the rows: a class is never brought together."""
+    df = spark.createDataFrame(make_rows(), SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        weighed = metrics.with_class_weights(df, "rule_issue_label", rules.ISSUES)
+        assert "SortMergeJoin" not in weighed._jdf.queryExecution().executedPlan().toString()
+        plan = sampling.stratified_split(df, "rule_issue_label", rules.ISSUES)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin [rule_issue_label") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert weighed.count() == df.filter(F.col("rule_issue_label").isin(rules.ISSUES)).count()
+    assert weighed.columns == ["rule_issue_label", "review_id", "sentiment_label", "class_weight"]
+
+
 def test_metrics_agree_with_spark(spark):
     dice = random.Random(1)
     labels = rules.ISSUES[:6]

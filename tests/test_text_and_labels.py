@@ -160,6 +160,22 @@ def test_dense_id_has_no_gaps(spark, partitions):
     assert [r.o for r in got] == sorted(values)
 
 
+def test_dense_id_deals_rows(spark):
+    """A table of 2**15 rows in a row is no single task, as whole rows move by bucket."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = dense_id(spark.range(1 << 15).withColumnRenamed("id", "o"), "o", "n")
+        parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("n") - 1 - F.col("o"))).alias("off"))
+        rows = parts.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.rows for r in rows) == 1 << 15 and max(r.off for r in rows) == 0
+    assert max(r.rows for r in rows) <= 1 << 14
+
+
 def test_top_rows_merges_tasks(spark):
     df = spark.range(1000).repartition(17).withColumn("k", F.col("id") % 10)
     got = top_ids(df, 7, F.desc("k"), F.asc("id"), fan_in=4)
